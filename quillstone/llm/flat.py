@@ -67,6 +67,14 @@ class Words:
         run = np.concatenate(([np.uint64(0)], np.cumsum(_BYTE[self.data] * up[:-1])))
         return mix((run[self.end] - run[self.begin]) * down[self.begin] + (self.end - self.begin).astype(np.uint64))
 
+    def prefix_hashes(self, sizes: tuple[int, ...]) -> list[np.ndarray]:
+        """Hashes of each word's first so many bytes, or of all it has, one array a size."""
+        if not len(self.begin):
+            return [np.zeros(0, np.uint64) for _ in sizes]
+        up, down = powers(len(self.data) + 1)
+        run = np.concatenate(([np.uint64(0)], np.cumsum(_BYTE[self.data] * up[:-1])))
+        return [mix((run[np.minimum(self.begin + k, self.end)] - run[self.begin]) * down[self.begin] + np.uint64(k << 32)) for k in sizes]
+
 
 def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Per document the sorted distinct hashes of its shingles of ``k`` words, end to end, and their bounds.
