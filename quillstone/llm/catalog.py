@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, exact, minhash, packing, quality, suffix, toxicity
+from . import ann, bpe, chat, exact, lm, minhash, packing, quality, suffix, toxicity
 from .common import table
 
 
@@ -23,6 +23,14 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def op5_bilinear_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.repeated_bytes(table(spark, sf_dir, "documents"))
 
@@ -43,5 +51,5 @@ def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.preference_pairs(table(spark, sf_dir, "conversations"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_minhash, op3_toxicity, op6_suffix, op7_byte_bpe, op8_packing, op9_quality, op10_preferences)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_minhash, op3_toxicity, op4_multi_index, op5_bilinear_lm, op6_suffix, op7_byte_bpe, op8_packing, op9_quality, op10_preferences)}
 SQL: dict[str, str] = {"op1_exact_dedup": exact.SQL, "op10_preferences": chat.SQL}

@@ -75,6 +75,15 @@ class Words:
         run = np.concatenate(([np.uint64(0)], np.cumsum(_BYTE[self.data] * up[:-1])))
         return [mix((run[np.minimum(self.begin + k, self.end)] - run[self.begin]) * down[self.begin] + np.uint64(k << 32)) for k in sizes]
 
+    def suffix_hashes(self, size: int) -> np.ndarray:
+        """The hash of each word's last ``size`` bytes, or of all it has."""
+        if not len(self.begin):
+            return np.zeros(0, np.uint64)
+        up, down = powers(len(self.data) + 1)
+        run = np.concatenate(([np.uint64(0)], np.cumsum(_BYTE[self.data] * up[:-1])))
+        first = np.maximum(self.end - size, self.begin)
+        return mix((run[self.end] - run[first]) * down[first])
+
 
 def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Per document the sorted distinct hashes of its shingles of ``k`` words, end to end, and their bounds.

@@ -197,3 +197,15 @@ def score(docs: DataFrame, trees: Trees, cut: float = 0.3, id_col: str = "doc_id
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", cut: float = 0.3) -> DataFrame:
     """Train on what is labelled and not held out, then score every row."""
     return score(docs, train(docs, labels, label), cut)
+
+
+def keep_good(docs: DataFrame, trees: Trees, cut: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text scores ``cut`` or more."""
+    small_batches(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in passes(batches, "text"):
+            yield batch.filter(pa.array(trees.predict(statistics(*texts(batch.column(at)))) >= cut))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -339,7 +339,7 @@ def _match(length: int):
     return run
 
 
-def _cut(length: int, whole_chars: bool):
+def _cut(length: int, whole_chars: bool, carry: list[str]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in passes(batches, "text"):
             out = []
@@ -364,17 +364,17 @@ def _cut(length: int, whole_chars: bool):
                 made["kept"] = made["kept"].cast(pa.string())
             else:
                 del made["kept"]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0)} | made)
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0)} | made | {c: batch.column(3 + i) for i, c in enumerate(carry)})
 
     return run
 
 
-def repeated_bytes(docs: DataFrame, length: int = 100, gram: int = GRAM, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+def repeated_bytes(docs: DataFrame, length: int = 100, gram: int = GRAM, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Removed is each byte covered by a string of ``length`` bytes that also starts earlier: in a smaller doc_id, or earlier
     in the same document.  With ``keep_text`` only characters all of whose bytes are covered go, and the text that is left
-    comes as ``kept``.
+    comes as ``kept``.  Columns named in ``carry`` come along.
 
     1. Each window of ``length`` bytes is tied to its least-hashed gram; grams seen once cannot lie in a repeated window
        and are dropped after a count with map-side sums.
@@ -406,5 +406,9 @@ def repeated_bytes(docs: DataFrame, length: int = 100, gram: int = GRAM, hot: in
     spans = firsts.unionByName(places.where("bytes IS NULL").select("doc_id", "lo", "hi"))
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if keep_text else "")
-    out = rows.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_cut(length, keep_text), schema)
+    schema += "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carry)
+    more = [F.col(c).alias(f"_carry{i}") for i, c in enumerate(carry)]
+    texts_of = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(null)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
+    out = texts_of.join(spans, "doc_id", "left").select("doc_id", "text", "spans", *(f"_carry{i}" for i in range(len(carry))))
+    out = out.mapInArrow(_cut(length, keep_text, list(carry)), schema)
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(null)))
