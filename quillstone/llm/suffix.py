@@ -12,14 +12,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import passes, small_batches, written
-from .flat import gram_hashes, texts
+from .flat import gram_hashes, mix, powers, texts
 
 #: Period of the difference cover: a bucket is sorted by this many bytes, longer ties by the sample's ranks.
 PERIOD = 32
 #: Suffixes that are sorted at a time, and text bytes of which one suffix array is made.
 BUCKET, BLOCK = 1 << 17, 1 << 21
+#: Text bytes that anchors are sought in at a time; their arrays then fit a processor's cache.
+PASS = 1 << 18
 #: Bytes of the grams that tie places of texts together, and rows from which a gram's places are dealt by window.
 GRAM, HOT = 32, 20_000
+#: Low bits of a gram's hash that give way to its place: texts may have 2**28 bytes.
+_PLACE = np.uint64((1 << 28) - 1)
 
 
 @lru_cache
@@ -54,9 +58,11 @@ class SuffixSorter:
     The suffixes at the difference cover's places get ranks first, by doubling.  Then buckets of the suffixes
     asked for, cut by their first bytes so that each holds about ``bucket``, are sorted one at a time: by their
     first ``period`` bytes, and ties of that length by the ranks at the shift that puts both in the cover.
+    Suffixes equal in their first ``depth`` bytes may come in any order.
     """
 
-    def __init__(self, data: np.ndarray, period: int = PERIOD, bucket: int = BUCKET):
+    def __init__(self, data: np.ndarray, period: int = PERIOD, bucket: int = BUCKET, depth: int | None = None):
+        depth = len(data) if depth is None else depth
         self.n, self.v, self.bucket = len(data), period, bucket
         self.padded = np.concatenate((data, np.zeros(2 * period, np.uint8)))
         inside, self.shift = difference_cover(period)
@@ -72,7 +78,7 @@ class SuffixSorter:
         where = np.full(self.n + 2 * period + 1, -1, np.int64)
         where[sample] = np.arange(len(sample))
         step = period
-        while len(sample) and rank.max() < len(sample) - 1 and step < self.n + period:
+        while len(sample) and rank.max() < len(sample) - 1 and step < depth + period:
             ahead = np.minimum(sample + step, self.n + 2 * period)
             later = np.where(where[ahead] >= 0, rank[where[ahead]] + 1, 0)
             order = np.lexsort((later, rank))
@@ -144,7 +150,7 @@ def suffix_array(data: bytes, period: int = PERIOD, bucket: int = BUCKET) -> np.
 
 def repeats(data: np.ndarray, starts: np.ndarray, rank: np.ndarray, length: int) -> np.ndarray:
     """For each window of ``length`` bytes at ``starts``, whether an equal one has a smaller ``rank``."""
-    sorter = SuffixSorter(data)
+    sorter = SuffixSorter(data, depth=length)
     index = np.full(len(data) + 1, -1, np.int64)
     index[starts] = np.arange(len(starts))
     out = np.zeros(len(starts), bool)
@@ -163,27 +169,26 @@ def repeats(data: np.ndarray, starts: np.ndarray, rank: np.ndarray, length: int)
     return out
 
 
-def anchors(data: np.ndarray, starts: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, gram hash, first window, last window) for the runs of windows that share their least gram.
+def anchors(data: np.ndarray, starts: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(document, gram hash, its place, first window, last window) for the runs of windows that share their least gram.
 
     Every window of ``length`` bytes within a document is tied to the leftmost least-hashed gram in it, which
     its bytes alone decide, so equal windows are tied to equal grams.
     """
     size = np.diff(starts)
     wide = length - gram + 1
-    h = gram_hashes(data, gram)
     windows = np.maximum(size - length + 1, 0)
     total = int(windows.sum())
     if not total:
-        return (np.zeros(0, np.int64),) * 4
-    # Least of `wide` neighbours by doubling; the leftmost wins ties.
-    least, where, width = h, np.arange(len(h)), 1
+        return (none := np.zeros(0, np.int64)), np.zeros(0, np.uint64), none, none, none
+    h = gram_hashes(data, gram)
+    # Least of `wide` neighbours by doubling. The high bits decide, the low ones hold the place, so the leftmost wins ties.
+    least, width = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64), 1
     while width < wide:
         step = min(width, wide - width)
-        a, b = least[: len(least) - step], least[step:]
-        take = b < a
-        least, where = np.where(take, b, a), np.where(take, where[step:], where[: len(where) - step])
+        least = np.minimum(least[: len(least) - step], least[step:])
         width += step
+    where = (least & _PLACE).view(np.int64)
     doc = np.repeat(np.arange(len(size)), windows)
     first = np.repeat(starts[:-1] - np.concatenate(([0], np.cumsum(windows)[:-1])), windows) + np.arange(total)
     pick = where[first]
@@ -191,18 +196,13 @@ def anchors(data: np.ndarray, starts: np.ndarray, length: int, gram: int) -> tup
     new[1:] = (pick[1:] != pick[:-1]) | (doc[1:] != doc[:-1])
     at = np.flatnonzero(new)
     last = np.append(at[1:], total) - 1
-    return doc[at], h[pick[at]], first[at], first[last]
-
-
-def _digests(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> list[bytes]:
-    view = memoryview(np.ascontiguousarray(data))
-    return [hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(first.tolist(), end.tolist(), strict=True)]
+    return doc[at], h[pick[at]], pick[at], first[at], first[last]
 
 
 def _grams(length: int, gram: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in passes(batches, "text"):
-            doc, h, _, _ = anchors(*texts(batch.column(1)), length, gram)
+        for batch in passes(batches, "text", PASS):
+            doc, h, *_ = anchors(*texts(batch.column(1)), length, gram)
             ids = batch.column(0).cast(pa.int64()).to_numpy(zero_copy_only=False)
             order = np.lexsort((h, doc))
             doc, h = doc[order], h[order]
@@ -215,126 +215,175 @@ def _grams(length: int, gram: int):
     return run
 
 
-def _places(length: int, gram: int):
-    """From documents with their shared grams to (key, digest, doc_id, lo, hi, bytes): one row for each distinct context of a
-    task, and rows without bytes for the spans that repeat one of those."""
+def _runs(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... for size[0] numbers, then the same from first[1], and so on."""
+    if not len(size):
+        return np.zeros(0, np.int64)
+    return np.repeat(first - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
 
-    def emit(seen: dict, done: list) -> Iterator[pa.RecordBatch]:
-        rows = [(k, d, i, lo, hi, x) for (k, d), (i, lo, hi, x) in seen.items()] + done
-        for a in range(0, len(rows), 20_000):
-            cols = list(zip(*rows[a : a + 20_000], strict=True))
-            yield pa.RecordBatch.from_pydict({c: pa.array(v, t) for c, v, t in zip(("key", "digest", "doc_id", "lo", "hi", "bytes"), cols, (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)})
+
+def _digests(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of data[first:end]."""
+    up, down = powers(len(data) + 1)
+    out = []
+    for salt in (0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47):
+        value = mix(np.arange(256, dtype=np.uint64) + np.uint64(salt)) | np.uint64(1)
+        run = np.concatenate(([np.uint64(0)], np.cumsum(value[data] * up[:-1])))
+        out.append(mix((run[end] - run[first]) * down[first] + (end - first).astype(np.uint64)).view(np.int64))
+    return out[0], out[1]
+
+
+def _binary(data: np.ndarray, sizes: np.ndarray, valid: np.ndarray) -> pa.Array:
+    """Binary values of ``sizes`` bytes each; those not ``valid`` are null and have none in ``data``."""
+    offsets = np.concatenate(([0], np.cumsum(np.where(valid, sizes, 0)))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [pa.py_buffer(np.packbits(valid, bitorder="little").tobytes()), pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _new(*cols: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before."""
+    out = np.ones(len(cols[0]), bool)
+    if len(out):
+        out[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
+    return out
+
+
+def _places(length: int, gram: int):
+    """From documents with their shared grams to (key, d1, d2, doc_id, lo, hi, at, bytes), ``at`` the gram's place in bytes: of equal contexts in a task the earliest has
+    its bytes; the others are repeats already, have none, and get a key of their own."""
+
+    def emit(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        key, d1, d2, doc, lo, hi, mid, size, data = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((lo, doc, d2, d1, key))
+        first = np.zeros(len(key), bool)
+        first[order] = _new(key[order], d1[order], d2[order])
+        data = data[np.repeat(first, size)]
+        key = np.where(first, key, mix(doc.view(np.uint64) * np.uint64(31) + lo.astype(np.uint64)).view(np.int64))
+        at = np.concatenate(([0], np.cumsum(np.where(first, size, 0))))
+        for a in range(0, len(key), 20_000):
+            b = min(len(key), a + 20_000)
+            cols = [pa.array(x[a:b]) for x in (key, d1, d2, doc, lo, hi, mid)]
+            yield pa.RecordBatch.from_arrays([*cols, _binary(data[at[a] : at[b]], size[a:b], first[a:b])], ["key", "d1", "d2", "doc_id", "lo", "hi", "at", "bytes"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, done, held = {}, [], 0
-        for batch in passes(batches, "text"):
+        held, weight = [], 0
+        for batch in passes(batches, "text", PASS):
             data, starts = texts(batch.column(1))
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            doc, h, lo, hi = anchors(data, starts, length, gram)
+            doc, h, at, lo, hi = anchors(data, starts, length, gram)
             if not len(h):
                 continue
-            signed = h.view(np.int64)
-            want, hot = np.zeros(len(h), bool), np.zeros(len(h), bool)
-            bounds = np.searchsorted(doc, np.arange(len(starts)))
-            for col, flag in ((2, want), (3, hot)):
+            flags = []
+            own = mix(h ^ mix(doc.astype(np.uint64)))
+            for col in (2, 3):
                 lists = batch.column(col)
-                values, offs = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-                for d in range(len(starts) - 1):
-                    if offs[d + 1] > offs[d]:
-                        a, b = bounds[d], bounds[d + 1]
-                        flag[a:b] = np.isin(signed[a:b], values[offs[d] : offs[d + 1]])
-            pick = np.flatnonzero(want)
-            spread = np.flatnonzero(hot)
+                values, offs = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), lists.offsets.to_numpy()
+                of = np.repeat(np.arange(len(offs) - 1, dtype=np.uint64), np.diff(offs))
+                flags.append(np.isin(own, mix(values ^ mix(of))) if len(values) else np.zeros(len(h), bool))
+            pick, spread = np.flatnonzero(flags[0]), np.flatnonzero(flags[1])
             reps = hi[spread] - lo[spread] + 1
-            single = np.repeat(lo[spread] - np.concatenate(([0], np.cumsum(reps)[:-1])), reps) + np.arange(reps.sum()) if len(spread) else np.zeros(0, np.int64)
+            single = _runs(lo[spread], reps)
             who = np.concatenate((doc[pick], np.repeat(doc[spread], reps)))
             first, last = np.concatenate((lo[pick], single)), np.concatenate((hi[pick], single))
-            order = np.lexsort((first, ids[who]))
-            who, first, last = who[order], first[order], last[order]
-            keyed = np.concatenate((signed[pick], np.zeros(len(single), np.int64)))[order]
-            alone = np.concatenate((np.zeros(len(pick), bool), np.ones(len(single), bool)))[order]
-            raw = data.tobytes()
-            for dig, d, a, b, k, own in zip(_digests(data, first, last + length), who.tolist(), first.tolist(), last.tolist(), keyed.tolist(), alone.tolist(), strict=True):
-                if own:
-                    k = int.from_bytes(dig[:8], "little", signed=True)
-                at, base = (k, dig), starts[d]
-                new = (int(ids[d]), int(a - base), int(b - base))
-                old = seen.get(at)
-                if old is None:
-                    seen[at] = (*new, raw[a : b + length])
-                    held += b - a + length + 200
-                elif new[:2] < old[:2]:
-                    seen[at] = (*new, old[3])
-                    done.append((k, dig, *old[:3], None))
-                elif new[:2] != old[:2]:
-                    done.append((k, dig, *new, None))
-            if held > 24 << 20 or len(done) > 100_000:
-                yield from emit(seen, done)
-                seen, done, held = {}, [], 0
-        yield from emit(seen, done)
+            if not len(who):
+                continue
+            d1, d2 = _digests(data, first, last + length)
+            key = np.concatenate((h[pick].view(np.int64), d1[len(pick) :]))
+            size = last - first + length
+            mid = np.concatenate((at[pick] - lo[pick], np.full(len(single), -1)))
+            held.append((key, d1, d2, ids[who], first - starts[who], last - starts[who], mid, size, data[_runs(first, size)]))
+            weight += int(size.sum()) + 80 * len(who)
+            if weight > 24 << 20:
+                yield from emit(held)
+                held, weight = [], 0
+        if held:
+            yield from emit(held)
 
     return run
 
 
-def _match(length: int):
-    """Rows sorted by key and digest, to (doc_id, lo, hi): windows lo to hi of a document have an earlier equal."""
-
-    def solve(contexts: list[tuple[int, int, int, bytes]]) -> Iterator[tuple[int, int, int]]:
-        lens = np.array([len(c[3]) for c in contexts])
-        base = np.concatenate(([0], np.cumsum(lens)))[:-1]
-        wins = lens - length + 1
-        starts = np.repeat(base - np.concatenate(([0], np.cumsum(wins)[:-1])), wins) + np.arange(wins.sum())
-        doc, lo = np.array([c[0] for c in contexts], np.int64), np.array([c[1] for c in contexts], np.int64)
-        ctx = np.repeat(np.arange(len(contexts)), wins)
-        place = lo[ctx] + starts - base[ctx]
-        order = np.lexsort((place, doc[ctx]))
-        new = np.ones(len(order), bool)
-        new[1:] = (doc[ctx][order[1:]] != doc[ctx][order[:-1]]) | (place[order[1:]] != place[order[:-1]])
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.cumsum(new)
-        hit = np.flatnonzero(repeats(np.frombuffer(b"".join(c[3] for c in contexts), np.uint8), starts, rank, length))
-        if len(hit):
-            cut = np.flatnonzero(np.concatenate(([True], (hit[1:] != hit[:-1] + 1) | (ctx[hit[1:]] != ctx[hit[:-1]]))))
-            for a, b in zip(hit[cut], hit[np.append(cut[1:], len(hit)) - 1], strict=True):
-                yield int(doc[ctx[a]]), int(place[a]), int(place[b])
-
-    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
-        for batch in batches:
-            yield from zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True)
+def _solve(size: np.ndarray, doc: np.ndarray, lo: np.ndarray, data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts end to end, to (doc_id, lo, hi) of runs of their windows that have an earlier equal among them."""
+    base = np.concatenate(([0], np.cumsum(size)[:-1]))
+    wins = size - length + 1
+    starts, ctx = _runs(base, wins), np.repeat(np.arange(len(size)), wins)
+    place = lo[ctx] + starts - base[ctx]
+    order = np.lexsort((place, doc[ctx]))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(_new(doc[ctx][order], place[order]))
+    hit = np.flatnonzero(repeats(data, starts, rank, length))
+    cut = np.flatnonzero(_new(hit - np.arange(len(hit)), ctx[hit]))
+    a, b = hit[cut], hit[np.append(cut[1:], len(hit)) - 1] if len(hit) else hit[cut]
+    return doc[ctx[a]], place[a], place[b]
+
+
+def _match(length: int, gram: int):
+    """Rows sorted by key, digest, document and place, to (doc_id, lo, hi): windows lo to hi of a document have an earlier equal."""
+
+    def known(table: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        key, d1, d2, doc, lo, hi, mid = (table.column(i).to_numpy(zero_copy_only=False) for i in range(7))
+        sent = table.column(7).is_valid().to_numpy(zero_copy_only=False)
+        yield doc[~sent], lo[~sent], hi[~sent]
+        at = np.flatnonzero(sent)
+        key, d1, d2, doc, lo, hi, mid = (x[at] for x in (key, d1, d2, doc, lo, hi, mid))
+        if not len(at):
+            return
+        first = _new(key, d1, d2)
+        best = np.flatnonzero(first)[np.cumsum(first) - 1]
+        again = (doc != doc[best]) | (lo != lo[best])
+        yield doc[again], lo[again], hi[again]
+        at, key, doc, lo, mid = (x[first] for x in (at, key, doc, lo, mid))
+        many = lambda x: np.bincount(np.cumsum(x) - 1)[np.cumsum(x) - 1] > 1
+        some = many(_new(key))
+        at, key, doc, lo, mid = (x[some] for x in (at, key, doc, lo, mid))
+        if not len(at):
+            return
+        column = table.column(7).take(pa.array(at))
+        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        data, size = np.frombuffer(column.buffers()[2], np.uint8), np.diff(offsets)
+        # A shared window holds the gram and as many more bytes to its right, or to its left, as half of what is left: contexts
+        # that agree with no other of their gram in either are dropped.
+        half = (length - gram) // 2
+        near = mid < 0
+        for a, b in ((mid, mid + gram + half), (mid - half, mid + gram)):
+            able = np.flatnonzero((a >= 0) & (b <= size) & (mid >= 0))
+            digest = _digests(data, offsets[able] + a[able], offsets[able] + b[able])[0] ^ key[able]
+            order = np.argsort(digest, kind="stable")
+            near[able[order[many(_new(digest[order]))]]] = True
+        again = np.zeros(len(key), bool)
+        again[np.flatnonzero(near)] = many(_new(key[near]))
+        if not again.any():
+            return
+        data, key, doc, lo, size = data[_runs(offsets[:-1][again], size[again])], key[again], doc[again], lo[again], size[again]
+        offsets = np.concatenate(([0], np.cumsum(size)))
+        edges = np.append(np.flatnonzero(_new(key)), len(key))
+        a = 0
+        while a < len(edges) - 1:
+            b = max(a + 1, int(np.searchsorted(offsets[edges], offsets[edges[a]] + BLOCK, "right")) - 1)
+            x, y = edges[a], edges[b]
+            yield _solve(size[x:y], doc[x:y], lo[x:y], data[offsets[x] : offsets[y]], length)
+            a = b
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int, int]] = []
-        block: list[tuple[int, int, int, bytes]] = []
-        own: list[tuple[int, int, int, bytes]] = []
-        held, key = 0, None
-
-        def flush() -> pa.RecordBatch:
-            cols = list(zip(*out, strict=True)) or [[]] * 3
-            out.clear()
-            return pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64()) for c, v in zip(("doc_id", "lo", "hi"), cols, strict=True)})
-
-        digest, best = None, None
-        for k, d, i, lo, hi, x in rows(batches):
-            if k != key:
-                if len(own) > 1:
-                    block += own
-                    held += sum(len(c[3]) for c in own)
-                    if held > BLOCK:
-                        out += solve(block)
-                        block, held = [], 0
-                own, key, digest = [], k, None
-            if d != digest:
-                digest, best = d, (i, lo)
-                own.append((i, lo, hi, x))
-            elif (i, lo) != best:  # sorted by document and place: the first of a digest is its earliest
-                out.append((i, lo, hi))
-            if len(out) > 50_000:
-                yield flush()
-        if len(own) > 1:
-            block += own
-        if block:
-            out += solve(block)
-        yield flush()
+        def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            for batch in table.combine_chunks().to_batches():
+                cols = [np.concatenate(x) for x in zip(*known(batch), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "lo", "hi"])
+
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n < 30_000:
+                continue
+            table = pa.Table.from_batches(held)
+            key = table.column(0).to_numpy()
+            cut = int(np.searchsorted(key, key[-1], "left"))  # the last key may go on
+            if cut:
+                yield from done(table.slice(0, cut))
+            rest = table.slice(cut).combine_chunks()
+            held, n = rest.to_batches(), 0 if cut else -rest.num_rows
+        if held:
+            yield from done(pa.Table.from_batches(held))
 
     return run
 
@@ -399,12 +448,10 @@ def repeated_bytes(docs: DataFrame, length: int = 100, gram: int = GRAM, hot: in
         F.collect_set(F.when(F.col("n") <= hot, F.col("gram"))).alias("grams"), F.collect_set(F.when(F.col("n") > hot, F.col("gram"))).alias("hot")
     )
     mine = written(mine, "grams")
-    places = rows.join(mine, "doc_id").select("doc_id", "text", "grams", "hot").mapInArrow(_places(length, gram), "key long, digest binary, doc_id long, lo long, hi long, bytes binary")
-    places = written(places, "places")
+    places = rows.join(mine, "doc_id").select("doc_id", "text", "grams", "hot").mapInArrow(_places(length, gram), "key long, d1 long, d2 long, doc_id long, lo long, hi long, at long, bytes binary")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    firsts = places.where("bytes IS NOT NULL").repartition(parts, "key").sortWithinPartitions("key", "digest", "doc_id", "lo").mapInArrow(_match(length), "doc_id long, lo long, hi long")
-    spans = firsts.unionByName(places.where("bytes IS NULL").select("doc_id", "lo", "hi"))
-    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    met = places.repartition(parts, "key").sortWithinPartitions("key", "d1", "d2", "doc_id", "lo")
+    spans = met.mapInArrow(_match(length, gram), "doc_id long, lo long, hi long").groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if keep_text else "")
     schema += "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carry)
     more = [F.col(c).alias(f"_carry{i}") for i, c in enumerate(carry)]
