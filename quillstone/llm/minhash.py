@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +16,10 @@ from .graph import components
 
 #: Bins of the one permutation and bins of a band; a pair at similarity 0.8 meets in no band with odds of 5e-8.
 BINS, BAND = 128, 4
-#: Rounds in which a bucket's documents are compared with one pivot each before the pairs that are left are.
-PIVOTS = 3
+#: Shingles of about so many are in a block; of what is left last, blocks are compared with blocks.
+BLOCK = 200_000
+#: Shingles that are columns of a block's matrix at a time.
+COLUMNS = 4096
 
 _bin = np.arange(BINS, dtype=np.uint64)
 
@@ -75,15 +78,78 @@ def _sets(k: int):
     return run
 
 
+def _linked(num: int, den: int):
+    """A pair of blocks (doc_id, comp, block, set) to links (a, b) that join components, no more than needed for that."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        doc, comp, block = (table.column(c).to_numpy() for c in ("doc_id", "comp", "block"))
+        lists = table.column("set").combine_chunks()
+        size = pa.compute.list_value_length(lists).to_numpy().astype(np.int64)
+        row = np.repeat(np.arange(len(doc)), size)
+        value, back, count = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        del value
+        name = np.cumsum(count > 1) - 1
+        row, col = row[count[back] > 1], name[back[count[back] > 1]]
+        order = np.argsort(col, kind="stable")
+        row, col = row[order], col[order]
+        both = np.zeros((len(doc), len(doc)), np.float32)
+        for c in range(0, int(col[-1]) + 1 if len(col) else 0, COLUMNS):
+            x, y = np.searchsorted(col, (c, c + COLUMNS))
+            part = np.zeros((len(doc), COLUMNS), np.float32)
+            part[row[x:y], col[x:y] - c] = 1
+            both += part @ part.T
+        near = both * den >= (size[:, None] + size[None, :] - both) * num
+        near &= np.not_equal.outer(comp, comp)
+        if block.min() != block.max():
+            near &= np.not_equal.outer(block, block)
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                x = up
+            return x
+
+        out = []
+        for i, j in zip(*np.nonzero(np.triu(near)), strict=True):
+            p, q = root(int(comp[i])), root(int(comp[j]))
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+                out.append((int(doc[i]), int(doc[j])))
+        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+
+    return run
+
+
+def blockwise(entries: DataFrame, sets: DataFrame, num: int, den: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) across components among the documents of ``entries`` (band, doc_id, n, comp).
+
+    Documents that buckets tie together are dealt by hash to blocks of about ``block`` shingles; each two blocks
+    are one task's matrix product.  A document is sent once for each block of its own tie, so rows are far
+    fewer than pairs and no task holds more than two blocks.
+    """
+    first = entries.groupBy("band").agg(F.min("doc_id").alias("a"))
+    ties = components(entries.join(first, "band").select("a", F.col("doc_id").alias("b")))
+    own = entries.select("doc_id", "n", "comp").distinct().join(ties.select(F.col("node").alias("doc_id"), F.col("comp").alias("tie")), "doc_id")
+    own = written(own, "own")
+    blocks = own.groupBy("tie").agg(F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("blocks"))
+    dealt = own.join(blocks, "tie").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("doc_id", "comp", "tie", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    full = dealt.join(sets.dropDuplicates(["doc_id"]), "doc_id")
+    return full.groupBy("tie", "i", "j").applyInArrow(_linked(num, den), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     Documents are linked when ``den * |A and B| >= num * |A or B|`` for their sets of distinct ``shingle``-word
     shingles.  Documents with equal sets are one node from the start.  The nodes of a band's bucket are candidates:
     each is compared with the bucket's smallest (a star, so pairs are no more than bucket entries) on the
-    full sets.  Then only buckets that hold documents of different components are looked at again: some rounds
-    with another pivot each, and last every pair across components of what is left, so no link within a bucket
-    that would join components is lost.
+    full sets.  Then only buckets that hold documents of different components are looked at again.  There the shingles that
+    no other such document has bound every similarity; documents that the bound rules out are dropped, the rest are
+    compared with another pivot, and those still apart last, block against block, so no link within a bucket
+    that would join components is lost and no row is made for a pair.
 
     Null texts count as empty; documents without words have no shingles and no links.  A null id is linked with nothing and
     has a null component_id.  Rows that repeat an id are one node.
@@ -98,8 +164,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     entries = written(nodes.join(shared, "band").distinct(), "entries")
     sets = written(rows.join(entries.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc_id long, set array<long>"), "sets")
 
-    def sized(a: Column, b: Column) -> Column:
-        return F.least(a, b) * F.lit(den) >= F.greatest(a, b) * F.lit(num)
+    def possible(na: Column, ka: Column, nb: Column, kb: Column) -> Column:
+        """Whether sets of na and nb, of which no more than ka and kb are shared with anything, may be similar enough."""
+        most = F.least(ka, kb)
+        return most * F.lit(den) >= (na + nb - most) * F.lit(num)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         pairs = pairs.distinct()
@@ -109,25 +177,45 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
         return full.where(both * F.lit(den) >= (F.size("sa") + F.size("sb") - both) * F.lit(num)).select("a", "b").distinct()
 
     def star(entries: DataFrame, by: Column, apart: Column) -> DataFrame:
-        pivot = entries.groupBy("band").agg(F.min(F.struct(by.alias("by"), "doc_id", "n", "comp")).alias("p"))
-        pairs = entries.join(pivot, "band").where(apart & sized(F.col("n"), F.col("p.n")))
+        pivot = entries.groupBy("band").agg(F.min(F.struct(by.alias("by"), "doc_id", "n", "core", "comp")).alias("p"))
+        pairs = entries.join(pivot, "band").where(apart & possible(F.col("n"), F.col("core"), F.col("p.n"), F.col("p.core")))
         return pairs.select(F.col("p.doc_id").alias("a"), F.col("doc_id").alias("b"))
 
-    links = written(confirmed(star(entries.withColumn("comp", F.lit(0)), F.col("doc_id"), F.col("doc_id") != F.col("p.doc_id"))), "confirmed")
+    def mixed(entries: DataFrame) -> DataFrame:
+        """The entries of the buckets that hold more than one component."""
+        bands = entries.groupBy("band").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("band")
+        return entries.join(bands, "band")
+
+    def cored(entries: DataFrame) -> DataFrame:
+        """Counts anew how many of each document's shingles any other document of the entries has too.
+
+        No intersection is larger, so a document of which that is too small a part can have no link left and goes.
+        """
+        own = sets.join(entries.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        own = own.select("doc_id", F.explode("set").alias("s"))
+        common = own.groupBy("s").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("s")
+        core = own.join(common, "s").groupBy("doc_id").agg(F.count("*").alias("core"))
+        return entries.drop("core").join(core, "doc_id").where(F.col("core") * F.lit(den) >= F.col("n") * F.lit(num))
+
+    whole = entries.withColumn("comp", F.lit(0)).withColumn("core", F.col("n"))
+    links = written(confirmed(star(whole, F.col("doc_id"), F.col("doc_id") != F.col("p.doc_id"))), "confirmed")
     comp = components(links)
-    for turn in range(PIVOTS + 1):
-        own = entries.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
-        mixed = own.groupBy("band").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("band")
-        left = written(own.join(mixed, "band"), "left")
-        if turn < PIVOTS:
-            pairs = star(left, F.xxhash64("doc_id", F.lit(turn)), F.col("comp") != F.col("p.comp"))
-        else:
-            other = left.select("band", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-            pairs = left.join(other, "band").where((F.col("comp") < F.col("cb")) & sized(F.col("n"), F.col("nb"))).select(F.col("doc_id").alias("a"), "b")
-        more = written(confirmed(pairs), "confirmed")
-        if more.limit(1).count():
-            links = links.unionByName(more)
-            comp = components(links)
+    def settled(entries: DataFrame) -> DataFrame:
+        own = entries.drop("comp").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+        return written(mixed(own), "left")
+
+    left = settled(whole)
+    for _ in range(2):
+        left = written(mixed(written(cored(left), "cored")), "left")
+    # The pivot now is the document with the least of its own, which most others are nearest to.
+    more = written(confirmed(star(left, F.round(1 - F.col("core") / F.col("n"), 3), F.col("comp") != F.col("p.comp"))), "confirmed")
+    if more.limit(1).count():
+        links = links.unionByName(more)
+        comp = components(links)
+        left = settled(left)
+    rest = written(blockwise(left, sets, num, den), "confirmed")
+    if rest.limit(1).count():
+        comp = components(links.unionByName(rest))
     comp = reps.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("comp", "rep").alias("component_id"))
     linked = signed.join(comp, ["k1", "k2"], "left")
     own = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))

@@ -50,6 +50,30 @@ def test_near_duplicates(spark, seed, k):
     assert len(set(comp)) < len(comp) - 20
 
 
+def test_blocks_find_what_links_components(spark):
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 10**9, 60)
+    docs = []
+    for i in range(80):
+        own = base.copy()
+        own[rng.choice(60, int(rng.integers(2, 14)), replace=False)] = rng.integers(0, 10**9)
+        docs.append((i, sorted({int(x) for x in own})))
+    want = {(i, j) for i, a in docs for j, b in docs if i < j and 100 * len(set(a) & set(b)) >= 80 * len(set(a) | set(b))}
+    entries = spark.createDataFrame([(band, i, len(s), i) for i, s in docs for band in (1, 2)], "band long, doc_id long, n long, comp long")
+    sets = spark.createDataFrame(docs, "doc_id long, set array<long>")
+
+    def classes(links):
+        comp = list(range(80))
+        for _ in range(80):
+            for a, b in links:
+                comp[a] = comp[b] = min(comp[a], comp[b])
+        return comp
+
+    for block in (500, 10**6):
+        got = [(r.a, r.b) for r in minhash.blockwise(entries, sets, 80, 100, block).collect()]
+        assert {(min(x), max(x)) for x in got} <= want and classes(got) == classes(want)
+
+
 def test_near_duplicates_empty(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], DOC)).count() == 0
 
