@@ -6,7 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import passes, small_batches, written
@@ -143,6 +143,23 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(_merge(parts))
 
 
+def _grade() -> Column:
+    """Counts up to 4095 as they are, larger ones by 64 steps a doubling: a few thousand values whatever the corpus."""
+    n = F.col("n")
+    return F.when(n < 4096, n.cast("int")).otherwise((F.lit(4096 - 12 * 64) + F.floor(F.log2(n) * 64)).cast("int"))
+
+
+def _least_grade(counts: DataFrame, most: int) -> int:
+    """The least grade such that at most ``most`` words have it or a higher one."""
+    found, least = 0, 1 << 30
+    for r in sorted(counts.groupBy(_grade().alias("g")).count().collect(), reverse=True):
+        found += r["count"]
+        if found > most:
+            break
+        least = r.g
+    return least
+
+
 def score(docs: DataFrame, parts: int = 7, held: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -162,7 +179,7 @@ def score(docs: DataFrame, parts: int = 7, held: int = 2, id_col: str = "doc_id"
     counted = rows.select("text", "held_out").mapInArrow(_count, "h long, n long, m long, c int")
     counts = written(counted.groupBy("h").agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.max("c").alias("c")), "counts")
     total, kinds = counts.agg(F.coalesce(F.sum("m"), F.lit(0)), F.count(F.when(F.col("m") > 0, 1))).first()
-    top = counts.orderBy(F.desc("n"), "h").limit(TABLE).toPandas()
+    top = counts.where(_grade() >= _least_grade(counts, TABLE)).toPandas().sort_values(["n", "h"], ascending=[False, True])
     own = top[top["m"] > 0].sort_values(["m", "h"], ascending=[False, True]).head(WORDS)
     output = {h: i for i, h in enumerate(own["h"])}
     hashes = top["h"].to_numpy(np.int64).view(np.uint64)
