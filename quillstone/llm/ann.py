@@ -95,7 +95,7 @@ def neighbours(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str =
     """Per query and rank: query_id, rank, vec_id, score (Euclidean distance of the original vectors in double precision).
 
     Queries are the rows whose id is divisible by ``every``; candidates are all rows but those of the query's id.  Codes
-    and radius are learned on at most ``SAMPLE`` rows, those of smallest hash; every row is indexed, in its task, in
+    and radius are learned on about ``SAMPLE`` rows at most, picked by hash; every row is indexed, in its task, in
     indexes of ``INDEX`` rows.  Queries go to the tasks in blocks of about ``BLOCK``.  Each index returns the nearest ``k`` of
     what lies within the radius; where that is fewer, the radius grows until there are ``k`` or no more rows.
 
@@ -111,7 +111,9 @@ def neighbours(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str =
     if usual is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.size("v") == usual.d)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow().column(0).combine_chunks()
+    n = rows.count()
+    part = rows if n <= SAMPLE else rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000_000)) < F.lit(int(1e9 * SAMPLE / n)))
+    sample = part.orderBy("vec_id", "v").select("v").toArrow().column(0).combine_chunks()
     codes = Codes(sample.values.to_numpy(zero_copy_only=False).reshape(-1, usual.d), k)
     asked = rows.where(F.col("vec_id") % every == 0).distinct()
     blocks = max(1, -(-asked.count() // BLOCK))

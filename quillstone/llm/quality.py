@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import passes, small_batches
 from .flat import Words, texts
 
-#: Most labelled rows that training reads; of more, those of smallest hash are taken.
+#: Labelled rows that training reads; of more, about so many are taken, by hash.
 MAX_TRAIN = 20_000
 #: Boosting: rounds, leaves' depth, step, bins of each feature, least rows and hessian in a leaf, ridge.
 ROUNDS, DEPTH, STEP, BINS, LEAST, RIDGE = 120, 4, 0.1, 64, 5, 1.0
@@ -157,9 +157,10 @@ def held_out(id_col: str = "doc_id", parts: int = 5, at: int = 0) -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``text`` and ``y`` of at most ``most`` labelled rows that are not held out, those of smallest hash first."""
+    """``text`` and ``y`` of the labelled rows that are not held out; of more than ``most``, about so many, picked by hash."""
     rows = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.max(label).alias("y"))
-    take = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    n = rows.count()
+    take = rows if n <= most else rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(1e6 * most / n)))
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(take), "doc_id").select("doc_id", "text", "y")
 
 

@@ -13,7 +13,7 @@ from .common import passes, small_batches
 from .flat import Words, texts
 from .quality import held_out, labelled
 
-#: Most labelled rows that training reads; of more, those of smallest hash are taken.
+#: Labelled rows that training reads; of more, about so many are taken, by hash.
 MAX_TRAIN = 12_000
 #: Hash buckets of the embeddings, their width, filter widths and filters of each.
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 15, 8, (1, 2, 3), 8
