@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush
 
@@ -12,58 +13,10 @@ from pyspark.sql import DataFrame
 
 from .common import small_batches
 
-#: Pre-tokens whose ids a worker remembers before it starts anew.
-MEMO = 200_000
-
-
-class RankQueue:
-    """Places by merge rank: a bucket per rank, under a hierarchy of 64-bit bitmaps of the buckets that hold any.
-
-    ``push`` sets at most one bit a level, ``pop`` finds the first set bit from the top level down.
-    """
-
-    def __init__(self, ranks: int):
-        self.buckets: dict[int, list[int]] = {}
-        self.levels = []
-        while True:
-            ranks = (ranks + 63) // 64
-            self.levels.append([0] * max(1, ranks))
-            if ranks <= 1:
-                break
-
-    def push(self, rank: int, place: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, place)
-            return
-        self.buckets[rank] = [place]
-        for words in self.levels:
-            at = rank >> 6
-            old = words[at]
-            words[at] = old | (1 << (rank & 63))
-            if old:
-                break
-            rank = at
-
-    def pop(self) -> tuple[int, int] | None:
-        """The lowest rank and its leftmost place, which may be stale."""
-        if not self.levels[-1][0]:
-            return None
-        at = 0
-        for words in reversed(self.levels):
-            bits = words[at]
-            at = (at << 6) | ((bits & -bits).bit_length() - 1)
-        bucket = self.buckets[at]
-        place = heappop(bucket)
-        if not bucket:
-            del self.buckets[at]
-            rank = at
-            for words in self.levels:
-                words[rank >> 6] &= ~(1 << (rank & 63))
-                if words[rank >> 6]:
-                    break
-                rank >>= 6
-        return at, place
+#: Pre-tokens whose ids a worker remembers before it starts anew, and the longest that it remembers.
+MEMO, MEMO_CHARS = 600_000, 40
+#: The bits of a word of the queue's bitmaps.
+_BITS = [1 << i for i in range(256)]
 
 
 class Bpe:
@@ -76,42 +29,78 @@ class Bpe:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
         self.split = regex.compile(pattern).findall
         self.tokens = {b: a for a, b in self.ranks.items()}
-        self.queue = RankQueue(max(self.ranks.values()) + 1)
+        self.words = [0] * ((max(self.ranks.values()) >> 8) + 1)
         self.memo: dict[str, bytes] = {}
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token: always the pair of lowest rank, of those the leftmost, until none is left."""
-        ranks, queue = self.ranks, self.queue
-        if (whole := ranks.get(piece)) is not None:
+        """Ids of one pre-token: always the pair of lowest rank, of those the leftmost, until none is left.
+
+        The queue holds a bucket of places for each rank.  A bitmap of the buckets in use lies in words of 256 bits, under one
+        more bitmap of the words in use, so the next rank is two find-first-set steps away.  Places are nodes of
+        a linked list; an entry whose node has another pair by now is stale and skipped.  Time is n log n in the
+        length of the pre-token, and the steps are written out here as most pre-tokens are short.
+        """
+        get, bits = self.ranks.get, _BITS
+        if (whole := get(piece)) is not None:
             return [whole]
         n = len(piece)
-        after, before, pair = list(range(1, n + 1)), list(range(-1, n)), [-1] * n
+        after, before, pair = list(range(1, n + 2)), list(range(-1, n)), [-1] * (n + 1)
+        words, buckets, top = self.words, {}, 0
         for i in range(n - 1):
-            if (rank := ranks.get(piece[i : i + 2])) is not None:
+            if (rank := get(piece[i : i + 2])) is not None:
                 pair[i] = rank
-                queue.push(rank, i)
-        while (top := queue.pop()) is not None:
-            rank, i = top
+                if rank in buckets:
+                    buckets[rank].append(i)  # in order, so a heap
+                else:
+                    buckets[rank] = [i]
+                    word = rank >> 8
+                    words[word] |= bits[rank & 255]
+                    top |= bits[word]
+        while top:
+            word = (top & -top).bit_length() - 1
+            map_ = words[word]
+            low = map_ & -map_
+            rank = (word << 8) + low.bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
+                del buckets[rank]
+                words[word] = map_ = map_ ^ low
+                if not map_:
+                    top ^= bits[word]
             if pair[i] != rank:
                 continue
             gone = after[i]
             end = after[i] = after[gone]
-            pair[gone] = -1
+            pair[gone] = pair[i] = -1
             before[end] = i
-            pair[i] = -1
-            if end < n:
-                if (rank := ranks.get(piece[i : after[end]])) is not None:
-                    pair[i] = rank
-                    queue.push(rank, i)
-            if (left := before[i]) >= 0:
-                if (rank := ranks.get(piece[left:end])) is not None:
+            left = before[i]
+            if end < n and (rank := get(piece[i : after[end]])) is not None:
+                pair[i] = rank
+                if rank in buckets:
+                    heappush(buckets[rank], i)
+                else:
+                    buckets[rank] = [i]
+                    word = rank >> 8
+                    words[word] |= bits[rank & 255]
+                    top |= bits[word]
+            if left >= 0:
+                if (rank := get(piece[left:end])) is not None:
                     pair[left] = rank
-                    queue.push(rank, left)
+                    if rank in buckets:
+                        heappush(buckets[rank], left)
+                    else:
+                        buckets[rank] = [left]
+                        word = rank >> 8
+                        words[word] |= bits[rank & 255]
+                        top |= bits[word]
                 else:
                     pair[left] = -1
         ids, i = [], 0
         while i < n:
-            ids.append(ranks[piece[i : after[i]]])
+            ids.append(get(piece[i : after[i]]))
             i = after[i]
         return ids
 
@@ -121,12 +110,18 @@ class Bpe:
         try:
             return b"".join([memo[x] for x in parts])
         except KeyError:
-            if len(memo) > MEMO:
-                memo.clear()
-            for x in parts:
-                if x not in memo:
-                    memo[x] = b"".join([i.to_bytes(4, "little") for i in self.merge(x.encode())])
-            return b"".join([memo[x] for x in parts])
+            pass
+        if len(memo) > MEMO:
+            memo.clear()
+        out = []
+        for x in parts:
+            ids = memo.get(x)
+            if ids is None:
+                ids = array("I", self.merge(x.encode())).tobytes()
+                if len(x) <= MEMO_CHARS:
+                    memo[x] = ids
+            out.append(ids)
+        return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:
         tokens = self.tokens
