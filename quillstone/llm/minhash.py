@@ -144,9 +144,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     """Per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     Documents are linked when ``den * |A and B| >= num * |A or B|`` for their sets of distinct ``shingle``-word
-    shingles.  Documents with equal sets are one node from the start.  The nodes of a band's bucket are candidates:
-    each is compared with the bucket's smallest (a star, so pairs are no more than bucket entries) on the
-    full sets.  Then only buckets that hold documents of different components are looked at again.  There the shingles that
+    shingles.  Documents with equal sets are one node from the start.  The nodes of a band's bucket are candidates, tied
+    to the bucket's smallest as a star; each node is compared with the least of its buckets' centres on the
+    full sets, so first pairs are no more than nodes.  Then only buckets that hold documents of different components are looked at again.  There the shingles that
     no other such document has bound every similarity; documents that the bound rules out are dropped, the rest are
     compared with another pivot, and those still apart last, block against block, so no link within a bucket
     that would join components is lost and no row is made for a pair.
@@ -179,7 +179,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     def star(entries: DataFrame, by: Column, apart: Column) -> DataFrame:
         pivot = entries.groupBy("band").agg(F.min(F.struct(by.alias("by"), "doc_id", "n", "core", "comp")).alias("p"))
         pairs = entries.join(pivot, "band").where(apart & possible(F.col("n"), F.col("core"), F.col("p.n"), F.col("p.core")))
-        return pairs.select(F.col("p.doc_id").alias("a"), F.col("doc_id").alias("b"))
+        return pairs.groupBy(F.col("doc_id").alias("b")).agg(F.min("p").alias("p")).select(F.col("p.doc_id").alias("a"), "b")
 
     def mixed(entries: DataFrame) -> DataFrame:
         """The entries of the buckets that hold more than one component."""
