@@ -22,8 +22,8 @@ def days_since(now: str, *touched: Column) -> Column:
 
 
 def message_time(internal_ms: Column, date_header: Column, now: str) -> Column:
-    mailed = F.try_to_timestamp(F.regexp_replace(date_header, r"\s*\(.*\)$", ""), F.lit("[EEE, ]d MMM yyyy HH:mm:ss Z"))
-    return F.coalesce(F.timestamp_millis(F.expr("1") * internal_ms.try_cast("long")), mailed, moment(now))
+    mailed = F.try_to_timestamp(F.regexp_replace(date_header, r"^\s*[A-Za-z]{3},\s*|\s*\(.*\)$", ""), F.lit("d MMM yyyy HH:mm:ss Z"))
+    return F.coalesce(F.timestamp_millis(internal_ms.try_cast("long")), mailed, moment(now))
 
 
 def week_key(ts: Column) -> Column:

@@ -1,4 +1,7 @@
-"""Scans of folders of notes and documents."""
+"""Scans of folders of notes and documents.
+
+Spark's listing passes over files and folders whose names begin with a dot or an underscore, so those are never seen.
+"""
 
 from __future__ import annotations
 
