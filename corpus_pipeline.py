@@ -15,8 +15,16 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+#: Most ids that are sent to every task; more are met by a join.
+SENT_IDS = 500_000
+
+
 def _without(docs: DataFrame, found: DataFrame) -> DataFrame:
-    return docs.join(found.where("NOT kept").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    """The rows of ``docs`` that ``found`` keeps: texts stay where they are unless what goes is too much to send around."""
+    gone = written(found.where("NOT kept").select("doc_id"), "gone")
+    if gone.count() <= SENT_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
