@@ -257,7 +257,19 @@ def _places(length: int, gram: int):
         first = np.zeros(len(key), bool)
         first[order] = _new(key[order], d1[order], d2[order])
         data = data[np.repeat(first, size)]
-        key = np.where(first, key, mix(doc.view(np.uint64) * np.uint64(31) + lo.astype(np.uint64)).view(np.int64))
+        # Repeats that follow each other in a document are one span, so a periodic text or a copy takes few rows.
+        rest = np.flatnonzero(~first)
+        rest = rest[np.lexsort((lo[rest], doc[rest]))]
+        start = np.ones(len(rest), bool)
+        start[1:] = (doc[rest[1:]] != doc[rest[:-1]]) | (lo[rest[1:]] > hi[rest[:-1]] + 1)
+        start = np.flatnonzero(start)
+        span = rest[start]
+        last = np.maximum.reduceat(hi[rest], start) if len(start) else hi[span]
+        spread = mix(doc[span].view(np.uint64) * np.uint64(31) + lo[span].astype(np.uint64)).view(np.int64)
+        hi = np.concatenate((hi[first], last))
+        key = np.concatenate((key[first], spread))
+        d1, d2, doc, lo, mid, size = (np.concatenate((x[first], x[span])) for x in (d1, d2, doc, lo, mid, size))
+        first = np.arange(len(key)) < len(key) - len(span)
         at = np.concatenate(([0], np.cumsum(np.where(first, size, 0))))
         for a in range(0, len(key), 20_000):
             b = min(len(key), a + 20_000)
@@ -292,7 +304,7 @@ def _places(length: int, gram: int):
             mid = np.concatenate((at[pick] - lo[pick], np.full(len(single), -1)))
             held.append((key, d1, d2, ids[who], first - starts[who], last - starts[who], mid, size, data[_runs(first, size)]))
             weight += int(size.sum()) + 80 * len(who)
-            if weight > 24 << 20:
+            if weight > 12 << 20:
                 yield from emit(held)
                 held, weight = [], 0
         if held:
