@@ -17,7 +17,7 @@ from .flat import gram_hashes, mix, powers, texts
 #: Period of the difference cover: a bucket is sorted by this many bytes, longer ties by the sample's ranks.
 PERIOD = 32
 #: Suffixes that are sorted at a time, and text bytes of which one suffix array is made.
-BUCKET, BLOCK = 1 << 17, 1 << 21
+BUCKET, BLOCK = 1 << 17, 1 << 20
 #: Text bytes that anchors are sought in at a time; their arrays then fit a processor's cache.
 PASS = 1 << 18
 #: Bytes of the grams that tie places of texts together, and rows from which a gram's places are dealt by window.
@@ -119,17 +119,12 @@ class SuffixSorter:
     def buckets(self, starts: np.ndarray) -> Iterator[np.ndarray]:
         """The suffixes at ``starts`` in order, a bucket at a time."""
         head = (self.padded[starts].astype(np.int64) << 16) | (self.padded[starts + 1].astype(np.int64) << 8) | self.padded[starts + 2]
-        counts = np.cumsum(np.bincount(head, minlength=1 << 24)) if len(starts) > self.bucket else None
-        low = 0
-        while low < 1 << 24:
-            if counts is None:
-                high = 1 << 24
-            else:
-                high = max(low + 1, int(np.searchsorted(counts, (counts[low - 1] if low else 0) + self.bucket, "right")))
-            own = starts[(head >= low) & (head < high)]
-            low = high
-            if not len(own):
-                continue
+        heads = np.sort(head)
+        low, done = 0, 0
+        while done < len(heads):
+            high = int(heads[min(done + self.bucket, len(heads)) - 1]) + 1  # a bucket ends where a head does
+            own = starts[(head >= low) & (head < high)] if low or high <= heads[-1] else starts
+            low, done = high, int(np.searchsorted(heads, high, "left"))
             keys = _keys(self.padded, own, self.v)
             order = np.lexsort(keys.T[::-1])
             group = np.cumsum(_groups(order, keys))
