@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import snippet
+from . import lexical, similarity
 
 RRF_K = 60
+MODES = ("hybrid", "vector", "lexical")
+#: Characters that an answer may have, and hits it has, if nothing else is asked for.
+BUDGET, HITS = 6000, 8
 
 
 def pool(k: int) -> int:
@@ -48,6 +52,41 @@ def within_budget(hits: DataFrame, max_chars: int, full: bool = False, text_col:
     return sized.where((F.col("used") <= max_chars) | (F.col("rank") == 1))
 
 
+def search(chunks: DataFrame, queries: DataFrame, k: int = HITS, mode: str = "hybrid", detail: str = "compact", max_chars: int = BUDGET, cells: DataFrame | None = None) -> DataFrame:
+    """(query_id, rank, score, snippet, [text,] used, has_more, citation) for a table of queries (query_id, text).
+
+    ``chunks`` has chunk_id and text, and what a citation names, with status; filter it first (``scope``).  Either ranking brings
+    ``pool(k)`` rows; ``cells``, the chunks' embeddings in long form, saves making them anew.  An unknown mode is hybrid, an
+    unknown detail compact.  A query without tokens finds nothing, nor does the vector side find chunks that share no
+    bucket with it.  ``has_more`` says that the budget left hits out.
+    """
+    if k < 1:
+        raise ValueError(f"k must be 1 or more, not {k}")
+    mode = mode if mode in MODES else "hybrid"
+    rankings = []
+    if mode != "lexical":
+        asked = similarity.hash_embedding(queries, "query_id").select(F.col("id").alias("query_id"), "bucket", F.col("w").alias("qw"))
+        cells = similarity.hash_embedding(chunks, "chunk_id") if cells is None else cells.join(chunks.select(F.col("chunk_id").alias("id")), "id", "left_semi")
+        rankings.append(cells.join(asked, "bucket").groupBy("query_id", "id").agg(F.sum(F.col("w") * F.col("qw")).alias("score")))
+        late = chunks.select(F.col("chunk_id").alias("id"), (F.col("status") == "archived").alias("late"))
+        rankings[0] = rankings[0].join(late, "id").withColumn("score", F.col("score") - F.when(F.col("late"), F.lit(2.0)).otherwise(F.lit(0.0)))
+    if mode != "vector":
+        rankings.append(lexical.bm25(chunks, queries))
+    best = [lexical.ranked(r, pool(k)) for r in rankings]
+    hits = fuse(best, chunks.where("status = 'archived'").select(F.col("chunk_id").alias("id"))).where(F.col("rank") <= k)
+    hits = hits.join(chunks.withColumn("citation", citation()).select(F.col("chunk_id").alias("id"), "text", "citation"), "id")
+    full = detail == "full"
+    found = hits.groupBy("query_id").agg(F.count("*").alias("_all"))
+    kept = within_budget(hits, max_chars, full)
+    more = kept.groupBy("query_id").agg(F.count("*").alias("_kept")).join(found, "query_id").select("query_id", (F.col("_kept") < F.col("_all")).alias("has_more"))
+    return kept.join(more, "query_id").select("query_id", "rank", F.round("score", 6).alias("score"), "snippet", *(["text"] if full else []), "used", "has_more", "citation")
+
+
+def access_log(hits: DataFrame, at: Column) -> DataFrame:
+    """(document_id, at, call) of the documents that a search brought up, each once a query."""
+    return hits.select(F.col("citation.document_id").alias("document_id"), at.alias("at"), F.col("query_id").cast("string").alias("call")).distinct()
+
+
 def citation() -> Column:
     return F.struct("document_id", "chunk_id", "path", "title", "heading_path", "page", "source")
 
