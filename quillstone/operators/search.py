@@ -58,7 +58,8 @@ def search(chunks: DataFrame, queries: DataFrame, k: int = HITS, mode: str = "hy
     ``chunks`` has chunk_id and text, and what a citation names, with status; filter it first (``scope``).  Either ranking brings
     ``pool(k)`` rows; ``cells``, the chunks' embeddings in long form, saves making them anew.  An unknown mode is hybrid, an
     unknown detail compact.  A query without tokens finds nothing, nor does the vector side find chunks that share no
-    bucket with it.  ``has_more`` says that the budget left hits out.
+    bucket with it.  That side makes a row of each bucket that a chunk and a query share, summed before the shuffle;
+    for thousands of queries ``vector_search`` is the cheaper way.  ``has_more`` says that the budget left hits out.
     """
     if k < 1:
         raise ValueError(f"k must be 1 or more, not {k}")
