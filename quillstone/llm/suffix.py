@@ -242,40 +242,48 @@ def _new(*cols: np.ndarray) -> np.ndarray:
     return out
 
 
+def _again(key: np.ndarray, d1: np.ndarray, d2: np.ndarray, doc: np.ndarray, row: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of contexts sorted by key, digest, document, place and row: which have an earlier equal, and of the others one for each row."""
+    first = _new(key, d1, d2)
+    best = np.flatnonzero(first)[np.cumsum(first) - 1]
+    again = (doc != doc[best]) | (lo != lo[best])
+    return again, ~again & _new(key, d1, d2, row)
+
+
 def _places(length: int, gram: int):
-    """From documents with their shared grams to (key, d1, d2, doc_id, lo, hi, at, bytes), ``at`` the gram's place in bytes: of equal contexts in a task the earliest has
-    its bytes; the others are repeats already, have none, and get a key of their own."""
+    """From documents with their shared grams to (key, d1, d2, doc_id, row, lo, hi, at, bytes), ``at`` the gram's place in bytes: of equal contexts in a task the earliest has
+    its bytes, as has each other row with the same doc_id and place; the others are repeats already, have none, and get a key of their own."""
 
     def emit(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        key, d1, d2, doc, lo, hi, mid, size, data = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((lo, doc, d2, d1, key))
-        first = np.zeros(len(key), bool)
-        first[order] = _new(key[order], d1[order], d2[order])
+        key, d1, d2, doc, row, lo, hi, mid, size, data = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((row, lo, doc, d2, d1, key))
+        first, again = np.zeros(len(key), bool), np.zeros(len(key), bool)
+        again[order], first[order] = _again(*(x[order] for x in (key, d1, d2, doc, row, lo)))
         data = data[np.repeat(first, size)]
-        # Repeats that follow each other in a document are one span, so a periodic text or a copy takes few rows.
-        rest = np.flatnonzero(~first)
-        rest = rest[np.lexsort((lo[rest], doc[rest]))]
+        # Repeats that follow each other in a row are one span, so a periodic text or a copy takes few rows.
+        rest = np.flatnonzero(again)
+        rest = rest[np.lexsort((lo[rest], row[rest], doc[rest]))]
         start = np.ones(len(rest), bool)
-        start[1:] = (doc[rest[1:]] != doc[rest[:-1]]) | (lo[rest[1:]] > hi[rest[:-1]] + 1)
+        start[1:] = (doc[rest[1:]] != doc[rest[:-1]]) | (row[rest[1:]] != row[rest[:-1]]) | (lo[rest[1:]] > hi[rest[:-1]] + 1)
         start = np.flatnonzero(start)
         span = rest[start]
         last = np.maximum.reduceat(hi[rest], start) if len(start) else hi[span]
         spread = mix(doc[span].view(np.uint64) * np.uint64(31) + lo[span].astype(np.uint64)).view(np.int64)
         hi = np.concatenate((hi[first], last))
         key = np.concatenate((key[first], spread))
-        d1, d2, doc, lo, mid, size = (np.concatenate((x[first], x[span])) for x in (d1, d2, doc, lo, mid, size))
+        d1, d2, doc, row, lo, mid, size = (np.concatenate((x[first], x[span])) for x in (d1, d2, doc, row, lo, mid, size))
         first = np.arange(len(key)) < len(key) - len(span)
         at = np.concatenate(([0], np.cumsum(np.where(first, size, 0))))
         for a in range(0, len(key), 20_000):
             b = min(len(key), a + 20_000)
-            cols = [pa.array(x[a:b]) for x in (key, d1, d2, doc, lo, hi, mid)]
-            yield pa.RecordBatch.from_arrays([*cols, _binary(data[at[a] : at[b]], size[a:b], first[a:b])], ["key", "d1", "d2", "doc_id", "lo", "hi", "at", "bytes"])
+            cols = [pa.array(x[a:b]) for x in (key, d1, d2, doc, row, lo, hi, mid)]
+            yield pa.RecordBatch.from_arrays([*cols, _binary(data[at[a] : at[b]], size[a:b], first[a:b])], ["key", "d1", "d2", "doc_id", "row", "lo", "hi", "at", "bytes"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, weight = [], 0
         for batch in passes(batches, "text", PASS):
             data, starts = texts(batch.column(1))
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, own_row = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 4))
             doc, h, at, lo, hi = anchors(data, starts, length, gram)
             if not len(h):
                 continue
@@ -297,8 +305,8 @@ def _places(length: int, gram: int):
             key = np.concatenate((h[pick].view(np.int64), d1[len(pick) :]))
             size = last - first + length
             mid = np.concatenate((at[pick] - lo[pick], np.full(len(single), -1)))
-            held.append((key, d1, d2, ids[who], first - starts[who], last - starts[who], mid, size, data[_runs(first, size)]))
-            weight += int(size.sum()) + 80 * len(who)
+            held.append((key, d1, d2, ids[who], own_row[who], first - starts[who], last - starts[who], mid, size, data[_runs(first, size)]))
+            weight += int(size.sum()) + 88 * len(who)
             if weight > 12 << 20:
                 yield from emit(held)
                 held, weight = [], 0
@@ -308,8 +316,8 @@ def _places(length: int, gram: int):
     return run
 
 
-def _solve(size: np.ndarray, doc: np.ndarray, lo: np.ndarray, data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Contexts end to end, to (doc_id, lo, hi) of runs of their windows that have an earlier equal among them."""
+def _solve(size: np.ndarray, doc: np.ndarray, row: np.ndarray, lo: np.ndarray, data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Contexts end to end, to (doc_id, row, lo, hi) of runs of their windows that have an earlier equal among them."""
     base = np.concatenate(([0], np.cumsum(size)[:-1]))
     wins = size - length + 1
     starts, ctx = _runs(base, wins), np.repeat(np.arange(len(size)), wins)
@@ -320,31 +328,29 @@ def _solve(size: np.ndarray, doc: np.ndarray, lo: np.ndarray, data: np.ndarray,
     hit = np.flatnonzero(repeats(data, starts, rank, length))
     cut = np.flatnonzero(_new(hit - np.arange(len(hit)), ctx[hit]))
     a, b = hit[cut], hit[np.append(cut[1:], len(hit)) - 1] if len(hit) else hit[cut]
-    return doc[ctx[a]], place[a], place[b]
+    return doc[ctx[a]], row[ctx[a]], place[a], place[b]
 
 
 def _match(length: int, gram: int):
-    """Rows sorted by key, digest, document and place, to (doc_id, lo, hi): windows lo to hi of a document have an earlier equal."""
+    """Rows sorted by key, digest, document, place and row, to (doc_id, row, lo, hi): windows lo to hi of a row have an earlier equal."""
 
-    def known(table: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        key, d1, d2, doc, lo, hi, mid = (table.column(i).to_numpy(zero_copy_only=False) for i in range(7))
-        sent = table.column(7).is_valid().to_numpy(zero_copy_only=False)
-        yield doc[~sent], lo[~sent], hi[~sent]
+    def known(table: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+        key, d1, d2, doc, row, lo, hi, mid = (table.column(i).to_numpy(zero_copy_only=False) for i in range(8))
+        sent = table.column(8).is_valid().to_numpy(zero_copy_only=False)
+        yield doc[~sent], row[~sent], lo[~sent], hi[~sent]
         at = np.flatnonzero(sent)
-        key, d1, d2, doc, lo, hi, mid = (x[at] for x in (key, d1, d2, doc, lo, hi, mid))
+        key, d1, d2, doc, row, lo, hi, mid = (x[at] for x in (key, d1, d2, doc, row, lo, hi, mid))
         if not len(at):
             return
-        first = _new(key, d1, d2)
-        best = np.flatnonzero(first)[np.cumsum(first) - 1]
-        again = (doc != doc[best]) | (lo != lo[best])
-        yield doc[again], lo[again], hi[again]
-        at, key, doc, lo, mid = (x[first] for x in (at, key, doc, lo, mid))
+        again, first = _again(key, d1, d2, doc, row, lo)
+        yield doc[again], row[again], lo[again], hi[again]
+        at, key, doc, row, lo, mid = (x[first] for x in (at, key, doc, row, lo, mid))
         many = lambda x: np.bincount(np.cumsum(x) - 1)[np.cumsum(x) - 1] > 1
         some = many(_new(key))
-        at, key, doc, lo, mid = (x[some] for x in (at, key, doc, lo, mid))
+        at, key, doc, row, lo, mid = (x[some] for x in (at, key, doc, row, lo, mid))
         if not len(at):
             return
-        column = table.column(7).take(pa.array(at))
+        column = table.column(8).take(pa.array(at))
         offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
         data, size = np.frombuffer(column.buffers()[2], np.uint8), np.diff(offsets)
         # A shared window holds the gram and as many more bytes to its right, or to its left, as half of what is left: contexts
@@ -360,21 +366,21 @@ def _match(length: int, gram: int):
         again[np.flatnonzero(near)] = many(_new(key[near]))
         if not again.any():
             return
-        data, key, doc, lo, size = data[_runs(offsets[:-1][again], size[again])], key[again], doc[again], lo[again], size[again]
+        data, key, doc, row, lo, size = data[_runs(offsets[:-1][again], size[again])], key[again], doc[again], row[again], lo[again], size[again]
         offsets = np.concatenate(([0], np.cumsum(size)))
         edges = np.append(np.flatnonzero(_new(key)), len(key))
         a = 0
         while a < len(edges) - 1:
             b = max(a + 1, int(np.searchsorted(offsets[edges], offsets[edges[a]] + BLOCK, "right")) - 1)
             x, y = edges[a], edges[b]
-            yield _solve(size[x:y], doc[x:y], lo[x:y], data[offsets[x] : offsets[y]], length)
+            yield _solve(size[x:y], doc[x:y], row[x:y], lo[x:y], data[offsets[x] : offsets[y]], length)
             a = b
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
             for batch in table.combine_chunks().to_batches():
                 cols = [np.concatenate(x) for x in zip(*known(batch), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "lo", "hi"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "row", "lo", "hi"])
 
         held, n = [], 0
         for batch in batches:
@@ -439,30 +445,34 @@ def repeated_bytes(docs: DataFrame, length: int = 100, gram: int = GRAM, hot: in
        their digest, so no key holds more than tasks have distinct contents.
     3. Contexts of one gram meet in a task and are read in order.  Blocks of them go through the suffix sorter,
        where equal windows are neighbours; all but the earliest are repeats.
-    4. Documents get their repeated windows and are cut.
+    4. Rows get their repeated windows, by doc_id and the text's hash, and are cut.
 
-    Null texts count as empty.  Rows that repeat a doc_id count as the same document: equal starts are not earlier.
+    Null texts count as empty.  Rows that repeat a doc_id count as the same document: equal starts are not earlier; each is
+    cut where its own text repeats.
     A null id is less than any other.
     """
     if gram >= length or length - gram > 200 or length < 16:
         raise ValueError("gram must be shorter than length, by 200 at most, and length 16 at least")
     small_batches(docs.sparkSession)
     null = -(1 << 63)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(null)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(null)).alias("doc_id"), text.alias("text"))
     grams = rows.mapInArrow(_grams(length, gram), "gram long, doc_id long, times int")
     shared = grams.groupBy("gram").agg(F.sum("times").alias("n")).where("n > 1")
     mine = grams.select("gram", "doc_id").join(shared, "gram").groupBy("doc_id").agg(
         F.collect_set(F.when(F.col("n") <= hot, F.col("gram"))).alias("grams"), F.collect_set(F.when(F.col("n") > hot, F.col("gram"))).alias("hot")
     )
     mine = written(mine, "grams")
-    places = rows.join(mine, "doc_id").select("doc_id", "text", "grams", "hot").mapInArrow(_places(length, gram), "key long, d1 long, d2 long, doc_id long, lo long, hi long, at long, bytes binary")
+    places = rows.join(mine, "doc_id").select("doc_id", "text", "grams", "hot", F.xxhash64("text").alias("row")).mapInArrow(_places(length, gram), "key long, d1 long, d2 long, doc_id long, row long, lo long, hi long, at long, bytes binary")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = places.repartition(parts, "key").sortWithinPartitions("key", "d1", "d2", "doc_id", "lo")
-    spans = met.mapInArrow(_match(length, gram), "doc_id long, lo long, hi long").groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    met = places.repartition(parts, "key").sortWithinPartitions("key", "d1", "d2", "doc_id", "lo", "row")
+    spans = met.mapInArrow(_match(length, gram), "doc_id long, row long, lo long, hi long").repartition("doc_id").groupBy(F.col("doc_id").alias("of"), "row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if keep_text else "")
     schema += "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carry)
     more = [F.col(c).alias(f"_carry{i}") for i, c in enumerate(carry)]
-    texts_of = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(null)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
-    out = texts_of.join(spans, "doc_id", "left").select("doc_id", "text", "spans", *(f"_carry{i}" for i in range(len(carry))))
+    texts_of = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(null)).alias("doc_id"), text.alias("text"), *more)
+    # Not an equality, which would be a key of the join: by doc_id alone, texts are dealt as for step 2, and not once more.
+    same = F.xxhash64("text").bitwiseXOR(F.col("row")) == 0
+    out = texts_of.join(spans, (F.col("doc_id") == F.col("of")) & same, "left").select("doc_id", "text", "spans", *(f"_carry{i}" for i in range(len(carry))))
     out = out.mapInArrow(_cut(length, keep_text, list(carry)), schema)
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(null)))

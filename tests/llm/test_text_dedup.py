@@ -142,3 +142,27 @@ def test_repeated_bytes_empty(spark):
     rows = [(None, "z" * 120), (None, "z" * 120), (5, "z" * 120), (5, "z" * 120)]
     got = suffix.repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id is None, r.n_removed) for r in got) == [(False, 120), (False, 120), (True, 119), (True, 119)]
+
+
+@pytest.mark.parametrize("hot", [20_000, 1])
+def test_rows_that_repeat_an_id_in_one_task(spark, hot):
+    rng = np.random.default_rng(21)
+    a, b, c, tail = ("".join(rng.choice(list("abcdefghij é"), n)) for n in (300, 300, 300, 80))
+    texts = [(3, c), (5, a), (5, a), (6, b + tail), (6, b), (7, c + a), (7, c + b), (7, "short"), (8, a + tail), (None, b[:150]), (None, "x" + b[:150]), (None, "brief")]
+    first = {}
+    for i, t in texts:
+        raw = t.encode()
+        for s in range(len(raw) - 99):
+            first[raw[s : s + 100]] = min(first.get(raw[s : s + 100], (1 << 62, 0)), (-1 if i is None else i, s))
+    want = []
+    for i, t in texts:
+        raw, gone = t.encode(), np.zeros(len(t.encode()), bool)
+        for s in range(len(raw) - 99):
+            if first[raw[s : s + 100]] < (-1 if i is None else i, s):
+                gone[s : s + 100] = True
+        want.append((str(i), len(raw), int(gone.sum()), hashlib.sha256(np.frombuffer(raw, np.uint8)[~gone].tobytes()).hexdigest()))
+    rows = spark.createDataFrame(texts, "doc_id long, text string")
+    for docs in (rows.coalesce(1), rows.repartition(6)):
+        got = suffix.repeated_bytes(docs, hot=hot).collect()
+        assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.kept_sha256) for r in got) == sorted(want)
+    assert want[1][2] == want[2][2] == 0
