@@ -18,7 +18,7 @@ GROUP_DOCS = 8192
 #: Attention cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1.0 / 512
 
-_loaded: dict[str, object] = {}
+_loaded: dict[tuple[str, bool], object] = {}
 
 
 def _unicode_bytes() -> dict[str, int]:
@@ -28,20 +28,22 @@ def _unicode_bytes() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def id_encoder(path: str):
-    """texts -> list of id arrays, equal to the ``tokenizers`` file at ``path`` without special tokens.
+def id_encoder(path: str, added: bool = False):
+    """texts -> list of id arrays, equal to the ``tokenizers`` file at ``path`` with ``add_special_tokens=False``.
+
+    With ``added`` the text of a special token gets that token's id, as that library does by default; else it is ordinary text.
 
     That library is several times slower than tiktoken on whole texts.  If the file is a plain byte-level BPE whose
     merges go by id, tiktoken gets its vocabulary; the two are compared on probe texts, and any difference
-    makes us stay with the file's own library.
+    makes us stay with the file's own library.  Texts that hold an added token go to the file's own library.
     """
-    if path in _loaded:
-        return _loaded[path]
+    if (path, added) in _loaded:
+        return _loaded[path, added]
     import tiktoken
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
+    own.encode_special_tokens = not added
     slow = lambda texts: [np.array(e.ids, np.uint32) for e in own.encode_batch(texts, add_special_tokens=False)]
     pick = slow
     with open(path, encoding="utf-8") as f:
@@ -51,16 +53,18 @@ def id_encoder(path: str):
         import public_tokenizers
 
         back, special = _unicode_bytes(), {x["content"] for x in spec.get("added_tokens", [])}
+        apart = [x["content"] for x in spec.get("added_tokens", []) if added or not x.get("special")]
         try:
             ranks = {bytes(back[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
             coder = tiktoken.Encoding("from-json", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-            fast = lambda texts: [coder.encode_to_numpy(t, disallowed_special=()) for t in texts]
+            one = lambda t: slow([t])[0] if any(x in t for x in apart) else coder.encode_to_numpy(t, disallowed_special=())
+            fast = lambda texts: [one(t) for t in texts]
             probe = ["", "Hello world's  end\n\n  x", "éèç ñ ß Ä 東京   \x1c\x85 ok", "aaaaaaaa 1234567 --==++ <|endoftext|> \t\r\n", "\U0001f600 naïve İ ſ"]
             if all(np.array_equal(a, b) for a, b in zip(slow(probe), fast(probe), strict=True)):
                 pick = fast
         except KeyError:
             pass
-    _loaded[path] = pick
+    _loaded[path, added] = pick
     return pick
 
 
@@ -93,7 +97,7 @@ class Packer:
             length -= take
 
 
-def pack(docs: DataFrame, path: str, size: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", group_docs: int = GROUP_DOCS) -> DataFrame:
+def pack(docs: DataFrame, path: str, size: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", group_docs: int = GROUP_DOCS, added: bool = False) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Documents are tokenised where they are read, ``end_id`` closes each.  Whole blocks of ``size`` tokens
@@ -101,6 +105,8 @@ def pack(docs: DataFrame, path: str, size: int = 1024, end_id: int = 0, id_col:
     ``group_docs`` documents, so a group stays within one task's memory however large the table is, and costs at most
     one padded sequence.  ``sequence_id`` is the group's number times 2**32 plus the sequence's number there.
 
+    ``added``: whether a special token's text gets its id, as by the ``tokenizers`` library's default (see ``id_encoder``).
+
     Null and empty texts are one end token.  Repeated rows are packed each.  Ties in length go by doc_id,
     then ids.  An empty table has no pieces.
     """
@@ -109,7 +115,7 @@ def pack(docs: DataFrame, path: str, size: int = 1024, end_id: int = 0, id_col:
     groups = max(1, -(-docs.count() // group_docs))
 
     def tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = id_encoder(path)
+        encode = id_encoder(path, added)
         for batch in batches:
             n, whole, tail = [], [], []
             for ids in encode([t or "" for t in batch.column(1).to_pylist()]):

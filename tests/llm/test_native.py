@@ -108,3 +108,21 @@ def test_packing_balances_cost():
     for n in sorted([60, 60, 40, 40, 40, 40, 30, 30, 20, 20, 20], reverse=True):
         list(p.add(n))
     assert p.room.sum() == 0 and p.cost.max() - p.cost.min() < 20
+
+
+def test_packing_query_gives_added_tokens_their_ids(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from quillstone.llm import catalog
+
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [(1, "a <|endoftext|> b"), (2, "<|endoftext|>"), (3, "plain text"), (4, "x<|endoftext|><|endoftext|>\n y"), (5, "<|endoftext |>")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    want = {i: own.encode(t, add_special_tokens=False).ids + [0] for i, t in texts}
+    assert 50256 in want[1]
+    for got in (catalog.op8_packing(spark, f"file://{tmp_path}"), corpus_pipeline.packed(spark, docs, "")):
+        seen = {r.doc_id: (r.doc_tokens, r.ids_crc32) for r in got.collect() if r.start == 0 and r.length == r.doc_tokens}
+        assert all(seen.get(i, want_of) == want_of for i, ids in want.items() for want_of in [(len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))])
+        assert {r.doc_id: r.doc_tokens for r in got.collect()} == {i: len(ids) for i, ids in want.items()}
