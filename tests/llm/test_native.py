@@ -126,3 +126,17 @@ def test_packing_query_gives_added_tokens_their_ids(spark, tmp_path):
         seen = {r.doc_id: (r.doc_tokens, r.ids_crc32) for r in got.collect() if r.start == 0 and r.length == r.doc_tokens}
         assert all(seen.get(i, want_of) == want_of for i, ids in want.items() for want_of in [(len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))])
         assert {r.doc_id: r.doc_tokens for r in got.collect()} == {i: len(ids) for i, ids in want.items()}
+
+
+def test_packing_of_a_run_of_over_a_million_blanks(spark):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [(1, "a" + " " * 1_300_000 + "b"), (2, "x" + "\n" * 1_300_000), (3, "a plain text")]
+    got = packing.pack(spark.createDataFrame(texts, "doc_id long, text string"), public_tokenizers.path("byte_bpe_50k.json"), added=True).collect()
+    for i, text in texts:
+        want, at = own.encode(text, add_special_tokens=False).ids + [0], 0
+        for r in sorted((r for r in got if r.doc_id == i), key=lambda r: r.start):
+            assert (r.start, r.doc_tokens, r.ids_crc32) == (at, len(want), zlib.crc32(np.array(want[at : at + r.length], "<u4").tobytes()))
+            at += r.length
+        assert at == len(want)
