@@ -16,10 +16,10 @@ from .graph import components
 
 #: Bins of the one permutation and bins of a band; a pair at similarity 0.8 meets in no band with odds of 5e-8.
 BINS, BAND = 128, 4
-#: Shingles of about so many are in a block; of what is left last, blocks are compared with blocks.
-BLOCK = 200_000
-#: Shingles that are columns of a block's matrix at a time.
-COLUMNS = 4096
+#: Shingles and documents of about so many are in a block; of what is left last, blocks are compared with blocks.
+BLOCK, BLOCK_DOCS = 200_000, 2000
+#: Shingles that are columns of a block's matrix at a time, and its rows that are compared at a time.
+COLUMNS, ROWS = 4096, 256
 
 _bin = np.arange(BINS, dtype=np.uint64)
 
@@ -99,10 +99,6 @@ def _linked(num: int, den: int):
             part = np.zeros((len(doc), COLUMNS), np.float32)
             part[row[x:y], col[x:y] - c] = 1
             both += part @ part.T
-        near = both * den >= (size[:, None] + size[None, :] - both) * num
-        near &= np.not_equal.outer(comp, comp)
-        if block.min() != block.max():
-            near &= np.not_equal.outer(block, block)
         parent: dict[int, int] = {}
 
         def root(x: int) -> int:
@@ -111,11 +107,17 @@ def _linked(num: int, den: int):
             return x
 
         out = []
-        for i, j in zip(*np.nonzero(np.triu(near)), strict=True):
-            p, q = root(int(comp[i])), root(int(comp[j]))
-            if p != q:
-                parent[max(p, q)] = min(p, q)
-                out.append((int(doc[i]), int(doc[j])))
+        for at in range(0, len(doc), ROWS):
+            rows = slice(at, at + ROWS)
+            near = both[rows] * den >= (size[rows, None] + size[None, :] - both[rows]) * num
+            near &= np.not_equal.outer(comp[rows], comp)
+            if block.min() != block.max():
+                near &= np.not_equal.outer(block[rows], block)
+            for i, j in zip(*np.nonzero(np.triu(near, at)), strict=True):
+                p, q = root(int(comp[at + i])), root(int(comp[j]))
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+                    out.append((int(doc[at + i]), int(doc[j])))
         return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
     return run
@@ -124,15 +126,15 @@ def _linked(num: int, den: int):
 def blockwise(entries: DataFrame, sets: DataFrame, num: int, den: int, block: int = BLOCK) -> DataFrame:
     """Links (a, b) across components among the documents of ``entries`` (band, doc_id, n, comp).
 
-    Documents that buckets tie together are dealt by hash to blocks of about ``block`` shingles; each two blocks
-    are one task's matrix product.  A document is sent once for each block of its own tie, so rows are far
+    Documents that buckets tie together are dealt by hash to blocks of about ``block`` shingles and no more than about
+    ``BLOCK_DOCS`` documents; each two blocks are one task's matrix product.  A document is sent once for each block of its own tie, so rows are far
     fewer than pairs and no task holds more than two blocks.
     """
     first = entries.groupBy("band").agg(F.min("doc_id").alias("a"))
     ties = components(entries.join(first, "band").select("a", F.col("doc_id").alias("b")))
     own = entries.select("doc_id", "n", "comp").distinct().join(ties.select(F.col("node").alias("doc_id"), F.col("comp").alias("tie")), "doc_id")
     own = written(own, "own")
-    blocks = own.groupBy("tie").agg(F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("blocks"))
+    blocks = own.groupBy("tie").agg(F.ceil(F.greatest(F.sum("n") / F.lit(block), F.count("*") / F.lit(BLOCK_DOCS))).cast("int").alias("blocks"))
     dealt = own.join(blocks, "tie").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("doc_id", "comp", "tie", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))

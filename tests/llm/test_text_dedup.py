@@ -3,6 +3,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillstone.llm import minhash, suffix
@@ -166,3 +167,22 @@ def test_rows_that_repeat_an_id_in_one_task(spark, hot):
         got = suffix.repeated_bytes(docs, hot=hot).collect()
         assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.kept_sha256) for r in got) == sorted(want)
     assert want[1][2] == want[2][2] == 0
+
+
+def test_blocks_are_bounded_in_documents(spark, monkeypatch):
+    def counted(num, den):
+        return lambda table: pa.table({"a": [table.num_rows], "b": [0]})
+
+    monkeypatch.setattr(minhash, "_linked", counted)
+    entries = spark.range(9000).selectExpr("1L band", "id doc_id", "3L n", "id comp")
+    sets = spark.range(9000).selectExpr("id doc_id", "array(1L, 2L, id) set")
+    got = [r.a for r in minhash.blockwise(entries, sets, 80, 100).collect()]
+    assert len(got) > 1 and max(got) < 2.2 * 2000
+
+
+def test_short_documents_are_linked_across_blocks(spark):
+    # Documents i and i + 2500 have the same shingles, all others have none in common.
+    entries = spark.range(5000).selectExpr("1L band", "id doc_id", "9L n", "id comp")
+    sets = spark.range(5000).selectExpr("id doc_id", "transform(sequence(0, 8), x -> 10 * (id % 2500) + x) set")
+    got = sorted((min(r.a, r.b), max(r.a, r.b)) for r in minhash.blockwise(entries, sets, 80, 100).collect())
+    assert got == [(i, i + 2500) for i in range(2500)]
