@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm import exact, minhash, packing, quality, suffix
@@ -15,26 +15,44 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
-#: Most ids that are sent to every task; more are met by a join.
+#: Most rows' keys that are sent to every task; more are met by a join.
 SENT_IDS = 500_000
 
 
-def _without(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``found`` keeps: texts stay where they are unless what goes is too much to send around."""
-    gone = written(found.where("NOT kept").select("doc_id"), "gone")
+def _without(docs: DataFrame, found: DataFrame, **by: Column) -> DataFrame:
+    """The rows of ``docs`` that ``found`` keeps, matched by its columns named in ``by`` to the values there, null to null.
+
+    Texts stay where they are unless what goes is too much to send around.
+    """
+    gone = written(found.where("NOT kept").select(*(F.col(c).alias(f"_gone_{c}") for c in by)), "gone")
     if gone.count() <= SENT_IDS:
         gone = F.broadcast(gone)
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone, [v.eqNullSafe(F.col(f"_gone_{c}")) for c, v in by.items()], "left_anti").select(docs.columns)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a ``_key`` in the order of the ids, nulls last, that is another one for each text of an id."""
+    rows = docs.withColumn("_text", F.xxhash64(F.coalesce("text", F.lit(""))))
+    keys = rows.select("doc_id", "_text").distinct().orderBy(F.asc_nulls_last("doc_id"), "_text")
+    keys = written(keys.select(F.col("doc_id").alias("_id"), F.col("_text").alias("_of"), F.monotonically_increasing_id().alias("_key")), "keys")
+    return written(rows.join(keys, [F.col("doc_id").eqNullSafe(F.col("_id")), F.col("_text") == F.col("_of")]).select(*docs.columns, "_key"), "keyed")
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    return _without(docs, exact.exact_dedup(docs))
+    found = exact.exact_dedup(docs).withColumn("text", F.xxhash64("text_sha256"))
+    return _without(docs, found, doc_id=F.col("doc_id"), text=F.xxhash64(exact.digest(F.col("text"))))
 
 
 def dissimilar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, by five-word shingles at a similarity of 0.8."""
-    return _without(docs, minhash.near_duplicates(docs))
+    """One document of each group of near duplicates, by five-word shingles at a similarity of 0.8.
+
+    The operator takes rows of one id as one document and leaves null ids alone: where there are any, rows get keys of their own.
+    """
+    if not docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").limit(1).count():
+        return _without(docs, minhash.near_duplicates(docs), doc_id=F.col("doc_id"))
+    keyed = _keyed(docs)
+    return _without(keyed, minhash.near_duplicates(keyed, id_col="_key"), doc_id=F.col("_key")).select(docs.columns)
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -11,6 +11,11 @@ from .common import written
 _WHITE = " \t\n\x0b\x0c\r"
 
 
+def digest(text: Column) -> Column:
+    """What equal texts have in common; a null text counts as empty."""
+    return F.sha2(F.translate(F.coalesce(text, F.lit("")), _WHITE, ""), 256)
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = 0.001) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -24,7 +29,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = written(
-        docs.select(F.col(id_col).alias("doc_id"), F.sha2(F.translate(text, _WHITE, ""), 256).alias("text_sha256"), F.length(text).alias("_len")),
+        docs.select(F.col(id_col).alias("doc_id"), digest(F.col(text_col)).alias("text_sha256"), F.length(text).alias("_len")),
         "digests",
     )
     best = F.struct(F.col("_len"), F.col("doc_id").isNotNull(), -F.col("doc_id"), F.col("doc_id"))

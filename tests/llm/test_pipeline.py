@@ -50,3 +50,17 @@ def test_stages(spark, folder):
 def test_run(spark, folder):
     out = corpus_pipeline.run(spark, folder[0])
     assert set(out.columns) == {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"} and out.count() > 100
+
+
+@pytest.mark.parametrize("sent", [500_000, 0])
+def test_null_and_repeated_ids(spark, monkeypatch, sent):
+    monkeypatch.setattr(corpus_pipeline, "SENT_IDS", sent)
+    rng = np.random.default_rng(13)
+    a, b, c, d, e = (" ".join("w" + str(x) for x in rng.integers(0, 10**6, 60)) for _ in range(5))
+    rows = lambda *x: spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in x], ROWS)
+    left = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    got = corpus_pipeline.distinct(spark, rows((1, a), (None, a), (5, a), (5, b), (6, b + " "), (7, c), (7, c), (None, d), (None, None)), "")
+    assert left(got) == sorted([(1, a), (6, b + " "), (7, c), (7, c), (None, d), (None, None)], key=str)
+    got = corpus_pipeline.dissimilar(spark, rows((3, a), (5, a + " more"), (5, b), (6, b + " again"), (7, c), (7, c), (None, d), (8, d + " end"), (None, c + " x"), (None, e), (9, None)), "")
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert left(got) == sorted([(3, a), (5, b), (7, c), (7, c), (8, d + " end"), (None, e), (9, None)], key=str)
