@@ -160,4 +160,4 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
                     kept.append(ids)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).cast(pa.int64()), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(b, pa.string())} | ({"ids": pa.array(kept, pa.binary())} if keep_ids else {}))
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(lean(run), schema)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,22 +29,75 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder named in ``spark.checkpoint.dir``; where that is unset, one of our own if driver and executors are one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quillstone-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+#: Paths of the tables that were written and not dropped since, in order.
+made: list[str] = []
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and outlives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(spark: SparkSession, since: int, but: int = 0) -> None:
+    """Delete the tables ``made`` from number ``since`` on, but for the last ``but`` ones, which is for callers that read them no more."""
+    jvm = spark._jvm
+    for path in made[since : len(made) - but]:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+        made.remove(path)
+
+
+def release() -> None:
+    """Give memory that Arrow and the C library hold for later back to the system: workers idle long, beside others."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(run: Callable) -> Callable:
+    """An Arrow function over batches that leaves its worker as small as it found it."""
+
+    @functools.wraps(run)
+    def trimmed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return trimmed
+
+
+def lean_group(run: Callable) -> Callable:
+    """The same of a function over one group's table."""
+
+    @functools.wraps(run)
+    def trimmed(table: pa.Table) -> pa.Table:
+        try:
+            return run(table)
+        finally:
+            del table
+            release()
+
+    return trimmed
+
+
 def passes(batches: Iterable[pa.RecordBatch], text: str, limit: int = PASS_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the ``text`` column of each holds at most ``limit`` bytes (one row at least)."""
     import numpy as np

@@ -176,7 +176,7 @@ def score(docs: DataFrame, parts: int = 7, held: int = 2, id_col: str = "doc_id"
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), held_out(id_col, parts, held).alias("held_out"))
-    counted = rows.select("text", "held_out").mapInArrow(_count, "h long, n long, m long, c int")
+    counted = rows.select("text", "held_out").mapInArrow(lean(_count), "h long, n long, m long, c int")
     counts = written(counted.groupBy("h").agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.max("c").alias("c")), "counts")
     total, kinds = counts.agg(F.coalesce(F.sum("m"), F.lit(0)), F.count(F.when(F.col("m") > 0, 1))).first()
     top = counts.where(_grade() >= _least_grade(counts, TABLE)).toPandas().sort_values(["n", "h"], ascending=[False, True])
@@ -233,7 +233,7 @@ def score(docs: DataFrame, parts: int = 7, held: int = 2, id_col: str = "doc_id"
         return pa.table({"grp": table.column("grp")[:1], "n": pa.array([sum(table.column("n").to_pylist())]), "w": pa.array([w.tobytes()], pa.binary())})
 
     kind = "grp long, n long, w binary"
-    got = rows.where(~F.col("held_out")).select("text").mapInArrow(learn, kind).groupBy("grp").applyInArrow(add, kind).collect()
+    got = rows.where(~F.col("held_out")).select("text").mapInArrow(lean(learn), kind).groupBy("grp").applyInArrow(lean_group(add), kind).collect()
     if got:
         flat, at = sum(np.frombuffer(r.w, np.float64) for r in sorted(got)) / sum(r.n for r in got), 0
         for i, p in enumerate(net.par):
@@ -258,7 +258,7 @@ def score(docs: DataFrame, parts: int = 7, held: int = 2, id_col: str = "doc_id"
             })
 
     kind = "doc_id long, held_out boolean, n_tokens long, known long, logs double, part double, rare array<long>"
-    judged = rows.select("doc_id", "text", "held_out").mapInArrow(judge, kind)
+    judged = rows.select("doc_id", "text", "held_out").mapInArrow(lean(judge), kind)
     judged = written(judged.withColumn("row", F.monotonically_increasing_id()), "judged")
     found = judged.select("row", F.explode("rare").alias("h")).join(counts.select("h", "m"), "h")
     found = found.groupBy("row").agg(F.sum(F.log10(F.col("m") + 1.0)).alias("more"), F.count(F.when(F.col("m") > 0, 1)).alias("also"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import passes, small_batches, written
+from .common import lean, lean_group, passes, small_batches, written
 from .flat import Words, arrays, mix, shingle_sets, texts
 from .graph import components
 
@@ -20,6 +21,8 @@ BINS, BAND = 128, 4
 BLOCK, BLOCK_DOCS = 200_000, 2000
 #: Shingles that are columns of a block's matrix at a time, and its rows that are compared at a time.
 COLUMNS, ROWS = 4096, 256
+#: Rows of a bucket that are dealt to one key; keys of over one in so many rows are met where those rows are read.
+SALTED, HOT = 1000, 2000
 
 _bin = np.arange(BINS, dtype=np.uint64)
 
@@ -48,6 +51,13 @@ def signatures(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return sig
 
 
+def _equal(sets: np.ndarray, bounds: np.ndarray) -> list[pa.Array]:
+    """128 bits of a cryptographic hash of each whole set: what has the same is the same set."""
+    raw, at = sets.astype("<u8").tobytes(), (bounds * 8).tolist()
+    both = np.frombuffer(b"".join(hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(at, at[1:], strict=False)), "<i8")
+    return [pa.array(both[0::2]), pa.array(both[1::2])]
+
+
 def _sign(k: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in passes(batches, "text"):
@@ -57,25 +67,45 @@ def _sign(k: int):
             bands = np.broadcast_to(mix(np.arange(BINS // BAND, dtype=np.uint64) + np.uint64(11)), sig.shape[:2]).copy()
             for j in range(BAND):
                 bands = mix(bands * np.uint64(0xD6E8FEB86659FD93) + sig[:, :, j])
-            run1 = np.concatenate(([np.uint64(0)], np.cumsum(mix(sets ^ np.uint64(0x5851F42D4C957F2D)))))
-            run2 = np.concatenate(([np.uint64(0)], np.cumsum(mix(sets + np.uint64(0x14057B7EF767814F)))))
             some = sizes > 0
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column(0).cast(pa.int64()), "n_shingles": pa.array(sizes),
-                "k1": pa.array((run1[bounds[1:]] - run1[bounds[:-1]]).view(np.int64)), "k2": pa.array((run2[bounds[1:]] - run2[bounds[:-1]]).view(np.int64)),
-                "bands": arrays(bands[some].view(np.int64).ravel(), np.concatenate(([0], np.cumsum(some * (BINS // BAND))))),
-            })
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).cast(pa.int64()), pa.array(sizes), *_equal(sets, bounds), arrays(bands[some].view(np.int64).ravel(), np.concatenate(([0], np.cumsum(some * (BINS // BAND)))))],
+                ["doc_id", "n_shingles", "k1", "k2", "bands"],
+            )
 
-    return run
+    return lean(run)
 
 
 def _sets(k: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in passes(batches, "text"):
             sets, bounds = shingle_sets(Words(*texts(batch.column(1))), k)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).cast(pa.int64()), "set": arrays(sets.view(np.int64), bounds)})
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *_equal(sets, bounds), arrays(sets.view(np.int64), bounds)], ["doc_id", "k1", "k2", "set"])
+
+    return lean(run)
 
-    return run
+
+def _meet(rows: DataFrame, keyed: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined with ``keyed``, which has one row a key and how many of the ``total`` rows have it as ``size``.
+
+    Rows of hot keys, of which there are no more than ``HOT``, meet a broadcast copy and are not shuffled.
+    """
+    least = max(2, -(-total // HOT))
+    hot = F.broadcast(keyed.where(F.col("size") >= least))
+    cold = keyed.where(F.col("size") < least)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key)).drop("size")
+
+
+def _with_bucket(entries: DataFrame, **of: Column) -> DataFrame:
+    """``entries`` (band, salt, cuts, ...) with aggregates ``of`` each its whole bucket, which comes once for each salt."""
+    buckets = entries.groupBy("band").agg(F.max("cuts").alias("_cuts"), *(c.alias(n) for n, c in of.items()))
+    return entries.join(buckets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("_cuts") - 1))).drop("_cuts"), ["band", "salt"])
+
+
+def _salted(entries: DataFrame, size: Column) -> DataFrame:
+    """``entries`` with cuts, how many keys the rows of a bucket of ``size`` are dealt to, and salt, which of them is a row's."""
+    cuts = F.ceil(size / F.lit(SALTED)).cast("int")
+    return entries.withColumn("cuts", cuts).withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("cuts")).cast("int"))
 
 
 def _linked(num: int, den: int):
@@ -99,72 +129,99 @@ def _linked(num: int, den: int):
             part = np.zeros((len(doc), COLUMNS), np.float32)
             part[row[x:y], col[x:y] - c] = 1
             both += part @ part.T
-        parent: dict[int, int] = {}
+        _, part_of = np.unique(comp, return_inverse=True)
+        parent = np.arange(part_of.max() + 1)  # of each component, whose it has become
 
         def root(x: int) -> int:
-            while (up := parent.get(x, x)) != x:
-                x = up
-            return x
+            while parent[x] != x:
+                x = parent[x]
+            return int(x)
 
-        out = []
+        a, b = [], []
         for at in range(0, len(doc), ROWS):
             rows = slice(at, at + ROWS)
             near = both[rows] * den >= (size[rows, None] + size[None, :] - both[rows]) * num
-            near &= np.not_equal.outer(comp[rows], comp)
+            near &= np.not_equal.outer(part_of[rows], part_of)
             if block.min() != block.max():
                 near &= np.not_equal.outer(block[rows], block)
-            for i, j in zip(*np.nonzero(np.triu(near, at)), strict=True):
-                p, q = root(int(comp[at + i])), root(int(comp[j]))
+            i, j = np.nonzero(near)
+            if not len(i):
+                continue
+            p, q = part_of[at + i], part_of[j]
+            _, first = np.unique(np.minimum(p, q) * len(parent) + np.maximum(p, q), return_index=True)
+            for x in first.tolist():  # one link for two components, as long as they are two
+                p, q = root(part_of[at + i[x]]), root(part_of[j[x]])
                 if p != q:
                     parent[max(p, q)] = min(p, q)
-                    out.append((int(doc[at + i]), int(doc[j])))
-        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+                    a.append(int(doc[at + i[x]]))
+                    b.append(int(doc[j[x]]))
+            part_of = np.array([root(x) for x in range(len(parent))])[part_of]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return run
+    return lean_group(run)
 
 
 def blockwise(entries: DataFrame, sets: DataFrame, num: int, den: int, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) across components among the documents of ``entries`` (band, doc_id, n, comp).
+    """Links (a, b) across components among the documents of ``entries`` (band, salt, cuts, doc_id, n, comp).
 
     Documents that buckets tie together are dealt by hash to blocks of about ``block`` shingles and no more than about
-    ``BLOCK_DOCS`` documents; each two blocks are one task's matrix product.  A document is sent once for each block of its own tie, so rows are far
-    fewer than pairs and no task holds more than two blocks.
+    ``BLOCK_DOCS`` documents; each two blocks of a tie are one task's matrix product.  A document's set is sent once for each block
+    of its own tie: rows are fewer than pairs by the block's size, and no task holds more than two blocks, but for a tie of many blocks
+    bytes and work grow with the square of the tie.
     """
-    first = entries.groupBy("band").agg(F.min("doc_id").alias("a"))
-    ties = components(entries.join(first, "band").select("a", F.col("doc_id").alias("b")))
+    ties = components(_with_bucket(entries, a=F.min("doc_id")).select("a", F.col("doc_id").alias("b")))
     own = entries.select("doc_id", "n", "comp").distinct().join(ties.select(F.col("node").alias("doc_id"), F.col("comp").alias("tie")), "doc_id")
     own = written(own, "own")
     blocks = own.groupBy("tie").agg(F.ceil(F.greatest(F.sum("n") / F.lit(block), F.count("*") / F.lit(BLOCK_DOCS))).cast("int").alias("blocks"))
     dealt = own.join(blocks, "tie").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("doc_id", "comp", "tie", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    full = dealt.join(sets.dropDuplicates(["doc_id"]), "doc_id")
-    return full.groupBy("tie", "i", "j").applyInArrow(_linked(num, den), "a long, b long")
+    return dealt.join(sets, "doc_id").groupBy("tie", "i", "j").applyInArrow(_linked(num, den), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     Documents are linked when ``den * |A and B| >= num * |A or B|`` for their sets of distinct ``shingle``-word
-    shingles.  Documents with equal sets are one node from the start.  The nodes of a band's bucket are candidates, tied
-    to the bucket's smallest as a star; each node is compared with the least of its buckets' centres on the
-    full sets, so first pairs are no more than nodes.  Then only buckets that hold documents of different components are looked at again.  There the shingles that
-    no other such document has bound every similarity; documents that the bound rules out are dropped, the rest are
-    compared with another pivot, and those still apart last, block against block, so no link within a bucket
-    that would join components is lost and no row is made for a pair.
+    shingles.
+
+    1. Documents with equal sets are one node, told by a cryptographic hash of the whole set.
+    2. The nodes of a band's bucket are candidates, tied to the bucket's smallest as a star; each node is compared with the
+       least of its buckets' centres on the full sets, so first pairs are no more than nodes.
+    3. Only buckets that hold documents of different components are looked at again.  There the shingles that
+       no other such document has bound every similarity; documents that the bound rules out are dropped.
+    4. What is still apart is met by its rarest shingles: of two sets that are similar enough, the first few in order of frequency
+       cannot be all different (prefix filter), so documents that share none of those are no pair.  In these
+       buckets each is compared with another pivot, and last blocks are compared with blocks.  So no link within a bucket that
+       would join components is lost and no row is made for a pair.
+
+    Rows of hot buckets are dealt to salts, those of hot keys meet broadcast rows.
 
     Null texts count as empty; documents without words have no shingles and no links.  A null id is linked with nothing and
-    has a null component_id.  Rows that repeat an id are one node.
+    has a null component_id.  Rows that repeat an id are documents of their own, each linked by its own text; with equal sets they are one.
+    An empty table has no rows; further columns play no part.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = written(rows.mapInArrow(_sign(shingle), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"), "signed")
-    some = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    reps = some.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    nodes = some.join(reps.withColumnRenamed("rep", "doc_id"), ["k1", "k2", "doc_id"]).select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
-    shared = nodes.groupBy("band").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("band")
-    entries = written(nodes.join(shared, "band").distinct(), "entries")
-    sets = written(rows.join(entries.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc_id long, set array<long>"), "sets")
+    nodes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("r"))
+    nodes = written(nodes.select("k1", "k2", F.col("r.doc_id").alias("rep"), F.col("r.doc_id").alias("node"), F.col("r.n_shingles").alias("n"), "r.bands"), "nodes")
+    clash = bool(nodes.groupBy("rep").count().where("count > 1").limit(1).count())
+    if clash:  # an id stands first in two sets: nodes get numbers in the order of the ids
+        nodes = written(nodes.orderBy("rep", "k1", "k2").withColumn("node", F.monotonically_increasing_id()), "nodes")
+    entries = nodes.select(F.col("node").alias("doc_id"), "n", F.explode("bands").alias("band"))
+    shared = entries.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    shared = written(shared, "shared")
+    entries = _meet(entries, shared.withColumn("rows", F.col("size")), "band", nodes.count() * (BINS // BAND))
+    entries = written(_salted(entries, F.col("rows")).select("band", "salt", "cuts", "doc_id", "n").distinct(), "entries")
+    tied = entries.select(F.col("doc_id").alias("node")).distinct()
+    if clash:
+        tied = tied.join(nodes, "node").select("node", "k1", "k2", F.col("rep").alias("doc_id"))
+        sets = rows.join(tied.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc_id long, k1 long, k2 long, set array<long>")
+        sets = sets.join(tied, ["doc_id", "k1", "k2"]).select(F.col("node").alias("doc_id"), "set")
+    else:
+        sets = rows.join(tied.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc_id long, k1 long, k2 long, set array<long>").select("doc_id", "set")
+    sets = written(sets.dropDuplicates(["doc_id"]), "sets")
 
     def possible(na: Column, ka: Column, nb: Column, kb: Column) -> Column:
         """Whether sets of na and nb, of which no more than ka and kb are shared with anything, may be similar enough."""
@@ -179,46 +236,65 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
         return full.where(both * F.lit(den) >= (F.size("sa") + F.size("sb") - both) * F.lit(num)).select("a", "b").distinct()
 
     def star(entries: DataFrame, by: Column, apart: Column) -> DataFrame:
-        pivot = entries.groupBy("band").agg(F.min(F.struct(by.alias("by"), "doc_id", "n", "core", "comp")).alias("p"))
-        pairs = entries.join(pivot, "band").where(apart & possible(F.col("n"), F.col("core"), F.col("p.n"), F.col("p.core")))
+        pairs = _with_bucket(entries, p=F.min(F.struct(by.alias("by"), "doc_id", "n", "core", "comp")))
+        pairs = pairs.where(apart & possible(F.col("n"), F.col("core"), F.col("p.n"), F.col("p.core")))
         return pairs.groupBy(F.col("doc_id").alias("b")).agg(F.min("p").alias("p")).select(F.col("p.doc_id").alias("a"), "b")
 
     def mixed(entries: DataFrame) -> DataFrame:
         """The entries of the buckets that hold more than one component."""
-        bands = entries.groupBy("band").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("band")
-        return entries.join(bands, "band")
+        return _with_bucket(entries, least=F.min("comp"), most=F.max("comp")).where("least < most").drop("least", "most")
+
+    def shared_shingles(entries: DataFrame) -> DataFrame:
+        """(doc_id, s, df): the shingles of the documents of ``entries`` that more than one of them has, and how many have it."""
+        own = written(sets.join(entries.select("doc_id").distinct(), "doc_id", "left_semi"), "own")
+        total = own.agg(F.sum(F.size("set"))).first()[0] or 0
+        own = own.select("doc_id", F.explode("set").alias("s"))
+        common = written(own.groupBy("s").agg(F.count("*").alias("size")).where("size > 1"), "common")
+        return _meet(own, common.withColumn("df", F.col("size")), "s", total)
 
     def cored(entries: DataFrame) -> DataFrame:
-        """Counts anew how many of each document's shingles any other document of the entries has too.
+        """Counts how many of each document's shingles any other document of the entries has too.
 
         No intersection is larger, so a document of which that is too small a part can have no link left and goes.
         """
-        own = sets.join(entries.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        own = own.select("doc_id", F.explode("set").alias("s"))
-        common = own.groupBy("s").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("s")
-        core = own.join(common, "s").groupBy("doc_id").agg(F.count("*").alias("core"))
+        core = shared_shingles(entries).groupBy("doc_id").agg(F.count("*").alias("core"))
         return entries.drop("core").join(core, "doc_id").where(F.col("core") * F.lit(den) >= F.col("n") * F.lit(num))
 
-    whole = entries.withColumn("comp", F.lit(0)).withColumn("core", F.col("n"))
-    links = written(confirmed(star(whole, F.col("doc_id"), F.col("doc_id") != F.col("p.doc_id"))), "confirmed")
-    comp = components(links)
+    def rarest(entries: DataFrame) -> DataFrame:
+        """The documents of ``entries`` once more, in buckets of their rarest shingles: those that a similar set cannot lack all of."""
+        found = shared_shingles(entries)
+        in_order = found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("s"))
+        of = entries.select("doc_id", "n", "comp").distinct().join(in_order, "doc_id").withColumn("core", F.size("s").cast("long"))
+        # Shingles of one document alone come first of all and meet nothing.
+        first = F.col("n") - F.ceil(F.col("n") * F.lit(num) / F.lit(den)) + 1 - (F.col("n") - F.col("core"))
+        of = of.where(first > 0).withColumn("s", F.explode(F.slice("s", F.lit(1), first.cast("int"))))
+        return _salted(of.withColumn("band", F.col("s.s")), F.col("s.df")).drop("s")
+
     def settled(entries: DataFrame) -> DataFrame:
         own = entries.drop("comp").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
         return written(mixed(own), "left")
 
+    own_share = F.round(1 - F.col("core") / F.col("n"), 3)  # least for the document most others are nearest to
+    apart = F.col("comp") != F.col("p.comp")
+    whole = entries.withColumn("comp", F.lit(0)).withColumn("core", F.col("n"))
+    links = written(confirmed(star(whole, F.col("doc_id"), F.col("doc_id") != F.col("p.doc_id"))), "confirmed")
+    comp = components(links)
     left = settled(whole)
-    for _ in range(2):
+    if left.limit(1).count():
         left = written(mixed(written(cored(left), "cored")), "left")
-    # The pivot now is the document with the least of its own, which most others are nearest to.
-    more = written(confirmed(star(left, F.round(1 - F.col("core") / F.col("n"), 3), F.col("comp") != F.col("p.comp"))), "confirmed")
-    if more.limit(1).count():
-        links = links.unionByName(more)
-        comp = components(links)
-        left = settled(left)
-    rest = written(blockwise(left, sets, num, den), "confirmed")
-    if rest.limit(1).count():
-        comp = components(links.unionByName(rest))
-    comp = reps.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("comp", "rep").alias("component_id"))
-    linked = signed.join(comp, ["k1", "k2"], "left")
+    if left.limit(1).count():
+        left = written(mixed(rarest(left)), "rarest")
+        more = written(confirmed(star(left, own_share, apart)), "confirmed")
+        if more.limit(1).count():
+            links = links.unionByName(more)
+            comp = components(links)
+            left = settled(left)
+    if left.limit(1).count():
+        rest = written(blockwise(left, sets, num, den), "confirmed")
+        if rest.limit(1).count():
+            comp = components(links.unionByName(rest))
+    comp = nodes.join(comp, "node", "left").select("k1", "k2", "rep", F.coalesce("comp", "node").alias("comp"))
+    comp = comp.join(nodes.select(F.col("node").alias("comp"), F.col("rep").alias("component_id")), "comp") if clash else comp.withColumnRenamed("comp", "component_id")
+    linked = signed.join(comp.select("k1", "k2", "component_id"), ["k1", "k2"], "left")
     own = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     return linked.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

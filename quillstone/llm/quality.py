@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import passes, small_batches
+from .common import lean, passes, small_batches
 from .flat import Words, texts
 
 #: Labelled rows that training reads; of more, about so many are taken, by hash.
@@ -173,7 +173,7 @@ def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MAX_TRAIN) -> Trees:
     """Trees for ``label``; statistics are made where the texts are, and ``most`` rows of them come to the driver."""
     small_batches(docs.sparkSession)
-    got = labelled(docs, labels, label, most).select("doc_id", "text", "y").mapInArrow(_features, "doc_id long, y int, x binary").toPandas().sort_values(["doc_id", "y"])
+    got = labelled(docs, labels, label, most).select("doc_id", "text", "y").mapInArrow(lean(_features), "doc_id long, y int, x binary").toPandas().sort_values(["doc_id", "y"])
     x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(-1, len(NAMES))
     return Trees().fit(x, got["y"].to_numpy(np.float64))
 
@@ -192,7 +192,7 @@ def score(docs: DataFrame, trees: Trees, cut: float = 0.3, id_col: str = "doc_id
             p = trees.predict(statistics(*texts(batch.column(1))))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).cast(pa.int64()), "held_out": batch.column(2), "score": pa.array(p), "predicted": pa.array((p >= cut).astype(np.int32))})
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), held_out(id_col).alias("held_out")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), held_out(id_col).alias("held_out")).mapInArrow(lean(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", cut: float = 0.3) -> DataFrame:
@@ -209,4 +209,4 @@ def keep_good(docs: DataFrame, trees: Trees, cut: float = 0.3) -> DataFrame:
         for batch in passes(batches, "text"):
             yield batch.filter(pa.array(trees.predict(statistics(*texts(batch.column(at)))) >= cut))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -144,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None)
     both = docs.select("doc_id", F.struct(F.col("text"), lang.cast("string").alias("lang")).alias("text"))
     rows = labelled(both, labels, label, most).select("doc_id", "text.text", "y", "text.lang")
-    got = rows.select("doc_id", "text", "y", "lang").mapInArrow(_ids, "doc_id long, lang string, y int, ids binary").toPandas().sort_values(["doc_id", "y"])
+    got = rows.select("doc_id", "text", "y", "lang").mapInArrow(lean(_ids), "doc_id long, lang string, y int, ids binary").toPandas().sort_values(["doc_id", "y"])
     ids, y, lang = [np.frombuffer(x, np.uint16).reshape(-1, 1 + len(PREFIXES)) for x in got["ids"]], got["y"].to_numpy(np.int64), got["lang"].fillna("").to_numpy()
     net = Net().fit(ids, y)
     apart, cuts = np.arange(len(y)) % 5 == 4, {}
@@ -178,7 +178,7 @@ def score(docs: DataFrame, net: Net, cuts: dict[str, float] | None = None, cut:
 
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), held_out(id_col).alias("held_out"), lang.cast("string").alias("lang"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, flagged boolean")
+    return rows.mapInArrow(lean(run), "doc_id long, held_out boolean, score double, predicted int, flagged boolean")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -60,7 +60,7 @@ def test_blocks_find_what_links_components(spark):
         own[rng.choice(60, int(rng.integers(2, 14)), replace=False)] = rng.integers(0, 10**9)
         docs.append((i, sorted({int(x) for x in own})))
     want = {(i, j) for i, a in docs for j, b in docs if i < j and 100 * len(set(a) & set(b)) >= 80 * len(set(a) | set(b))}
-    entries = spark.createDataFrame([(band, i, len(s), i) for i, s in docs for band in (1, 2)], "band long, doc_id long, n long, comp long")
+    entries = spark.createDataFrame([(band, i % 3, 3, i, len(s), i) for i, s in docs for band in (1, 2)], "band long, salt int, cuts int, doc_id long, n long, comp long")
     sets = spark.createDataFrame(docs, "doc_id long, set array<long>")
 
     def classes(links):
@@ -75,6 +75,42 @@ def test_blocks_find_what_links_components(spark):
         assert {(min(x), max(x)) for x in got} <= want and classes(got) == classes(want)
 
 
+def plain_classes(rows, k):
+    """Component of each row of (doc_id, text), all rows documents of their own, by comparing all of them."""
+    sets = [shingles(t, k) for _, t in rows]
+    comp = [i for i, _ in rows]
+    grown = True
+    while grown:
+        grown = False
+        for x in range(len(rows)):
+            for y in range(len(rows)):
+                if rows[x][0] is not None and rows[y][0] is not None and sets[x] and sets[y] and comp[x] > comp[y] and 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y]):
+                    comp[x], grown = comp[y], True
+    return comp
+
+
+def test_rows_that_repeat_an_id_are_documents(spark):
+    rng = np.random.default_rng(31)
+    a, b, c, d = (" ".join(f"w{x}" for x in rng.integers(0, 10**6, 40)) for _ in range(4))
+    rows = [(1, a), (2, b), (2, a), (3, b), (3, c + " end"), (4, c), (4, c), (5, d), (5, d + " more"), (6, a + " x"), (None, a), (7, None)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == sorted((str(i), str(x)) for (i, _), x in zip(rows, plain_classes(rows, 4), strict=True))
+
+
+def test_ties_of_short_templated_documents(spark):
+    """One bucket takes in most of the texts, and links join some of them that no star's centre reaches."""
+    rng = np.random.default_rng(32)
+    head = [f"h{x}" for x in range(20)]
+    rows = []
+    for i in range(600):
+        own = head + [f"v{x}" for x in rng.integers(0, 4, 3)]
+        own[int(rng.integers(0, 3))] = f"u{rng.integers(0, 3)}"
+        rows.append((i, " ".join(own)))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()}
+    assert [got[i] for i, _ in rows] == plain_classes(rows, 4)
+    assert 1 < len(set(got.values())) < 300
+
+
 def test_near_duplicates_empty(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], DOC)).count() == 0
 
@@ -174,7 +210,7 @@ def test_blocks_are_bounded_in_documents(spark, monkeypatch):
         return lambda table: pa.table({"a": [table.num_rows], "b": [0]})
 
     monkeypatch.setattr(minhash, "_linked", counted)
-    entries = spark.range(9000).selectExpr("1L band", "id doc_id", "3L n", "id comp")
+    entries = spark.range(9000).selectExpr("1L band", "0 salt", "1 cuts", "id doc_id", "3L n", "id comp")
     sets = spark.range(9000).selectExpr("id doc_id", "array(1L, 2L, id) set")
     got = [r.a for r in minhash.blockwise(entries, sets, 80, 100).collect()]
     assert len(got) > 1 and max(got) < 2.2 * 2000
@@ -182,7 +218,7 @@ def test_blocks_are_bounded_in_documents(spark, monkeypatch):
 
 def test_short_documents_are_linked_across_blocks(spark):
     # Documents i and i + 2500 have the same shingles, all others have none in common.
-    entries = spark.range(5000).selectExpr("1L band", "id doc_id", "9L n", "id comp")
+    entries = spark.range(5000).selectExpr("1L band", "0 salt", "1 cuts", "id doc_id", "9L n", "id comp")
     sets = spark.range(5000).selectExpr("id doc_id", "transform(sequence(0, 8), x -> 10 * (id % 2500) + x) set")
     got = sorted((min(r.a, r.b), max(r.a, r.b)) for r in minhash.blockwise(entries, sets, 80, 100).collect())
     assert got == [(i, i + 2500) for i in range(2500)]
