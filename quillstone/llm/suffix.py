@@ -11,18 +11,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import passes, small_batches, written
+from .common import lean, passes, small_batches, written
 from .flat import gram_hashes, mix, powers, texts
 
 #: Period of the difference cover: a bucket is sorted by this many bytes, longer ties by the sample's ranks.
 PERIOD = 32
 #: Suffixes that are sorted at a time, and text bytes of which one suffix array is made.
 BUCKET, BLOCK = 1 << 17, 1 << 20
-#: Text bytes that anchors are sought in at a time; their arrays then fit a processor's cache.
-PASS = 1 << 18
+#: Text bytes that anchors are sought in at a time, whose arrays then fit a processor's cache, and bytes of a longer text's pieces.
+PASS, PIECE = 1 << 18, 1 << 22
 #: Bytes of the grams that tie places of texts together, and rows from which a gram's places are dealt by window.
-GRAM, HOT = 32, 20_000
-#: Low bits of a gram's hash that give way to its place: texts may have 2**28 bytes.
+GRAM, HOT = 32, 5000
+#: Low bits of a gram's hash that give way to its place, which is always in one piece or pass.
 _PLACE = np.uint64((1 << 28) - 1)
 
 
@@ -58,11 +58,10 @@ class SuffixSorter:
     The suffixes at the difference cover's places get ranks first, by doubling.  Then buckets of the suffixes
     asked for, cut by their first bytes so that each holds about ``bucket``, are sorted one at a time: by their
     first ``period`` bytes, and ties of that length by the ranks at the shift that puts both in the cover.
-    Suffixes equal in their first ``depth`` bytes may come in any order.
+    Ranks go on until all differ: with ranks of so many bytes only, two ties could come out either way at different shifts.
     """
 
-    def __init__(self, data: np.ndarray, period: int = PERIOD, bucket: int = BUCKET, depth: int | None = None):
-        depth = len(data) if depth is None else depth
+    def __init__(self, data: np.ndarray, period: int = PERIOD, bucket: int = BUCKET):
         self.n, self.v, self.bucket = len(data), period, bucket
         self.padded = np.concatenate((data, np.zeros(2 * period, np.uint8)))
         inside, self.shift = difference_cover(period)
@@ -78,7 +77,7 @@ class SuffixSorter:
         where = np.full(self.n + 2 * period + 1, -1, np.int64)
         where[sample] = np.arange(len(sample))
         step = period
-        while len(sample) and rank.max() < len(sample) - 1 and step < depth + period:
+        while len(sample) and rank.max() < len(sample) - 1:
             ahead = np.minimum(sample + step, self.n + 2 * period)
             later = np.where(where[ahead] >= 0, rank[where[ahead]] + 1, 0)
             order = np.lexsort((later, rank))
@@ -145,7 +144,7 @@ def suffix_array(data: bytes, period: int = PERIOD, bucket: int = BUCKET) -> np.
 
 def repeats(data: np.ndarray, starts: np.ndarray, rank: np.ndarray, length: int) -> np.ndarray:
     """For each window of ``length`` bytes at ``starts``, whether an equal one has a smaller ``rank``."""
-    sorter = SuffixSorter(data, depth=length)
+    sorter = SuffixSorter(data)
     index = np.full(len(data) + 1, -1, np.int64)
     index[starts] = np.arange(len(starts))
     out = np.zeros(len(starts), bool)
@@ -194,20 +193,34 @@ def anchors(data: np.ndarray, starts: np.ndarray, length: int, gram: int) -> tup
     return doc[at], h[pick[at]], pick[at], first[at], first[last]
 
 
+def pieces(data: np.ndarray, starts: np.ndarray, length: int, most: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+    """(number of the first document, bytes, where its documents start there, offset in the first) of pieces that hold each window once.
+
+    Only texts that are longer than ``most`` bytes together are cut, document by document.
+    """
+    most = PIECE if most is None else most
+    if len(data) <= most:
+        yield 0, data, starts, 0
+        return
+    for d, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)):
+        for x in range(a, max(b - length + 1, a + 1), most):
+            y = min(x + most + length - 1, b)
+            yield d, data[x:y], np.array([0, y - x]), x - a
+
+
 def _grams(length: int, gram: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in passes(batches, "text", PASS):
-            doc, h, *_ = anchors(*texts(batch.column(1)), length, gram)
-            ids = batch.column(0).cast(pa.int64()).to_numpy(zero_copy_only=False)
-            order = np.lexsort((h, doc))
-            doc, h = doc[order], h[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-            start = np.flatnonzero(new)
-            times = np.diff(np.append(start, len(h)))
-            yield pa.RecordBatch.from_pydict({"gram": pa.array(h[start].view(np.int64)), "doc_id": pa.array(ids[doc[start]].astype(np.int64)), "times": pa.array(times.astype(np.int32))})
+            rows = batch.column(0).to_numpy()
+            for d, data, starts, _ in pieces(*texts(batch.column(1)), length):
+                doc, h, *_ = anchors(data, starts, length, gram)
+                order = np.lexsort((h, doc))
+                doc, h = doc[order], h[order]
+                start = np.flatnonzero(_new(h, doc))
+                times = np.diff(np.append(start, len(h)))
+                yield pa.RecordBatch.from_pydict({"gram": pa.array(h[start].view(np.int64)), "row": pa.array(rows[doc[start] + d]), "times": pa.array(times.astype(np.int32))})
 
-    return run
+    return lean(run)
 
 
 def _runs(first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -242,12 +255,35 @@ def _new(*cols: np.ndarray) -> np.ndarray:
     return out
 
 
-def _again(key: np.ndarray, d1: np.ndarray, d2: np.ndarray, doc: np.ndarray, row: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of contexts sorted by key, digest, document, place and row: which have an earlier equal, and of the others one for each row."""
+def _same(data: np.ndarray, at: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether contexts ``i`` and ``j``, of ``size`` bytes from ``at`` on, have the same bytes, pair by pair."""
+    out = size[i] == size[j]
+    todo = np.flatnonzero(out)
+    done = np.cumsum(size[i[todo]])
+    a = 0
+    while a < len(todo):
+        b = max(a + 1, int(np.searchsorted(done, (done[a - 1] if a else 0) + BLOCK, "right")))
+        part = todo[a:b]
+        n = size[i[part]]
+        equal = data[_runs(at[i[part]], n)] == data[_runs(at[j[part]], n)]
+        out[part] = np.logical_and.reduceat(equal, np.concatenate(([0], np.cumsum(n)[:-1])))
+        a = b
+    return out
+
+
+def _again(key: np.ndarray, d1: np.ndarray, d2: np.ndarray, doc: np.ndarray, row: np.ndarray, lo: np.ndarray, data: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of contexts sorted by key, digest, document, place and row: which have an earlier equal, and of the others one for each row.
+
+    What digests call equal is compared byte by byte; a context whose bytes differ counts as one that has no equal yet.
+    """
     first = _new(key, d1, d2)
     best = np.flatnonzero(first)[np.cumsum(first) - 1]
     again = (doc != doc[best]) | (lo != lo[best])
-    return again, ~again & _new(key, d1, d2, row)
+    new = ~again & _new(key, d1, d2, row)
+    hit = np.flatnonzero(again)
+    wrong = hit[~_same(data, at, size, hit, best[hit])]
+    again[wrong], new[wrong] = False, True
+    return again, new
 
 
 def _places(length: int, gram: int):
@@ -258,7 +294,8 @@ def _places(length: int, gram: int):
         key, d1, d2, doc, row, lo, hi, mid, size, data = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.lexsort((row, lo, doc, d2, d1, key))
         first, again = np.zeros(len(key), bool), np.zeros(len(key), bool)
-        again[order], first[order] = _again(*(x[order] for x in (key, d1, d2, doc, row, lo)))
+        begin = np.concatenate(([0], np.cumsum(size)[:-1]))
+        again[order], first[order] = _again(*(x[order] for x in (key, d1, d2, doc, row, lo)), data, begin[order], size[order])
         data = data[np.repeat(first, size)]
         # Repeats that follow each other in a row are one span, so a periodic text or a copy takes few rows.
         rest = np.flatnonzero(again)
@@ -282,38 +319,39 @@ def _places(length: int, gram: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, weight = [], 0
         for batch in passes(batches, "text", PASS):
-            data, starts = texts(batch.column(1))
             ids, own_row = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 4))
-            doc, h, at, lo, hi = anchors(data, starts, length, gram)
-            if not len(h):
-                continue
-            flags = []
-            own = mix(h ^ mix(doc.astype(np.uint64)))
+            shared = []
             for col in (2, 3):
                 lists = batch.column(col)
                 values, offs = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), lists.offsets.to_numpy()
                 of = np.repeat(np.arange(len(offs) - 1, dtype=np.uint64), np.diff(offs))
-                flags.append(np.isin(own, mix(values ^ mix(of))) if len(values) else np.zeros(len(h), bool))
-            pick, spread = np.flatnonzero(flags[0]), np.flatnonzero(flags[1])
-            reps = hi[spread] - lo[spread] + 1
-            single = _runs(lo[spread], reps)
-            who = np.concatenate((doc[pick], np.repeat(doc[spread], reps)))
-            first, last = np.concatenate((lo[pick], single)), np.concatenate((hi[pick], single))
-            if not len(who):
-                continue
-            d1, d2 = _digests(data, first, last + length)
-            key = np.concatenate((h[pick].view(np.int64), d1[len(pick) :]))
-            size = last - first + length
-            mid = np.concatenate((at[pick] - lo[pick], np.full(len(single), -1)))
-            held.append((key, d1, d2, ids[who], own_row[who], first - starts[who], last - starts[who], mid, size, data[_runs(first, size)]))
-            weight += int(size.sum()) + 88 * len(who)
-            if weight > 12 << 20:
-                yield from emit(held)
-                held, weight = [], 0
+                shared.append(mix(values ^ mix(of)))
+            for d, data, starts, base in pieces(*texts(batch.column(1)), length):
+                doc, h, at, lo, hi = anchors(data, starts, length, gram)
+                if not len(h):
+                    continue
+                own = mix(h ^ mix((doc + d).astype(np.uint64)))
+                pick, spread = (np.flatnonzero(np.isin(own, x)) for x in shared)
+                reps = hi[spread] - lo[spread] + 1
+                single = _runs(lo[spread], reps)
+                who = np.concatenate((doc[pick], np.repeat(doc[spread], reps)))
+                first, last = np.concatenate((lo[pick], single)), np.concatenate((hi[pick], single))
+                if not len(who):
+                    continue
+                d1, d2 = _digests(data, first, last + length)
+                key = np.concatenate((h[pick].view(np.int64), d1[len(pick) :]))
+                size = last - first + length
+                mid = np.concatenate((at[pick] - lo[pick], np.full(len(single), -1)))
+                place = base - starts[who]
+                held.append((key, d1, d2, ids[who + d], own_row[who + d], first + place, last + place, mid, size, data[_runs(first, size)]))
+                weight += int(size.sum()) + 88 * len(who)
+                if weight > 12 << 20:
+                    yield from emit(held)
+                    held, weight = [], 0
         if held:
             yield from emit(held)
 
-    return run
+    return lean(run)
 
 
 def _solve(size: np.ndarray, doc: np.ndarray, row: np.ndarray, lo: np.ndarray, data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -342,17 +380,19 @@ def _match(length: int, gram: int):
         key, d1, d2, doc, row, lo, hi, mid = (x[at] for x in (key, d1, d2, doc, row, lo, hi, mid))
         if not len(at):
             return
-        again, first = _again(key, d1, d2, doc, row, lo)
+        column = table.column(8)
+        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        data, begin, size = np.frombuffer(column.buffers()[2], np.uint8), offsets[at], np.diff(offsets)[at]
+        again, first = _again(key, d1, d2, doc, row, lo, data, begin, size)
         yield doc[again], row[again], lo[again], hi[again]
-        at, key, doc, row, lo, mid = (x[first] for x in (at, key, doc, row, lo, mid))
+        key, doc, row, lo, mid, begin, size = (x[first] for x in (key, doc, row, lo, mid, begin, size))
         many = lambda x: np.bincount(np.cumsum(x) - 1)[np.cumsum(x) - 1] > 1
         some = many(_new(key))
-        at, key, doc, row, lo, mid = (x[some] for x in (at, key, doc, row, lo, mid))
-        if not len(at):
+        key, doc, row, lo, mid, begin, size = (x[some] for x in (key, doc, row, lo, mid, begin, size))
+        if not len(key):
             return
-        column = table.column(8).take(pa.array(at))
-        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-        data, size = np.frombuffer(column.buffers()[2], np.uint8), np.diff(offsets)
+        data = data[_runs(begin, size)]
+        offsets = np.concatenate(([0], np.cumsum(size)))
         # A shared window holds the gram and as many more bytes to its right, or to its left, as half of what is left: contexts
         # that agree with no other of their gram in either are dropped.
         half = (length - gram) // 2
@@ -398,7 +438,7 @@ def _match(length: int, gram: int):
         if held:
             yield from done(pa.Table.from_batches(held))
 
-    return run
+    return lean(run)
 
 
 def _cut(length: int, whole_chars: bool, carry: list[str]):
@@ -428,7 +468,7 @@ def _cut(length: int, whole_chars: bool, carry: list[str]):
                 del made["kept"]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0)} | made | {c: batch.column(3 + i) for i, c in enumerate(carry)})
 
-    return run
+    return lean(run)
 
 
 def repeated_bytes(docs: DataFrame, length: int = 100, gram: int = GRAM, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -440,39 +480,41 @@ def repeated_bytes(docs: DataFrame, length: int = 100, gram: int = GRAM, hot: in
 
     1. Each window of ``length`` bytes is tied to its least-hashed gram; grams seen once cannot lie in a repeated window
        and are dropped after a count with map-side sums.
-    2. Documents get back the grams they share.  Of runs of windows around such grams (contexts) each task keeps one
-       copy, the earliest; the others are repeats already.  Windows of grams with over ``hot`` places go one by one, by
+    2. Rows get back the grams they share.  Of runs of windows around such grams (contexts) that are equal as a whole, byte by byte, each
+       task keeps one, the earliest; the others are repeats already.  Windows of grams with over ``hot`` places go one by one, by
        their digest, so no key holds more than tasks have distinct contents.
-    3. Contexts of one gram meet in a task and are read in order.  Blocks of them go through the suffix sorter,
-       where equal windows are neighbours; all but the earliest are repeats.
-    4. Rows get their repeated windows, by doc_id and the text's hash, and are cut.
-
-    Null texts count as empty.  Rows that repeat a doc_id count as the same document: equal starts are not earlier; each is
-    cut where its own text repeats.
-    A null id is less than any other.
+    3. Contexts of one gram meet in a task and are read in order.  Equal ones again leave but one.  Blocks of the rest go through the
+       suffix sorter, where equal windows are neighbours; all but the earliest are repeats.
+    4. Rows get their repeated windows and are cut.
+
+    Rows are told apart by a hash of doc_id and text, so neither null nor repeated ids gather anywhere; the id serves for order.
+    Null texts count as empty; empty texts have nothing to remove.  Rows that repeat a doc_id count as the same document: equal starts
+    are not earlier; each is cut where its own text repeats.  A null id is less than any other.  Long texts are worked on
+    in pieces.  An empty table has no rows; columns that are not named play no part.
     """
     if gram >= length or length - gram > 200 or length < 16:
         raise ValueError("gram must be shorter than length, by 200 at most, and length 16 at least")
     small_batches(docs.sparkSession)
     null = -(1 << 63)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(null)).alias("doc_id"), text.alias("text"))
-    grams = rows.mapInArrow(_grams(length, gram), "gram long, doc_id long, times int")
+    own_id, text = F.coalesce(F.col(id_col).cast("long"), F.lit(null)), F.coalesce(F.col(text_col), F.lit(""))
+    more = [F.col(c).alias(f"_carry{i}") for i, c in enumerate(carry)]
+    texts_of = docs.select(own_id.alias("doc_id"), text.alias("text"), F.xxhash64(own_id, text).alias("row"), *more)
+    rows = texts_of.select("doc_id", "text", "row")
+    grams = rows.select("row", "text").mapInArrow(_grams(length, gram), "gram long, row long, times int")
     shared = grams.groupBy("gram").agg(F.sum("times").alias("n")).where("n > 1")
-    mine = grams.select("gram", "doc_id").join(shared, "gram").groupBy("doc_id").agg(
+    mine = grams.select("gram", "row").join(shared, "gram").groupBy("row").agg(
         F.collect_set(F.when(F.col("n") <= hot, F.col("gram"))).alias("grams"), F.collect_set(F.when(F.col("n") > hot, F.col("gram"))).alias("hot")
     )
     mine = written(mine, "grams")
-    places = rows.join(mine, "doc_id").select("doc_id", "text", "grams", "hot", F.xxhash64("text").alias("row")).mapInArrow(_places(length, gram), "key long, d1 long, d2 long, doc_id long, row long, lo long, hi long, at long, bytes binary")
+    places = rows.join(mine, "row").select("doc_id", "text", "grams", "hot", "row").mapInArrow(_places(length, gram), "key long, d1 long, d2 long, doc_id long, row long, lo long, hi long, at long, bytes binary")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = places.repartition(parts, "key").sortWithinPartitions("key", "d1", "d2", "doc_id", "lo", "row")
-    spans = met.mapInArrow(_match(length, gram), "doc_id long, row long, lo long, hi long").repartition("doc_id").groupBy(F.col("doc_id").alias("of"), "row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    # Rows that are equal in id and text have equal spans, so the first to come of each may stand for all.
+    spans = met.mapInArrow(_match(length, gram), "doc_id long, row long, lo long, hi long").groupBy("row", F.col("doc_id").alias("of")).agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if keep_text else "")
     schema += "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carry)
-    more = [F.col(c).alias(f"_carry{i}") for i, c in enumerate(carry)]
-    texts_of = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(null)).alias("doc_id"), text.alias("text"), *more)
-    # Not an equality, which would be a key of the join: by doc_id alone, texts are dealt as for step 2, and not once more.
-    same = F.xxhash64("text").bitwiseXOR(F.col("row")) == 0
-    out = texts_of.join(spans, (F.col("doc_id") == F.col("of")) & same, "left").select("doc_id", "text", "spans", *(f"_carry{i}" for i in range(len(carry))))
+    # The ids' comparison is not an equality, which would be a key of the join: by row alone, texts are dealt as for step 2, and not once more.
+    same = F.col("doc_id").bitwiseXOR(F.col("of")) == 0
+    out = texts_of.join(spans.withColumnRenamed("row", "_row"), (F.col("row") == F.col("_row")) & same, "left").select("doc_id", "text", "spans", *(f"_carry{i}" for i in range(len(carry))))
     out = out.mapInArrow(_cut(length, keep_text, list(carry)), schema)
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(null)))

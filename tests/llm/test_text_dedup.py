@@ -129,6 +129,21 @@ def test_suffix_array(data, period, bucket):
     assert suffix.suffix_array(data, period, bucket).tolist() == sorted(range(len(data)), key=lambda i: data[i:])
 
 
+def test_repeats_among_blocks_that_repeat():
+    """Windows that go on alike for long after their own length, in many places."""
+    rng = np.random.default_rng(6)
+    unit = rng.integers(97, 107, 150, dtype=np.uint8)
+    parts = [np.concatenate((rng.integers(97, 107, int(rng.integers(0, 3)), dtype=np.uint8), unit)) for _ in range(300)]
+    data, starts = np.concatenate(parts), []
+    base = np.concatenate(([0], np.cumsum([len(x) for x in parts])))
+    starts = np.concatenate([np.arange(a, b - 99) for a, b in zip(base, base[1:], strict=False)])
+    rank = rng.permutation(len(starts))
+    got, raw, least = suffix.repeats(data, starts, rank, 100), data.tobytes(), {}
+    for s, r in zip(starts.tolist(), rank.tolist(), strict=True):
+        least[raw[s : s + 100]] = min(least.get(raw[s : s + 100], r), r)
+    assert got.tolist() == [least[raw[s : s + 100]] < r for s, r in zip(starts.tolist(), rank.tolist(), strict=True)]
+
+
 def test_difference_cover():
     for v in (8, 16, 32):
         inside, shift = suffix.difference_cover(v)
@@ -205,6 +220,56 @@ def test_rows_that_repeat_an_id_in_one_task(spark, hot):
     assert want[1][2] == want[2][2] == 0
 
 
+def test_pieces_of_long_texts_hold_each_window_once():
+    data = np.random.default_rng(4).integers(97, 99, 5000, dtype=np.uint8)
+    starts = np.array([0, 10, 10, 3000, 5000])
+
+    def ties(most):
+        out = []
+        for d, part, at, base in suffix.pieces(data, starts, 40, most):
+            for doc, h, place, lo, hi in zip(*suffix.anchors(part, at, 40, 16), strict=True):
+                out += [(d + doc, w - at[doc] + base, h, place - at[doc] + base) for w in range(lo, hi + 1)]
+        return out
+
+    whole = ties(10**6)
+    assert len(whole) == 2990 - 39 + 2000 - 39
+    for most in (64, 700, 2990):
+        assert sorted(ties(most)) == sorted(whole)
+
+
+def test_equal_digests_of_other_bytes_are_not_repeats():
+    key, one = np.zeros(4, np.int64), np.ones(4, np.int64)
+    doc, row = np.arange(4), np.arange(4)
+    data = np.frombuffer(b"abcd" b"abcd" b"abXd" b"abcd", np.uint8)
+    again, new = suffix._again(key, one, one, doc, row, one, data, np.arange(4) * 4, np.full(4, 4))
+    assert again.tolist() == [False, True, False, True] and new.tolist() == [True, False, True, False]
+
+
+def test_many_rows_without_ids_and_other_columns(spark):
+    rng = np.random.default_rng(41)
+    line = "".join(rng.choice(list("abcdefghij é"), 120))
+    texts = [f"{i} " + "".join(rng.choice(list("abcdefghij"), 60)) + line for i in range(400)]
+    rows = [(None, t, "row", i) for i, t in enumerate(texts)] + [(None, None, "row", 0), (None, "", "row", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lo string, row int")
+    got = suffix.repeated_bytes(docs, keep_text=True, carry=("row", "lo"))
+    assert got.columns[-3:] == ["kept", "row", "lo"]
+    left = {r.row: r for r in got.where("n_bytes > 0").collect()}
+    # All are one document without an id: what starts at the same byte in each is not earlier.
+    want = brute([(i, t.encode()) for i, t in enumerate(texts)], 100)
+    first = {}
+    for t in texts:
+        raw = t.encode()
+        for s in range(len(raw) - 99):
+            first[raw[s : s + 100]] = min(first.get(raw[s : s + 100], s), s)
+    for i, t in enumerate(texts):
+        raw, gone = t.encode(), np.zeros(len(t.encode()), bool)
+        for s in range(len(raw) - 99):
+            if first[raw[s : s + 100]] < s:
+                gone[s : s + 100] = True
+        assert left[i].n_removed <= gone.sum() <= left[i].n_removed + 8 and len(want) == 400
+    assert got.count() == len(rows)
+
+
 def test_blocks_are_bounded_in_documents(spark, monkeypatch):
     def counted(num, den):
         return lambda table: pa.table({"a": [table.num_rows], "b": [0]})
