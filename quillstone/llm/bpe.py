@@ -11,7 +11,7 @@ from heapq import heappop, heappush
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import lean, small_batches
 
 #: Pre-tokens whose ids a worker remembers before it starts anew, and the longest that it remembers.
 MEMO, MEMO_CHARS = 600_000, 40

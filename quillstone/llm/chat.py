@@ -29,22 +29,22 @@ def format_preferences(pairs: DataFrame, chosen: str = "chosen", rejected: str =
     ``chosen`` and ``rejected`` are arrays of structs with role and text.  The turns that both begin with are
     rendered once, as the prompt; what follows in each is its completion.  The masks count characters of the
     completions; nothing of the prompt is trained on.  A null conversation counts as one without turns, null
-    roles and texts as empty.
+    roles and texts as empty.  Other columns stay, but for those named as the new ones.
     """
     clean = lambda c: F.transform(F.coalesce(F.col(c), F.array()), lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
-    rows = pairs.withColumn("_a", clean(chosen)).withColumn("_b", clean(rejected))
-    n = F.least(F.size("_a"), F.size("_b"))
-    equal = F.zip_with(F.slice("_a", F.lit(1), n), F.slice("_b", F.lit(1), n), lambda x, y: (x["role"] == y["role"]) & (x["text"] == y["text"]))
-    rows = rows.withColumn("_k", F.coalesce(F.nullif(F.array_position(equal, F.lit(False)), F.lit(0)) - 1, n.cast("long")).cast("int"))
-    rest = lambda c: F.slice(c, F.col("_k") + 1, F.size(c))
+    rows = pairs.withColumn("_own_chosen", clean(chosen)).withColumn("_own_rejected", clean(rejected))
+    n = F.least(F.size("_own_chosen"), F.size("_own_rejected"))
+    equal = F.zip_with(F.slice("_own_chosen", F.lit(1), n), F.slice("_own_rejected", F.lit(1), n), lambda x, y: (x["role"] == y["role"]) & (x["text"] == y["text"]))
+    rows = rows.withColumn("_own_k", F.coalesce(F.nullif(F.array_position(equal, F.lit(False)), F.lit(0)) - 1, n.cast("long")).cast("int"))
+    rest = lambda c: F.slice(c, F.col("_own_k") + 1, F.size(c))
     return (
-        rows.withColumn("prompt_turns", F.col("_k").cast("long"))
-        .withColumn("prompt", _render(F.slice("_a", F.lit(1), F.col("_k"))))
-        .withColumn("chosen_text", _render(rest("_a")))
-        .withColumn("chosen_mask", _mask(rest("_a")))
-        .withColumn("rejected_text", _render(rest("_b")))
-        .withColumn("rejected_mask", _mask(rest("_b")))
-        .drop("_a", "_b", "_k")
+        rows.withColumn("prompt_turns", F.col("_own_k").cast("long"))
+        .withColumn("prompt", _render(F.slice("_own_chosen", F.lit(1), F.col("_own_k"))))
+        .withColumn("chosen_text", _render(rest("_own_chosen")))
+        .withColumn("chosen_mask", _mask(rest("_own_chosen")))
+        .withColumn("rejected_text", _render(rest("_own_rejected")))
+        .withColumn("rejected_mask", _mask(rest("_own_rejected")))
+        .drop("_own_chosen", "_own_rejected", "_own_k")
     )
 
 
@@ -52,13 +52,14 @@ def preference_pairs(conversations: DataFrame) -> DataFrame:
     """One row per pair of conversations 2k (chosen) and 2k + 1 (rejected), formatted.
 
     Turns go by number, those that share a number by role and text; turns without a conversation id belong
-    to none.  A conversation whose partner is missing is still returned, with ``paired`` false.  A row holds the
-    two conversations of one pair, nothing wider is gathered.
+    to none.  A conversation whose partner is missing is still returned, with ``paired`` false.  Turns that repeat are kept, an empty table
+    has no rows, other columns play no part.  A row holds the two conversations of one pair, nothing wider is gathered: the output is so
+    by definition, so a conversation must fit a task.
     """
     turn = F.struct("turn", "role", "text")
     one = conversations.where(F.col("conv_id").isNotNull()).groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     side = F.pmod("conv_id", F.lit(2))
-    pairs = one.groupBy(F.floor(F.col("conv_id") / 2).alias("pair_id")).agg(F.first(F.when(side == 0, F.col("turns")), True).alias("chosen"), F.first(F.when(side == 1, F.col("turns")), True).alias("rejected"))
+    pairs = one.groupBy(F.shiftright(F.col("conv_id").cast("long"), 1).alias("pair_id")).agg(F.first(F.when(side == 0, F.col("turns")), True).alias("chosen"), F.first(F.when(side == 1, F.col("turns")), True).alias("rejected"))
     out = format_preferences(pairs.withColumn("paired", F.col("chosen").isNotNull() & F.col("rejected").isNotNull()))
     return out.select("pair_id", "paired", "prompt_turns", "prompt", "chosen_text", "chosen_mask", "rejected_text", "rejected_mask")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
@@ -21,8 +21,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Misra-Gries counters (``freqItems``) give at most ``1 / support`` digests that may make up that share
     of the rows.  One aggregation verifies them; the verified winners, never more than ``1 / support`` rows,
-    are broadcast, so rows of a frequent digest are decided where they are read.  The other digests, each under
-    that share of the rows, are shuffled and ranked.
+    are broadcast, so rows of a frequent digest are decided where they are read.  The other digests are counted with map-side
+    sums and met by their rows through an ordinary shuffle, where a digest of many rows can be split.
 
     Null texts count as empty, empty texts equal each other.  A null id loses every tie.  Rows that repeat an id
     and its text share their fate.  An empty table gives no rows; further columns of ``docs`` play no part.
@@ -32,19 +32,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         docs.select(F.col(id_col).alias("doc_id"), digest(F.col(text_col)).alias("text_sha256"), F.length(text).alias("_len")),
         "digests",
     )
-    best = F.struct(F.col("_len"), F.col("doc_id").isNotNull(), -F.col("doc_id"), F.col("doc_id"))
+    best = F.min(F.struct(-F.col("_len"), F.col("doc_id").isNull(), F.col("doc_id")))
+    found = lambda df: df.groupBy("text_sha256").agg(best.getField("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     maybe = rows.freqItems(["text_sha256"], support).select(F.explode("text_sha256_freqItems").alias("text_sha256"))
     least = max(2, int(rows.count() * support))
-    winners = (
-        rows.join(F.broadcast(maybe), "text_sha256", "left_semi")
-        .groupBy("text_sha256")
-        .agg(F.max(best).getField("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        .where(F.col("group_size") >= least)
-    )
+    winners = found(rows.join(F.broadcast(maybe), "text_sha256", "left_semi")).where(F.col("group_size") >= least)
     winners = F.broadcast(written(winners, "winners"))
-    same = Window.partitionBy("text_sha256")
-    first = same.orderBy(F.desc("_len"), F.asc_nulls_last("doc_id")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rest = rows.join(winners, "text_sha256", "left_anti").select("*", F.first("doc_id").over(first).alias("keep_id"), F.count("*").over(same).alias("group_size"))
+    rest = rows.join(winners, "text_sha256", "left_anti")
+    rest = rest.join(found(rest), "text_sha256")
     out = rows.join(winners, "text_sha256").unionByName(rest)
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 

@@ -11,14 +11,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import lean, lean_group, small_batches
 
 #: Documents that one packing group gets on average; a group is packed in one task's memory.
 GROUP_DOCS = 8192
 #: Attention cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1.0 / 512
 
-_loaded: dict[tuple[str, bool], object] = {}
+_loaded: dict[tuple[str, bool, bool], object] = {}
+_proven: dict[str, bool] = {}
+#: Planes whose code points are compared one by one: those with scripts, marks, numerals and symbols.  The rest are ideographs and private.
+_PLANES = (0, 1, 14)
 
 
 def _unicode_bytes() -> dict[str, int]:
@@ -28,52 +31,76 @@ def _unicode_bytes() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def id_encoder(path: str, added: bool = False):
+def _stand_in(path: str):
+    """tiktoken with the vocabulary of the ``tokenizers`` file at ``path``; None if that is no plain byte-level BPE whose merges go by id."""
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+    if not plain or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or spec.get("normalizer"):
+        return None
+    back, added = _unicode_bytes(), {x["content"] for x in spec.get("added_tokens", [])}
+    merged = [model["vocab"]["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model["merges"]]
+    if any(a >= b for a, b in zip(merged, merged[1:], strict=False)) or any(c not in back for t in model["vocab"] if t not in added for c in t):
+        return None
+    ranks = {bytes(back[c] for c in t): i for t, i in model["vocab"].items() if t not in added}
+    return tiktoken.Encoding("from-json", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def proven(path: str) -> bool:
+    """Whether tiktoken may stand in for the file's own library: asked once a driver.
+
+    Merges must go by id.  Then both must give the same ids for each token of the vocabulary and for each code point of the
+    planes that have letters, numbers and spaces, between letters, digits, blanks and marks, so that its class shows.
+    """
+    if path not in _proven:
+        from tokenizers import Tokenizer
+
+        own, coder = Tokenizer.from_file(path), _stand_in(path)
+        if coder is None:
+            _proven[path] = False
+        else:
+            tokens = [t for t in (coder.decode_single_token_bytes(i).decode("utf-8", "ignore") for i in sorted(coder._mergeable_ranks.values())) if t]
+            points = [chr(p << 16 | c) for p in _PLANES for c in range(1 << 16) if p or not 0xD800 <= c < 0xE000]
+            probes = tokens + ["".join(f"a{c}a1{c}1 {c} .{c}." for c in points[i : i + 256]) for i in range(0, len(points), 256)]
+            _proven[path] = all(e.ids == coder.encode_ordinary(t) for e, t in zip(own.encode_batch(probes, add_special_tokens=False), probes, strict=True))
+    return _proven[path]
+
+
+def id_encoder(path: str, added: bool = False, fast: bool = False):
     """texts -> list of id arrays, equal to the ``tokenizers`` file at ``path`` with ``add_special_tokens=False``.
 
     With ``added`` the text of a special token gets that token's id, as that library does by default; else it is ordinary text.
 
-    That library is several times slower than tiktoken on whole texts.  If the file is a plain byte-level BPE whose
-    merges go by id, tiktoken gets its vocabulary; the two are compared on probe texts, and any difference
-    makes us stay with the file's own library.  Texts that hold an added token,
-    and texts that tiktoken fails on, go to the file's own library.
+    That library is several times slower than tiktoken on whole texts.  With ``fast`` (see ``proven``) tiktoken gets the file's vocabulary;
+    texts that hold an added token, and texts that tiktoken fails on, go to the file's own library.
     """
-    if (path, added) in _loaded:
-        return _loaded[path, added]
-    import tiktoken
+    if (path, added, fast) in _loaded:
+        return _loaded[path, added, fast]
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = not added
+    if not added:
+        own.encode_special_tokens = True
     slow = lambda texts: [np.array(e.ids, np.uint32) for e in own.encode_batch(texts, add_special_tokens=False)]
     pick = slow
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
-    if model.get("type") == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and not spec.get("normalizer"):
-        import public_tokenizers
-
-        back, special = _unicode_bytes(), {x["content"] for x in spec.get("added_tokens", [])}
-        apart = [x["content"] for x in spec.get("added_tokens", []) if added or not x.get("special")]
-        try:
-            ranks = {bytes(back[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
-            coder = tiktoken.Encoding("from-json", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-            def one(text: str) -> np.ndarray:
-                if not any(x in text for x in apart):
-                    try:
-                        return coder.encode_to_numpy(text, disallowed_special=())
-                    except ValueError:  # its pattern gives up on runs of about a million blanks
-                        pass
-                return slow([text])[0]
-
-            fast = lambda texts: [one(t) for t in texts]
-            probe = ["", "Hello world's  end\n\n  x", "éèç ñ ß Ä 東京   \x1c\x85 ok", "aaaaaaaa 1234567 --==++ <|endoftext|> \t\r\n", "\U0001f600 naïve İ ſ"]
-            if all(np.array_equal(a, b) for a, b in zip(slow(probe), fast(probe), strict=True)):
-                pick = fast
-        except KeyError:
-            pass
-    _loaded[path, added] = pick
+    if fast:
+        coder = _stand_in(path)
+        apart = [t.content for t in own.get_added_tokens_decoder().values() if added or not t.special]
+
+        def one(text: str) -> np.ndarray:
+            if not any(x in text for x in apart):
+                try:
+                    return coder.encode_to_numpy(text, disallowed_special=())
+                except ValueError:  # its pattern gives up on runs of about a million blanks
+                    pass
+            return slow([text])[0]
+
+        pick = lambda texts: [one(t) for t in texts]
+    _loaded[path, added, fast] = pick
     return pick
 
 
@@ -110,21 +137,21 @@ def pack(docs: DataFrame, path: str, size: int = 1024, end_id: int = 0, id_col:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Documents are tokenised where they are read, ``end_id`` closes each.  Whole blocks of ``size`` tokens
-    are sequences of their own; what is left of each document is dealt by id to groups of about
-    ``group_docs`` documents, so a group stays within one task's memory however large the table is, and costs at most
-    one padded sequence.  ``sequence_id`` is the group's number times 2**32 plus the sequence's number there.
+    are sequences of their own; what is left of each document is dealt by id, tokens and input partition to groups of about
+    ``group_docs`` documents, so that neither null ids nor rows that repeat meet in one group.  A group stays within one task's memory however
+    large the table is, and costs at most one padded sequence.  ``sequence_id`` is the group's number times 2**32 plus the sequence's number there.
 
     ``added``: whether a special token's text gets its id, as by the ``tokenizers`` library's default (see ``id_encoder``).
 
     Null and empty texts are one end token.  Repeated rows are packed each.  Ties in length go by doc_id,
-    then ids.  An empty table has no pieces.
+    then ids.  An empty table has no pieces; further columns play no part.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    groups = max(1, -(-docs.count() // group_docs))
+    groups, fast = max(1, -(-docs.count() // group_docs)), proven(path)
 
     def tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = id_encoder(path, added)
+        encode = id_encoder(path, added, fast)
         for batch in batches:
             n, whole, tail = [], [], []
             for ids in encode([t or "" for t in batch.column(1).to_pylist()]):
@@ -153,5 +180,7 @@ def pack(docs: DataFrame, path: str, size: int = 1024, end_id: int = 0, id_col:
         return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"), zip(*rows, strict=True) if rows else [[]] * 7, strict=True)})
 
     schema = "doc_id long, doc_tokens long, whole array<long>, tail binary"
-    dealt = docs.select(id_col, text_col).mapInArrow(tokens, schema).withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
-    return dealt.groupBy("grp").applyInArrow(packed, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    dealt = docs.select(id_col, text_col).mapInArrow(lean(tokens), schema)
+    # The partition is part of the hash, not the row's place in it: a task that runs again deals its rows as before.
+    dealt = dealt.withColumn("grp", F.pmod(F.xxhash64("doc_id", "tail", F.spark_partition_id()), F.lit(groups)))
+    return dealt.groupBy("grp").applyInArrow(lean_group(packed), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -44,6 +44,19 @@ def test_preferences(spark):
     assert chat.preference_pairs(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_preferences_with_other_columns_and_long_texts(spark):
+    rows = [(0, 0, "user", "q" * 200_000), (0, 1, "assistant", "é" * 100_000), (1, 0, "user", "q" * 200_000)] + [(1, i, "assistant", "r") for i in range(1, 3000)]
+    rows += [(2**60, 0, "user", "x"), (2**60 + 1, 0, "user", "x"), (2**60 + 2, 0, "user", "y")]
+    wide = spark.createDataFrame([(*r, "a", "b", 5, "c") for r in rows], "conv_id long, turn long, role string, text string, chosen string, prompt string, pair_id int, turns string")
+    got = {r.pair_id: r for r in chat.preference_pairs(wide).collect()}
+    assert set(got) == {0, 2**59, 2**59 + 1} and got[2**59].paired and not got[2**59 + 1].paired
+    assert got[0].prompt_turns == 1 and len(got[0].chosen_text) == 100_000 + 14 + 8 and got[0].rejected_text.count("<|assistant|>") == 2999
+    assert got[0].chosen_mask == "0x14,1x100008"
+    pairs = spark.createDataFrame([([("user", "x")], None, "mine", 1)], "chosen array<struct<role string, text string>>, rejected array<struct<role string, text string>>, _a string, _k int")
+    kept = chat.format_preferences(pairs).first()
+    assert (kept["_a"], kept["_k"], kept.prompt_turns, kept.chosen_text) == ("mine", 1, 0, "<|user|>\nx<|end|>\n")
+
+
 @pytest.fixture(scope="module")
 def reference():
     import base64
@@ -103,6 +116,44 @@ def test_packing(spark, group_docs):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_packing_of_null_and_repeated_ids(spark):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = [*TEXTS, (None, None), (None, "abc"), (None, "x y z " * 900), (7, "other text " * 700), (7, "other text " * 700)]
+    docs = spark.createDataFrame([(i, t, "clash", "clash") for i, t in rows], "doc_id long, text string, grp string, tail string")
+    got = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), group_docs=4, added=True).collect()
+    for i in {i for i, _ in rows}:
+        ids = [own.encode(t or "", add_special_tokens=False).ids + [0] for j, t in rows if j == i]
+        mine = [r for r in got if r.doc_id == i]
+        assert sorted(r.doc_tokens for r in mine if r.start == 0) == sorted(map(len, ids)) and sum(r.length for r in mine) == sum(map(len, ids))
+        assert all(any(r.doc_tokens == len(x) and r.ids_crc32 == zlib.crc32(np.array(x[r.start : r.start + r.length], "<u4").tobytes()) for x in ids) for r in mine)
+    fill = {}
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == fill.get(r.sequence_id, 0)
+        fill[r.sequence_id] = r.offset + r.length
+    assert max(fill.values()) <= 1024
+
+
+def test_rows_without_ids_are_dealt_to_many_groups(spark):
+    docs = spark.range(4000).selectExpr("CAST(NULL AS LONG) doc_id", "concat('t', id) text").repartition(8)
+    got = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), group_docs=100)
+    sizes = [r["count"] for r in got.groupBy((got.sequence_id / 2**32).cast("long")).count().collect()]
+    assert len(sizes) > 30 and max(sizes) < 300
+
+
+def test_the_stand_in_is_proven_and_agrees(reference):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert packing.proven(path)
+    own, rng = Tokenizer.from_file(path), np.random.default_rng(8)
+    points = [chr(int(c)) for c in rng.integers(1, 0x3000, 400)] + list("  \n\t'sdetlrvm0123456789aAbB.,") * 20
+    tokens = [reference.decode_single_token_bytes(int(i)).decode("utf-8", "ignore") for i in rng.integers(0, 50_000, 600)]
+    some = ["".join(rng.choice(points, 60)) for _ in range(300)] + ["".join(rng.choice(tokens, 30)) for _ in range(300)]
+    assert [x.tolist() for x in packing.id_encoder(path, True, True)(some)] == [own.encode(t, add_special_tokens=False).ids for t in some]
+
+
 def test_packing_balances_cost():
     p = packing.Packer(4 * 100, 100)
     for n in sorted([60, 60, 40, 40, 40, 40, 30, 30, 20, 20, 20], reverse=True):
