@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import lean, small_batches, written
 
 #: Bits of a code at least, bits of a substring, rows the rotations and the radius are learned on, rows of one index.
 BITS, SUB, SAMPLE, INDEX = 128, 8, 8_000, 16_384
-#: Queries that are sent to the tasks at a time; more queries go in more blocks.
+#: Queries that are sent to the tasks at a time; more queries go in more blocks, one after the other.
 BLOCK = 20_000
 #: Share of the sample's true neighbours that must lie within the learned radius.
-COVER = 0.985
+COVER = 0.96
+#: Share of the sample that probing may reach, and values that one query may probe of a substring, for buckets to be shuffled.
+REACH, PROBES = 0.2, 5000
 
 _count = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 #: Substrings by Hamming distance: those to exclusive-or a substring with to get all at that distance.
@@ -51,6 +54,19 @@ class Codes:
     def bits(self) -> int:
         return -(-sum(t.shape[1] for t in self.turns) // SUB) * SUB
 
+    def reach(self, x: np.ndarray, sub: int) -> tuple[list[int], int, float]:
+        """With substrings of ``sub`` bits: how far each is probed for the radius, values probed of one at most, and which share of ``x`` that reaches."""
+        parts = -(-self.bits // sub)
+        r, a = divmod(self.radius, parts)
+        far = [r if j <= a else r - 1 for j in range(parts)]
+        bits = np.unpackbits(self.encode(x), axis=1).astype(np.float32)
+        ask = bits[:: max(1, len(bits) // 200)][:200]
+        hit = np.zeros((len(ask), len(bits)), bool)
+        for j, f in enumerate(far):
+            p, q = bits[:, j * sub : (j + 1) * sub], ask[:, j * sub : (j + 1) * sub]
+            hit |= q.sum(1)[:, None] + p.sum(1)[None, :] - 2 * q @ p.T <= f
+        return far, sum(comb(sub, i) for i in range(min(r, sub) + 1)), float(hit.mean()) if hit.size else 0.0
+
     def encode(self, x: np.ndarray) -> np.ndarray:
         """A row of bytes, the substrings, for each vector."""
         return np.packbits(np.concatenate([(x - self.mean) @ t >= 0 for t in self.turns], 1), axis=1)
@@ -91,22 +107,74 @@ def _usable(v: Column) -> Column:
     return v.isNotNull() & F.coalesce(sound, F.lit(False)) & F.exists(v, lambda x: x != 0)
 
 
-def neighbours(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def _values(bits: int, most: int) -> list[int]:
+    """All numbers of ``bits`` bits of which ``most`` or fewer are set."""
+    out, last = [0], [(0, -1)]
+    for _ in range(min(bits, most)):
+        last = [(v | 1 << b, b) for v, top in last for b in range(top + 1, bits)]
+        out += [v for v, _ in last]
+    return out
+
+
+def _bucketed(rows: DataFrame, asked: DataFrame, codes: Codes, sub: int, far: list[int], k: int) -> tuple[DataFrame, DataFrame]:
+    """(query_id, q, vec_id, score) of all within the radius, by buckets of (substring, value) that are shuffled, and the queries (q, vec_id, v) with fewer than ``k``.
+
+    Rows go to the bucket of each of their substrings with their codes alone; queries to those of the values they probe, so a query
+    meets no rows but those its probes hit.  Vectors are joined to what lies within the radius, for the rerank.
+    """
+    spark, parts, words = rows.sparkSession, len(far), -(-codes.bits // 64)
+    shared = spark.sparkContext.broadcast(codes)
+
+    def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                bits = np.unpackbits(shared.value.encode(x), axis=1)
+                pad = lambda size: np.pad(bits, ((0, 0), (0, size - bits.shape[1])))
+                subs = pad(parts * sub).reshape(len(bits), parts, sub) @ (1 << np.arange(sub, dtype=np.int64))
+                code = np.packbits(pad(words * 64), axis=1).view("<i8")
+                lists = lambda a: pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1, dtype=np.int32) * a.shape[1]), pa.array(a.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists(subs), lists(code)], ["vec_id", "subs", "code"])
+
+    kind = "vec_id long, subs array<long>, code array<long>"
+    coded = rows.mapInArrow(lean(encode), kind)
+    index = coded.select("vec_id", "code", F.posexplode("subs").alias("j", "value"))
+    asks = written(asked.withColumn("q", F.monotonically_increasing_id()), "asked")
+    own = asks.select("q", "v").withColumnRenamed("q", "vec_id").mapInArrow(lean(encode), kind)
+    masks = spark.createDataFrame([(j, v) for j, f in enumerate(far) if f >= 0 for v in _values(sub, f)], "j int, mask long")  # PROBES a substring at most
+    probes = own.select(F.col("vec_id").alias("q"), F.col("code").alias("own"), F.posexplode("subs").alias("j", "at")).join(F.broadcast(masks), "j")
+    probes = probes.select("q", "own", "j", F.col("at").bitwiseXOR(F.col("mask")).alias("value"))
+    apart = F.aggregate(F.zip_with("own", "code", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    near = probes.join(index, ["j", "value"]).where(apart <= codes.radius).select("q", "vec_id").distinct()
+    full = near.join(asks.select("q", F.col("vec_id").alias("query_id"), F.col("v").alias("x")), "q").where("vec_id <> query_id").join(rows, "vec_id")
+    score = F.sqrt(F.aggregate(F.zip_with("x", "v", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda x, y: x + y))
+    full = full.select("query_id", F.col("q").alias("q"), "vec_id", score.alias("score"))
+    best = F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id"))
+    found = written(full.withColumn("place", best).where(F.col("place") <= k).drop("place"), "found")
+    enough = found.groupBy("q").count().where(F.col("count") >= k)
+    return found, written(asks.join(enough, "q", "left_anti"), "few")
+
+
+def neighbours(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", reach: float = REACH) -> DataFrame:
     """Per query and rank: query_id, rank, vec_id, score (Euclidean distance of the original vectors in double precision).
 
     Queries are the rows whose id is divisible by ``every``; candidates are all rows but those of the query's id.  Codes
-    and radius are learned on about ``SAMPLE`` rows at most, picked by hash; every row is indexed, in its task, in
-    indexes of ``INDEX`` rows.  Queries go to the tasks in blocks of about ``BLOCK``.  Each index returns the nearest ``k`` of
+    and radius are learned on about ``SAMPLE`` rows at most, picked by hash.  Substrings have about as many bits as the number of rows.
+
+    Where probing the radius reaches less than ``reach`` of the sample, buckets of (substring, value) are shuffled and a query meets only what
+    it probes (see ``_bucketed``).  Queries with fewer than ``k`` rows within the radius, and all queries where the radius is too wide
+    for buckets to tell rows apart, as of vectors without clusters, go to indexes of ``INDEX`` rows in the rows' tasks, in
+    blocks of about ``BLOCK`` queries, one block after the other: the driver holds one block.  Each index returns the nearest ``k`` of
     what lies within the radius; where that is fewer, the radius grows until there are ``k`` or no more rows.
 
     Vectors that are null, zero, hold null or non-finite components or differ in length from most take no part, nor do
-    rows without an id.  Ties go to the smaller id; of rows that repeat a query's id and vector one asks.
+    rows without an id.  Ties go to the smaller id; of rows that repeat a query's id and vector one asks.  Of rows that repeat any other
+    id and vector each is a candidate.  An empty table has no rows; further columns play no part.
     """
     spark = vectors.sparkSession
     small_batches(spark)
     v = F.col(vector_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & _usable(F.col("v")))
-    kind = "query_id long, q int, vec_id long, score double"
     usual = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if usual is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -114,8 +182,24 @@ def neighbours(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str =
     n = rows.count()
     part = rows if n <= SAMPLE else rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000_000)) < F.lit(int(1e9 * SAMPLE / n)))
     sample = part.orderBy("vec_id", "v").select("v").toArrow().column(0).combine_chunks()
-    codes = Codes(sample.values.to_numpy(zero_copy_only=False).reshape(-1, usual.d), k)
+    x = sample.values.to_numpy(zero_copy_only=False).reshape(-1, usual.d)
+    codes = Codes(x, k)
     asked = rows.where(F.col("vec_id") % every == 0).distinct()
+    sub = max(8, min(30, int(np.log2(n))))
+    far, probed, share = codes.reach(x, sub)
+    order = Window.partitionBy("query_id", "q").orderBy("score", "vec_id")
+    top = lambda df: df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    if share < reach and probed <= PROBES:
+        found, few = _bucketed(rows, asked, codes, sub, far, k)
+        if not few.limit(1).count():
+            return top(found)
+        return top(found.join(few.select("q"), "q", "left_anti")).unionByName(top(_blocks(spark, rows, few.select("vec_id", "v"), codes, usual.d, k)))
+    return top(_blocks(spark, rows, asked, codes, usual.d, k))
+
+
+def _blocks(spark: SparkSession, rows: DataFrame, asked: DataFrame, codes: Codes, size: int, k: int) -> DataFrame:
+    """(query_id, q, vec_id, score): the nearest ``k`` that each index of ``INDEX`` rows has for each query."""
+    kind = "query_id long, q long, vec_id long, score double"
     blocks = max(1, -(-asked.count() // BLOCK))
 
     def search(shared):
@@ -157,7 +241,7 @@ def neighbours(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str =
                 some = range(i, min(i + 1000, len(ids)))
                 n = [len(best[j][0]) for j in some]
                 yield pa.RecordBatch.from_pydict({
-                    "query_id": pa.array(np.repeat(ids[i : i + 1000], n)), "q": pa.array(np.repeat(np.arange(i, i + len(n), dtype=np.int32), n)),
+                    "query_id": pa.array(np.repeat(ids[i : i + 1000], n)), "q": pa.array(np.repeat(np.arange(i, i + len(n)), n)),
                     "vec_id": pa.array(np.concatenate([best[j][0] for j in some])), "score": pa.array(np.concatenate([best[j][1] for j in some])),
                 })
 
@@ -167,8 +251,11 @@ def neighbours(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str =
     for b in range(blocks):
         got = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id", "v").toArrow()
         ids = got.column(0).combine_chunks().to_numpy()
-        ask = got.column(1).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), usual.d)
-        part = rows.mapInArrow(search(spark.sparkContext.broadcast((codes, ids, ask))), kind)
+        ask = got.column(1).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), size)
+        shared = spark.sparkContext.broadcast((codes, ids, ask))
+        part = rows.mapInArrow(lean(search(shared)), kind)
+        if blocks > 1:  # let go of this block before the next
+            part = written(part, "block")
+            shared.destroy()
         found = part if found is None else found.unionByName(part)
-    order = Window.partitionBy("query_id", "q").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found

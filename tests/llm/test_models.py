@@ -137,6 +137,35 @@ def test_neighbours(spark, monkeypatch):
             assert r.query_id != r.vec_id and 1 <= r.rank <= 10
 
 
+def test_neighbours_by_shuffled_buckets(spark, monkeypatch):
+    """Clusters that codes tell apart: queries meet only what they probe, and one that finds too few asks all rows."""
+    rng = np.random.default_rng(16)
+    centres = rng.normal(size=(40, 32))
+    rows = [(i, (centres[i % 40] + 0.02 * rng.normal(size=32)).tolist()) for i in range(4000)]
+    rows += [(100_000, (10 * rng.normal(size=32)).tolist()), (4100, rows[100][1]), (4101, rows[100][1]), (200, rows[3][1])]
+    frame = spark.createDataFrame([r + (1,) for r in rows], "vec_id long, embedding array<double>, code int")
+    used, bucketed = [], ann._bucketed
+
+    def spy(*args):
+        used.append(bucketed(*args))
+        return used[-1]
+
+    monkeypatch.setattr(ann, "_bucketed", spy)
+    got = ann.neighbours(frame).collect()
+    assert len(used) == 1 and 100_000 in [r.vec_id for r in used[0][1].collect()]
+    plain = {}
+    for i, v in {(i, tuple(v)) for i, v in rows if i % 100 == 0}:
+        plain.setdefault(i, []).append(sorted((float(np.sqrt(((np.array(u) - np.array(v)) ** 2).sum())), j) for j, u in rows if j != i)[:10])
+    assert len(got) == sum(10 * len(x) for x in plain.values())
+    hits = total = 0
+    for i, lists in plain.items():
+        mine = {(r.vec_id, round(r.score, 9)) for r in got if r.query_id == i}
+        assert sorted(r["rank"] for r in got if r.query_id == i) == sorted(list(range(1, 11)) * len(lists))
+        for near in lists:
+            hits, total = hits + sum((j, round(s, 9)) in mine for s, j in near), total + 10
+    assert hits >= 0.95 * total
+
+
 def test_neighbours_few(spark):
     frame = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     assert ann.neighbours(frame([])).count() == 0
