@@ -182,7 +182,7 @@ def score(docs: DataFrame, trees: Trees, cut: float = 0.3, id_col: str = "doc_id
     """Per row of ``docs``: doc_id, held_out, score, predicted.
 
     The score comes from the text's statistics alone.  Null texts count as empty; empty texts get a score as
-    any other.  Repeated rows are scored each.  Without labels to learn from, or with one class of them, all
+    any other.  Repeated rows are scored each; an empty table has no rows; further columns play no part.  Without labels to learn from, or with one class of them, all
     scores are alike.
     """
     small_batches(docs.sparkSession)
@@ -201,7 +201,10 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", cut: fl
 
 
 def keep_good(docs: DataFrame, trees: Trees, cut: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text scores ``cut`` or more."""
+    """The rows of ``docs``, with all their columns, whose text scores ``cut`` or more.
+
+    Null texts count as empty and score as any other; rows are judged one by one, so repeated rows share their fate.  An empty table stays empty.
+    """
     small_batches(docs.sparkSession)
     at = docs.columns.index("text")
 

@@ -64,3 +64,40 @@ def test_null_and_repeated_ids(spark, monkeypatch, sent):
     got = corpus_pipeline.dissimilar(spark, rows((3, a), (5, a + " more"), (5, b), (6, b + " again"), (7, c), (7, c), (None, d), (8, d + " end"), (None, c + " x"), (None, e), (9, None)), "")
     assert got.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert left(got) == sorted([(3, a), (5, b), (7, c), (7, c), (8, d + " end"), (None, e), (9, None)], key=str)
+
+
+WIDE = ROWS + ", kept boolean, row int, n_bytes string, component_id long, _key int, grp string, y int, spans string"
+
+
+def test_other_columns_with_clashing_names_come_along(spark, folder):
+    path, docs, _ = folder
+    now = spark.createDataFrame([(i, t, "en", "s", len(t or ""), True, i, "b", 7, 5, "g", 1, "s") for i, t in docs.items()] + [(None, None, None, None, None, None, None, None, None, None, None, None, None)], WIDE)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = corpus_pipeline.written(stage(spark, now, path), name)
+        assert now.columns == [c.split()[0] for c in WIDE.split(", ")]
+    assert all((r.row, r.n_bytes, r.component_id) == ((r.doc_id, "b", 7) if r.doc_id is not None else (None, None, None)) for r in now.collect())
+
+
+def test_empty_table(spark, folder):
+    now = spark.createDataFrame([], ROWS)
+    for name, stage in corpus_pipeline.STAGES:
+        now = corpus_pipeline.written(stage(spark, now, folder[0]), name)
+        assert now.count() == 0
+
+
+def test_long_texts_and_cleaning_up(spark, folder):
+    from quillstone.llm import common
+
+    path = folder[0]
+    rng = np.random.default_rng(14)
+    long = " ".join("w" + str(x) for x in rng.integers(0, 5000, 60_000))
+    rows = [(1, long, "en", "s", len(long)), (2, long + " ", "en", "s", 0), (3, long + " and more", "en", "s", 0), (4, "short", "en", "s", 5), (4, None, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, ROWS)
+    one = corpus_pipeline.written(corpus_pipeline.distinct(spark, docs, path), "x")
+    assert sorted((r.doc_id, len(r.text or "")) for r in one.collect()) == [(2, len(long) + 1), (3, len(long) + 9), (4, 0), (4, 5)]
+    two = corpus_pipeline.written(corpus_pipeline.dissimilar(spark, one, path), "x")
+    assert sorted((r.doc_id, len(r.text or "")) for r in two.collect()) == [(2, len(long) + 1), (4, 0), (4, 5)]
+    assert sorted(r.doc_id for r in corpus_pipeline.unrepeated(spark, two, path).collect()) == [2, 4, 4]
+    before = len(common.made)
+    corpus_pipeline.run(spark, path)
+    assert len(common.made) == before + 1
