@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, lean_group, small_batches
+from .common import lean, lean_group, release, small_batches
 
 #: Documents that one packing group gets on average; a group is packed in one task's memory.
 GROUP_DOCS = 8192
@@ -63,10 +63,11 @@ def proven(path: str) -> bool:
         if coder is None:
             _proven[path] = False
         else:
-            tokens = [t for t in (coder.decode_single_token_bytes(i).decode("utf-8", "ignore") for i in sorted(coder._mergeable_ranks.values())) if t]
-            points = [chr(p << 16 | c) for p in _PLANES for c in range(1 << 16) if p or not 0xD800 <= c < 0xE000]
-            probes = tokens + ["".join(f"a{c}a1{c}1 {c} .{c}." for c in points[i : i + 256]) for i in range(0, len(points), 256)]
-            _proven[path] = all(e.ids == coder.encode_ordinary(t) for e, t in zip(own.encode_batch(probes, add_special_tokens=False), probes, strict=True))
+            tokens = (coder.decode_single_token_bytes(i).decode("utf-8", "ignore") for i in sorted(coder._mergeable_ranks.values()))
+            points = ("".join(f"a{c}a1{c}1 {c} .{c}." for c in map(chr, range(p << 16 | i, p << 16 | i + 64)) if not "\ud800" <= c <= "\udfff") for p in _PLANES for i in range(0, 1 << 16, 64))
+            _proven[path] = all(own.encode(t, add_special_tokens=False).ids == coder.encode_ordinary(t) for t in (*tokens, *points))
+            del own, coder
+            release()
     return _proven[path]
 
 
