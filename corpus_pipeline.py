@@ -53,8 +53,8 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts equal each other.  Rows that repeat an id and its text share their fate.
     """
-    found = exact.exact_dedup(docs).withColumn("text", F.xxhash64("text_sha256"))
-    return _without(docs, found, doc_id=F.col("doc_id"), text=F.xxhash64(exact.digest(F.col("text"))))
+    found = exact.exact_dedup(docs.withColumn("_exact_text", F.xxhash64("text")), carry=("_exact_text",))
+    return _without(docs, found, doc_id=F.col("doc_id"), _exact_text=F.xxhash64("text"))
 
 
 def dissimilar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

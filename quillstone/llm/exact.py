@@ -16,8 +16,8 @@ def digest(text: Column) -> Column:
     return F.sha2(F.translate(F.coalesce(text, F.lit("")), _WHITE, ""), 256)
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = 0.001) -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = 0.001, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, and the columns of ``docs`` named in ``carry``.
 
     Misra-Gries counters (``freqItems``) give at most ``1 / support`` digests that may make up that share
     of the rows.  One aggregation verifies them; the verified winners, never more than ``1 / support`` rows,
@@ -29,7 +29,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = written(
-        docs.select(F.col(id_col).alias("doc_id"), digest(F.col(text_col)).alias("text_sha256"), F.length(text).alias("_len")),
+        docs.select(F.col(id_col).alias("doc_id"), digest(F.col(text_col)).alias("text_sha256"), F.length(text).alias("_len"), *carry),
         "digests",
     )
     best = F.min(F.struct(-F.col("_len"), F.col("doc_id").isNull(), F.col("doc_id")))
@@ -41,7 +41,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest = rows.join(winners, "text_sha256", "left_anti")
     rest = rest.join(found(rest), "text_sha256")
     out = rows.join(winners, "text_sha256").unionByName(rest)
-    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", *carry)
 
 
 SQL = r"""

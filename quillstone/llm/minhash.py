@@ -229,9 +229,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
         return most * F.lit(den) >= (na + nb - most) * F.lit(num)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that are similar enough on full sets; a centre with many pairs comes once for each of its salts."""
         pairs = pairs.distinct()
-        right = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b")
-        full = right.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a")
+        cuts = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(SALTED)).cast("int").alias("cuts"))
+        centres = cuts.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+        salted = pairs.join(cuts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("cuts")).cast("int")).drop("cuts")
+        right = salted.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b")
+        full = right.join(centres, ["a", "salt"])
         both = F.size(F.array_intersect("sa", "sb"))
         return full.where(both * F.lit(den) >= (F.size("sa") + F.size("sb") - both) * F.lit(num)).select("a", "b").distinct()
 
