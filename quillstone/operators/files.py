@@ -108,25 +108,28 @@ def scan(state: DataFrame, snapshot: DataFrame, rehash: bool = False) -> DataFra
 
     ``state`` has path, content_hash, size_bytes, mtime, missing; ``snapshot`` path, content_hash, size_bytes, mtime.  By path:
     skipped (size and time unchanged), refreshed (same content), updated, duplicate (content of a file that is still
-    there, or of an earlier new one), moved (content of a file that is gone), new; missing for what is known and not seen.
+    there, or of an earlier one that is new or changed), moved (content of a file that is gone), new; missing for what is known, not
+    seen and not missing already.
     """
     known = state.select("path", F.col("content_hash").alias("old_hash"), F.col("size_bytes").alias("old_size"), F.col("mtime").alias("old_mtime"), "missing")
     seen = snapshot.join(known, "path", "left")
     live = snapshot.select("path").withColumn("there", F.lit(True))
     holders = known.join(live, "path", "left").groupBy(F.col("old_hash").alias("content_hash")).agg(F.max(F.coalesce("there", F.lit(False))).alias("held"), F.lit(True).alias("had"))
-    first = F.row_number().over(Window.partitionBy("content_hash", F.col("old_hash").isNull()).orderBy("path")) == 1
-    rows = seen.join(holders, "content_hash", "left").withColumn("first", first)
     same = (F.col("old_size") == F.col("size_bytes")) & (F.abs(F.col("old_mtime") - F.col("mtime")) < 1e-6) & ~F.col("missing")
+    fresh = F.col("old_hash").isNull() | (F.col("old_hash") != F.col("content_hash")) & ~(same & F.lit(not rehash))
+    rows = seen.withColumn("fresh", F.coalesce(fresh, F.lit(True)))
+    earliest = rows.where("fresh").groupBy("content_hash").agg(F.min("path").alias("first_path"))
+    rows = rows.join(holders, "content_hash", "left").join(earliest, "content_hash", "left").withColumn("first", F.col("path") == F.col("first_path"))
     action = (
         F.when(F.col("old_hash").isNotNull() & same & F.lit(not rehash), "skipped")
         .when(F.col("old_hash") == F.col("content_hash"), "refreshed")
-        .when(F.col("old_hash").isNotNull() & F.coalesce("held", F.lit(False)), "duplicate")
+        .when(F.col("old_hash").isNotNull() & (F.coalesce("held", F.lit(False)) | ~F.col("first")), "duplicate")
         .when(F.col("old_hash").isNotNull(), "updated")
         .when(F.coalesce("held", F.lit(False)) | ~F.col("first"), "duplicate")
         .when(F.coalesce("had", F.lit(False)), "moved")
         .otherwise("new")
     )
-    gone = known.join(snapshot.select("path"), "path", "left_anti").join(snapshot.select(F.col("content_hash").alias("old_hash")).distinct(), "old_hash", "left_anti")
+    gone = known.where("NOT missing").join(snapshot.select("path"), "path", "left_anti").join(snapshot.select(F.col("content_hash").alias("old_hash")).distinct(), "old_hash", "left_anti")
     return rows.select("path", action.alias("action")).unionByName(gone.select("path", F.lit("missing").alias("action")))
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import body_hash, link_keys, normal_title, segments, tokenize, wikilinks
+from ..functions.text import body_hash, link_keys, normal_title, segments, wikilinks
 
 
 def extract_links(docs: DataFrame) -> DataFrame:
@@ -79,28 +79,78 @@ def graph_contains(chunks: DataFrame) -> DataFrame:
     return step.select(here.alias("src"), below.alias("dst"), F.lit("contains").alias("kind")).distinct()
 
 
+#: Words of a title that texts are looked through for; longer titles are then matched in full.
+GRAM = 3
+
+
+def _words(c: Column) -> Column:
+    return F.regexp_extract_all(F.lower(c), F.lit(r"(?U)\w+"), F.lit(0))
+
+
+def _mentioned(chunks: DataFrame, titles: DataFrame) -> DataFrame:
+    """(chunk_id, title) where a text holds a title of ``titles`` (title, lower-cased) as whole words.
+
+    A title's first ``GRAM`` words stand in a text that holds it, so hashes of the runs of so many words meet hashes of
+    titles in an equi-join; texts are not part of it, and titles are sent around only if Spark finds them small.  Texts
+    are then joined to the hits of titles that are more than one word, and matched in full.
+    """
+    named = titles.withColumn("w", _words(F.col("title"))).where(F.size("w") > 0).select("title", F.xxhash64(F.slice("w", 1, GRAM)).alias("key"))
+    run = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.xxhash64(F.slice("w", i, n)))).otherwise(F.array().cast("array<bigint>"))
+    runs = chunks.select("chunk_id", _words(F.col("text")).alias("w")).select("chunk_id", F.explode(F.array_distinct(F.concat(*(run(n + 1) for n in range(GRAM))))).alias("key"))
+    met = runs.join(named, "key").select("chunk_id", "title")
+    one = F.col("title").rlike(r"^(?U)\w+$")
+    quoted = F.concat(F.lit(r"(?U)\b"), F.regexp_replace("title", r"([^\p{L}\p{N}\s])", r"\\$1"), F.lit(r"\b"))
+    checked = met.where(~one).join(chunks.select("chunk_id", F.lower("text").alias("text")), "chunk_id").where(F.regexp("text", quoted)).select("chunk_id", "title")
+    return met.where(one).unionByName(checked)
+
+
 def graph_mentions(chunks: DataFrame, least: int = 4) -> DataFrame:
     """(src, dst, kind) from chunks to the concepts whose title they hold as whole words, but not under it.
 
-    Titles meet texts by their first word, an equi-join, and only those pairs are matched in full.
+    A word is what Unicode takes for one; a title without any is mentioned nowhere.
     """
     nodes = graph_nodes(chunks).where("kind = 'concept'").select(F.col("id").alias("dst"), F.lower("title").alias("title")).where(F.length("title") >= least)
-    first = F.regexp_extract("title", "[a-z0-9]+", 0)
-    keyed = nodes.withColumn("word", first)
-    words = chunks.select("chunk_id", F.lower("text").alias("text"), F.transform(segments(F.col("heading_path")), F.lower).alias("own"), F.explode(F.array_distinct(F.array_append(tokenize(F.col("text")), ""))).alias("word"))
-    quoted = F.concat(F.lit(r"\b"), F.regexp_replace("title", r"([^\p{L}\p{N}\s])", r"\\$1"), F.lit(r"\b"))
-    hits = words.join(keyed, "word").where(~F.array_contains("own", F.col("title")) & F.regexp("text", quoted))
-    return hits.select(F.col("chunk_id").alias("src"), "dst", F.lit("mentions").alias("kind")).distinct()
+    own = chunks.select("chunk_id", F.explode(F.transform(segments(F.col("heading_path")), F.lower)).alias("title"))
+    hits = _mentioned(chunks, nodes.select("title").distinct()).join(own, ["chunk_id", "title"], "left_anti")
+    return hits.join(nodes, "title").select(F.col("chunk_id").alias("src"), "dst", F.lit("mentions").alias("kind")).distinct()
 
 
 def related_concepts(contains: DataFrame, mentions: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Per concept: parent, how many sub-concepts and chunks it holds, and how many chunks elsewhere mention it."""
+    """Per concept: parent, the names of its sub-concepts, how many chunks it holds, how many elsewhere mention it and the headings they stand under."""
     kinds = nodes.select(F.col("id").alias("dst"), F.col("kind").alias("below"))
-    down = contains.join(kinds, "dst").groupBy(F.col("src").alias("id")).agg(F.count_if(F.col("below") == "concept").alias("sub_concepts"), F.count_if(F.col("below") == "chunk").alias("direct_chunks"))
+    down = contains.join(kinds, "dst").groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_set(F.when(F.col("below") == "concept", F.col("dst")))).alias("subs"), F.count_if(F.col("below") == "chunk").alias("direct_chunks"))
     up = contains.groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
-    said = mentions.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("mentioned_by"))
-    base = nodes.where("kind = 'concept'").select("id").join(down, "id", "left").join(up, "id", "left").join(said, "id", "left")
-    return base.select("id", "parent", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("sub_concepts", "direct_chunks", "mentioned_by")])
+    at = nodes.where("kind = 'chunk'").select(F.col("id").alias("src"), F.nullif("heading_path", F.lit("")).alias("topic"))
+    said = mentions.join(at, "src", "left").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("mentioned_by"), F.sort_array(F.collect_set("topic")).alias("topics"))
+    base = nodes.where("kind = 'concept'").select("id", "title").join(down, "id", "left").join(up, "id", "left").join(said, "id", "left")
+    names = lambda c: F.coalesce(c, F.array().cast("array<string>")).alias(c)
+    count = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return base.select("id", "title", "parent", names("subs"), F.size(names("subs")).cast("long").alias("sub_concepts"), count("direct_chunks"), count("mentioned_by"), names("topics"))
+
+
+def related_concept(concept: str, contains: DataFrame, mentions: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The row of ``related_concepts`` that a name means: the concept of that title, else one whose path holds it; the first by path.  No row if there is none."""
+    wanted = concept.strip().lower()
+    exact = F.lower("title") == wanted
+    hit = nodes.where((F.col("kind") == "concept") & (exact | F.contains(F.lower("id"), F.lit(wanted)))).orderBy(~exact, "id").limit(1).select("id")
+    return related_concepts(contains, mentions, nodes).join(F.broadcast(hit), "id", "left_semi")
+
+
+def sample_concepts(nodes: DataFrame, n: int = 20) -> DataFrame:
+    """The first concepts by path, to name what there is where a concept is not found."""
+    return nodes.where("kind = 'concept'").select(F.col("id").alias("concept")).orderBy("concept").limit(n)
+
+
+def glossary(nodes: DataFrame) -> DataFrame:
+    """(term, id): each concept's title, lower-cased, with the nodes that bear it."""
+    return nodes.where("kind = 'concept'").select(F.lower("title").alias("term"), "id").distinct()
+
+
+def graph_stats(nodes: DataFrame, contains: DataFrame, mentions: DataFrame) -> DataFrame:
+    """(what, n): nodes, concepts, edges and cross references."""
+    kinds = nodes.agg(F.count("*").alias("nodes"), F.count_if(F.col("kind") == "concept").alias("concepts"))
+    edges = contains.unionByName(mentions).agg(F.count("*").alias("edges"), F.count_if(F.col("kind") == "mentions").alias("cross_references"))
+    return kinds.join(edges, F.lit(True)).select(F.explode(F.create_map(*(x for c in ("nodes", "concepts", "edges", "cross_references") for x in (F.lit(c), F.col(c))))).alias("what", "n"))
 
 
 def synthesize(seeds: DataFrame, contains: DataFrame, mentions: DataFrame, nodes: DataFrame, limit: int = 12) -> DataFrame:

@@ -6,7 +6,7 @@ mail, calendar and access logs, labels for importance, part for files, conversat
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.time import digest_title, moment, week_key
+from ..session import shared_dir
 from ..operators import chunking, files, lexical, lifecycle, mail, relations, search, similarity, state
 from ..streaming import jobs
 
@@ -373,11 +374,13 @@ def graph_xref(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {_CH}, {_NODES}, {_CONT}, {_MENT},
 d AS (SELECT src AS id, count(*) FILTER (WHERE kind = 'concept') AS s, count(*) FILTER (WHERE kind = 'chunk') AS c FROM cont JOIN nodes ON nodes.id = cont.dst GROUP BY src),
-u AS (SELECT dst AS id, min(src) AS parent FROM cont GROUP BY dst), m AS (SELECT dst AS id, count(*) AS m FROM ment GROUP BY dst)
-SELECT id, parent, coalesce(s, 0) AS sub_concepts, coalesce(c, 0) AS direct_chunks, coalesce(m, 0) AS mentioned_by FROM nodes LEFT JOIN d USING (id) LEFT JOIN u USING (id) LEFT JOIN m USING (id) WHERE kind = 'concept'""")
+u AS (SELECT dst AS id, min(src) AS parent FROM cont GROUP BY dst), m AS (SELECT ment.dst AS id, count(*) AS m, string_agg(DISTINCT hp, '; ' ORDER BY hp) AS topics FROM ment JOIN ch ON chunk_id = ment.src GROUP BY ment.dst),
+z AS (SELECT src AS id, string_agg(dst, '; ' ORDER BY dst) AS subs FROM cont JOIN nodes ON nodes.id = cont.dst AND kind = 'concept' GROUP BY src)
+SELECT id, parent, coalesce(subs, '') AS subs, coalesce(s, 0) AS sub_concepts, coalesce(c, 0) AS direct_chunks, coalesce(m, 0) AS mentioned_by, coalesce(topics, '') AS topics FROM nodes LEFT JOIN z USING (id) LEFT JOIN d USING (id) LEFT JOIN u USING (id) LEFT JOIN m USING (id) WHERE kind = 'concept'""")
 def related_concept(spark: SparkSession, sf: str) -> DataFrame:
     rows = _chunked(spark, sf)
-    return relations.related_concepts(relations.graph_contains(rows), relations.graph_mentions(rows), relations.graph_nodes(rows))
+    of = relations.related_concepts(relations.graph_contains(rows), relations.graph_mentions(rows), relations.graph_nodes(rows))
+    return of.select("id", "parent", F.array_join("subs", "; ").alias("subs"), "sub_concepts", "direct_chunks", "mentioned_by", F.array_join("topics", "; ").alias("topics"))
 
 
 @query(f"""WITH {_CH}, {_NODES}, {_CONT}, {_MENT}, seed AS (SELECT 'c' || doc_id AS chunk_id, row_number() OVER (ORDER BY doc_id) AS rank FROM documents ORDER BY doc_id LIMIT 3),
@@ -706,8 +709,7 @@ def get_section(spark: SparkSession, sf: str) -> DataFrame:
 def _stream(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:
     """Events as a stream of files, and a checkpoint folder: the shared one, where there is one."""
     schema = _t(spark, sf, "events").schema
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
-    where = f"{shared}/stream-{abs(hash((sf, tempfile.mktemp())))}"
+    where = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/events.parquet" + ("*" if not _is_folder(spark, f"{sf}/events.parquet") else "")), where
 
 
@@ -719,10 +721,10 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 @query("SELECT user_id AS document_id, count(*) AS access_count, max(ts) AS last_access FROM events GROUP BY user_id")
 def stream_access_counts(spark: SparkSession, sf: str) -> DataFrame:
     stream, where = _stream(spark, sf)
-    return jobs.drain(jobs.access_counts(stream.select(F.col("user_id").alias("document_id"), F.col("ts").alias("at"))), "quillstone_access", where)
+    return jobs.drain(jobs.access_counts(stream.select(F.col("user_id").alias("document_id"), F.col("ts").alias("at"))), where)
 
 
 @query("SELECT isoyear(ts) || '-W' || lpad(week(ts)::VARCHAR, 2, '0') AS week, count(*) AS n FROM events GROUP BY ALL")
 def stream_weekly_digest(spark: SparkSession, sf: str) -> DataFrame:
     stream, where = _stream(spark, sf)
-    return jobs.drain(jobs.weekly_counts(stream), "quillstone_weeks", where)
+    return jobs.drain(jobs.weekly_counts(stream), where)

@@ -10,7 +10,7 @@ from ..functions import time as tm
 from ..functions.frontmatter import dumped, parsed
 from ..operators import lifecycle, mail, relations, search, similarity, state
 from ..sources.files import inbox
-from .catalog import NOW, _bm25_sql, _chunked, _t, query
+from .catalog import _CH, _CONT, _MENT, _NODES, NOW, _bm25_sql, _chunked, _t, query
 
 _SLUG = "coalesce(nullif(array_to_string(list_filter(string_split(regexp_replace(lower({c}), '[^a-z0-9]+', '-', 'g'), '-'), lambda x: x <> '')[1:8], '-'), ''), 'note')"
 
@@ -161,23 +161,47 @@ def digest_merge(spark: SparkSession, sf: str) -> DataFrame:
     return both.groupBy(F.regexp_replace("source_ref", "^.*/", "").alias("wk")).agg(F.count("*").alias("n"), F.count_if(F.startswith("line", F.lit("new"))).alias("replaced"))
 
 
-@query("SELECT 'chunk' AS kind, count(*) AS n FROM documents UNION ALL SELECT 'concept', count(DISTINCT lang) + count(DISTINCT (lang, source)) FROM documents UNION ALL SELECT 'contains', count(DISTINCT (lang, source)) + count(*) FROM documents")
+@query(f"""WITH {_CH}, {_NODES}, {_CONT}, {_MENT} SELECT 'nodes' AS what, count(*) AS n FROM nodes UNION ALL SELECT 'concepts', count(*) FROM nodes WHERE kind = 'concept'
+UNION ALL SELECT 'edges', (SELECT count(*) FROM cont) + (SELECT count(*) FROM ment) UNION ALL SELECT 'cross_references', count(*) FROM ment""")
 def graph_stats(spark: SparkSession, sf: str) -> DataFrame:
     rows = _chunked(spark, sf)
-    nodes = relations.graph_nodes(rows).groupBy("kind").agg(F.count("*").alias("n"))
-    return nodes.unionByName(relations.graph_contains(rows).agg(F.count("*").alias("n")).select(F.lit("contains").alias("kind"), "n"))
+    return relations.graph_stats(relations.graph_nodes(rows), relations.graph_contains(rows), relations.graph_mentions(rows))
 
 
 @query("SELECT DISTINCT lower(lang) AS term, lang AS id FROM documents UNION SELECT DISTINCT lower(source), lang || ' > ' || source FROM documents")
 def glossary(spark: SparkSession, sf: str) -> DataFrame:
-    """Each concept's title, lower-cased, with the nodes that bear it."""
-    return relations.graph_nodes(_chunked(spark, sf)).where("kind = 'concept'").select(F.lower("title").alias("term"), "id").distinct()
+    return relations.glossary(relations.graph_nodes(_chunked(spark, sf)))
 
 
 @query("SELECT s AS concept FROM (SELECT DISTINCT lang AS s FROM documents UNION SELECT DISTINCT lang || ' > ' || source FROM documents) ORDER BY s LIMIT 20")
 def sample_concepts(spark: SparkSession, sf: str) -> DataFrame:
     """The first twenty by name: the limit is the feature."""
-    return relations.graph_nodes(_chunked(spark, sf)).where("kind = 'concept'").select(F.col("id").alias("concept")).orderBy("concept").limit(20)
+    return relations.sample_concepts(relations.graph_nodes(_chunked(spark, sf)))
+
+
+def _by_language(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks under a heading in letters beyond ASCII, whose texts name the heading of another language as whole words, and longer words that only hold one."""
+    d = _t(spark, sf, "documents")
+    other = F.element_at(F.array(*map(F.lit, ("en", "de", "fr", "es"))), (F.pmod("doc_id", F.lit(4)) + 1).cast("int"))
+    text = F.concat(F.lit("Siehe ÜBERSICHT: "), other, F.lit(", 概要説明 und ÉTUDESX. "), F.coalesce("text", F.lit("")))
+    return d.select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("chunk_id"), "source", F.concat(F.lit("Übersicht: "), "lang", F.lit(" > "), F.when(F.pmod("doc_id", F.lit(3)) == 0, "概要説明").otherwise("Études")).alias("heading_path"), text.alias("text"))
+
+
+@query(r"""WITH ch AS (SELECT 'c' || doc_id AS chunk_id, 'Übersicht: ' || lang AS one, CASE WHEN doc_id % 3 = 0 THEN '概要説明' ELSE 'Études' END AS two,
+lower('Siehe ÜBERSICHT: ' || ['en', 'de', 'fr', 'es'][doc_id % 4 + 1] || ', 概要説明 und ÉTUDESX. ' || coalesce(text, '')) AS text FROM documents),
+nodes AS (SELECT DISTINCT one AS id, one AS title FROM ch UNION SELECT DISTINCT one || ' > ' || two, two FROM ch)
+SELECT chunk_id AS src, id AS dst FROM ch JOIN nodes ON lower(title) NOT IN (lower(one), lower(two)) AND regexp_matches(text, '(^|[^\p{L}\p{N}\p{M}_])' || lower(title) || '($|[^\p{L}\p{N}\p{M}_])')""")
+def graph_xref_unicode(spark: SparkSession, sf: str) -> DataFrame:
+    return relations.graph_mentions(_by_language(spark, sf)).select("src", "dst")
+
+
+@query(f"""WITH {_CH}, {_NODES}, {_CONT}, {_MENT} SELECT 'en > src1' AS id, 'en' AS parent, count(*) FILTER (WHERE lang = 'en' AND source = 'src1') AS direct_chunks,
+(SELECT count(*) FROM ment WHERE dst = 'en > src1') AS mentioned_by FROM ch""")
+def concept_by_name(spark: SparkSession, sf: str) -> DataFrame:
+    """Looked up by a part of its path, whatever the case."""
+    rows = _chunked(spark, sf)
+    found = relations.related_concept(" EN > Src1 ", relations.graph_contains(rows), relations.graph_mentions(rows), relations.graph_nodes(rows))
+    return found.select("id", "parent", "direct_chunks", "mentioned_by")
 
 
 @query("SELECT source, sum(n)::BIGINT AS n, sum(pages)::BIGINT AS pages FROM (SELECT source, lang, count(*) AS n, 1 AS pages FROM documents GROUP BY ALL) GROUP BY source")

@@ -18,8 +18,8 @@ class Expired(Exception):
     """The cursor is no longer known to the source."""
 
 
-def pages(fetch: Callable[[str | None], tuple[list[str], str | None]], cursor: str | None) -> tuple[list[str], str | None]:
-    """All items from a cursor on: until a page is empty, the cursor stands still, or ``MAX_PAGES`` were read."""
+def pages(fetch: Callable[[str | None], tuple[list[str], str | None]], cursor: str | None, end: str | None = None) -> tuple[list[str], str | None]:
+    """All items from a cursor on: until a page is empty, the cursor stands still or reaches ``end``, or ``MAX_PAGES`` were read."""
     items: list[str] = []
     for _ in range(MAX_PAGES):
         try:
@@ -30,7 +30,7 @@ def pages(fetch: Callable[[str | None], tuple[list[str], str | None]], cursor: s
             items, cursor = [], None
             continue
         items += got
-        if not got or after == cursor:
+        if not got or after == cursor or (end is not None and after == end):
             return items, after if after is not None else cursor
         cursor = after
     return items, cursor
@@ -80,4 +80,4 @@ class _Stream(SimpleDataSourceStreamReader):
         return iter([(x,) for x in items]), {"cursor": cursor}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter([(x,) for x in pages(self.fetch, start["cursor"])[0]])
+        return iter([(x,) for x in pages(self.fetch, start["cursor"], end["cursor"])[0]] if start != end else [])

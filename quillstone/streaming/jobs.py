@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.time import week_key
+from ..functions.time import days_since, week_key
 from ..operators.state import apply_merge
 from ..sources.tables import Tables
 
@@ -23,18 +24,49 @@ def weekly_counts(messages: DataFrame) -> DataFrame:
     return messages.groupBy(F.window("ts", "7 days", "7 days", "4 days").alias("w")).agg(F.count("*").alias("n")).select(week_key(F.col("w.start")).alias("week"), "n")
 
 
-def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Run a streaming aggregate over all that is there and return its result as a table."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def drain(stream: DataFrame, where: str) -> DataFrame:
+    """Run a streaming aggregate over all that is there and return its result, each batch's written below ``where``."""
+    schema = stream.schema
+
+    def batch(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{where}/result/batch={number:08d}")
+
+    query = stream.writeStream.foreachBatch(batch).outputMode("complete").option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    spark, last = stream.sparkSession, query.lastProgress
+    if last is None:
+        return spark.createDataFrame([], schema)
+    written = spark.read.schema(schema.add("batch", "string")).parquet(f"{where}/result")
+    return written.where(F.col("batch") == written.agg(F.max("batch")).first()[0]).drop("batch")
+
+
+def fresh(state: DataFrame, now: str, days: float, at: str = "at") -> DataFrame:
+    """State that is not older than its time to live; rows without a time do not age."""
+    return state.where(F.col(at).isNull() | (days_since(now, F.col(at)) <= days))
+
+
+def every(stream: DataFrame, tick: Callable[[DataFrame, int], None], checkpoint: str, seconds: int = 3600) -> StreamingQuery:
+    """Calls ``tick`` with each micro-batch, one every so many seconds; a tick that fails is logged and the next comes in time."""
+
+    def batch(rows: DataFrame, number: int) -> None:
+        try:
+            tick(rows, number)
+        except Exception:
+            logging.getLogger(__name__).exception("tick %d failed", number)
+
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
+
 
+def sync(stream: DataFrame, tables: Tables, name: str, schema: str, key: str, transform: Callable[[DataFrame], DataFrame], checkpoint: str, order: str | None = None) -> StreamingQuery:
+    """Upsert each micro-batch into a table by key; of rows that share a key in a batch the last by ``order``, a column of ``transform``'s result, wins.
 
-def sync(stream: DataFrame, tables: Tables, name: str, schema: str, key: str, transform: Callable[[DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
-    """Upsert each micro-batch into a table by key.  A batch that is replayed finds its rows there and changes nothing."""
+    Without ``order`` it is the greatest row.  A batch that is replayed finds its rows there and changes nothing.
+    """
 
     def batch(rows: DataFrame, number: int) -> None:
-        new = transform(rows).dropDuplicates([key])
-        tables.write(name, apply_merge(tables.read(name, schema), new, key))
+        new = transform(rows)
+        whole = F.struct(*new.columns)
+        newest = new.groupBy(key).agg(F.max_by(whole, F.struct(order, whole) if order else whole).alias("_row"))
+        tables.write(name, apply_merge(tables.read(name, schema), newest.select("_row.*"), key))
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
