@@ -20,6 +20,16 @@ POLICY = {
     "important": ("keep", 3, 180.0),
     "personal": ("keep", 3, 90.0),
 }
+#: Why a message is of a class.
+REASONS = {
+    "excluded": "not inbox mail",
+    "starred": "starred by you (keeper, never auto-archives)",
+    "promotion": "Gmail Promotions (marketing)",
+    "social": "Gmail Social (social-network notification)",
+    "bulk": "bulk/list mail (newsletter or automated alert) -> weekly digest",
+    "important": "Gmail marked important",
+    "personal": "primary/personal mail",
+}
 KEEPERS = 50
 
 
@@ -47,9 +57,12 @@ def _by_class(kind: Column, at: int, to: str) -> Column:
 
 
 def triage(messages: DataFrame) -> DataFrame:
-    """Adds klass, action, importance and ttl_days to messages (id, labels, listed, ...); those without an id go."""
+    """Adds klass, action, importance, ttl_days and reason to messages (id, labels, listed, ...); those without an id go."""
+    why = F.coalesce(*[F.when(F.col("klass") == k, F.lit(v)) for k, v in REASONS.items()])
+    which = F.array_join(F.sort_array(F.array_intersect("labels", F.array(*map(F.lit, EXCLUDED)))), ", ")
+    reason = F.when(F.col("klass") == "excluded", F.concat(why, F.lit(" ("), which, F.lit(")"))).otherwise(why)
     out = messages.where(F.coalesce("id", F.lit("")) != "").withColumn("klass", classify(F.coalesce("labels", F.array().cast("array<string>")), F.coalesce("listed", F.lit(False))))
-    return out.withColumns({"action": _by_class(F.col("klass"), 0, "string"), "importance": _by_class(F.col("klass"), 1, "int"), "ttl_days": _by_class(F.col("klass"), 2, "double")})
+    return out.withColumns({"action": _by_class(F.col("klass"), 0, "string"), "importance": _by_class(F.col("klass"), 1, "int"), "ttl_days": _by_class(F.col("klass"), 2, "double"), "reason": reason})
 
 
 def plan(triaged: DataFrame) -> DataFrame:

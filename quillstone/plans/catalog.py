@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.time import digest_title, moment, week_key
 from ..session import shared_dir
-from ..operators import chunking, files, lexical, lifecycle, mail, relations, search, similarity, state
+from ..operators import chunking, files, knowledge, lexical, lifecycle, mail, relations, search, similarity, state
 from ..streaming import jobs
 
 NOW = "2024-02-01 00:00:00"
@@ -383,21 +383,6 @@ def related_concept(spark: SparkSession, sf: str) -> DataFrame:
     return of.select("id", "parent", F.array_join("subs", "; ").alias("subs"), "sub_concepts", "direct_chunks", "mentioned_by", F.array_join("topics", "; ").alias("topics"))
 
 
-@query(f"""WITH {_CH}, {_NODES}, {_CONT}, {_MENT}, seed AS (SELECT 'c' || doc_id AS chunk_id, row_number() OVER (ORDER BY doc_id) AS rank FROM documents ORDER BY doc_id LIMIT 3),
-g AS (SELECT chunk_id, 'vector match' AS why, rank AS seed, 0 AS level FROM seed UNION ALL
-SELECT c.dst, 'related concept', rank, 1 FROM seed JOIN ment ON ment.src = chunk_id JOIN cont c ON c.src = ment.dst UNION ALL
-SELECT c.dst, 'same section', rank, 2 FROM seed JOIN cont p ON p.dst = chunk_id JOIN cont c ON c.src = p.src),
-h AS (SELECT chunk_id, min((seed, level, why)) AS b FROM g WHERE chunk_id IN (SELECT id FROM nodes WHERE kind = 'chunk') GROUP BY chunk_id),
-i AS (SELECT chunk_id, b[3] AS why, row_number() OVER (ORDER BY b[1], b[2], chunk_id) AS rank FROM h) SELECT rank, chunk_id, why FROM i WHERE rank <= 12""")
-def synthesize(spark: SparkSession, sf: str) -> DataFrame:
-    """Around three seeds; the seeds and the twelve results are the feature's own limits."""
-    rows = _chunked(spark, sf)
-    ids = _t(spark, sf, "documents").select("doc_id").orderBy("doc_id").limit(3)
-    seeds = ids.select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("chunk_id"), (F.row_number().over(lexical.Window.orderBy("doc_id"))).alias("rank"))
-    out = relations.synthesize(seeds, relations.graph_contains(rows), relations.graph_mentions(rows), relations.graph_nodes(rows))
-    return out.withColumn("rank", F.col("rank").cast("long"))
-
-
 # ---- Retention
 
 
@@ -486,7 +471,7 @@ def vault_status(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT source, count(*) AS chunks FROM documents GROUP BY source")
 def list_sources(spark: SparkSession, sf: str) -> DataFrame:
-    return _t(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("chunks"))
+    return knowledge.list_sources(_t(spark, sf, "documents"))
 
 
 @query(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in ("documents", "embeddings", "events", "labels")))
@@ -687,6 +672,18 @@ def chunk_documents(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.chunk(_t(spark, sf, "documents"), "doc_id").select("chunk_id", "ordinal", "heading_path", "text", "token_count")
 
 
+_PARTS = [("'T' || doc_id", "'# T' || doc_id || chr(10) || chr(10) || 'intro'", 0, "NULL"), ("'T' || doc_id || ' > Body'", "'## Body' || chr(10) || chr(10) || trim(text)", 1, "7"),
+          ("'T' || doc_id || ' > Body > Deep'", "'### Deep' || chr(10) || chr(10) || '```' || chr(10) || '# no heading' || chr(10) || chr(10) || 'x' || chr(10) || '```'", 2, "7"), ("'Z'", "'# Z' || chr(10) || chr(10) || 'end'", 3, "7")]
+
+
+@query(" UNION ALL ".join(f"SELECT doc_id::VARCHAR || '#{n}' AS chunk_id, {n} AS ordinal, {path} AS heading_path, {page}::INT AS page, {text} AS text FROM documents WHERE trim(text) <> ''" for path, text, n, page in _PARTS))
+def chunk_sections(spark: SparkSession, sf: str) -> DataFrame:
+    """Four sections of each document, one with a page and one with a fence; the whole text is the second's."""
+    whole = F.concat(F.lit("# T"), F.col("doc_id").cast("string"), F.lit("\n\nintro\n\n<!-- page: 7 -->\n\n## Body\n\n"), "text", F.lit("\n\n### Deep\n\n```\n# no heading\n\nx\n```\n\n# Z\n\nend"))
+    docs = _t(spark, sf, "documents").where(F.trim("text") != "").select("doc_id", whole.alias("text"))
+    return chunking.chunk(docs, "doc_id", target=10**9).select("chunk_id", "ordinal", "heading_path", "page", "text")
+
+
 def _markdown(spark: SparkSession, sf: str) -> DataFrame:
     """Pages as Markdown: titles as headings, paragraphs apart, other tags gone."""
     h = F.regexp_replace(F.col("html"), r"(?is)<(script|style|nav|head)\b.*?</\1>|<!--.*?-->", "")
@@ -700,7 +697,7 @@ def chunk_pages(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.chunk(_markdown(spark, sf), target=200)
 
 
-@query()
+@query(r"SELECT doc_id::VARCHAR AS source, regexp_replace('## Body' || chr(10) || chr(10) || text, '^\s+|\s+$', '', 'g') AS text FROM documents WHERE text IS NOT NULL")
 def get_section(spark: SparkSession, sf: str) -> DataFrame:
     rows = _t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("source"), F.concat(F.lit("# Top\n\nIntro\n\n## Body\n\n"), "text", F.lit("\n\n## Notes\n\nend")).alias("text"))
     return search.get_section(rows, "Top > Body")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import time as tm
 from ..functions.frontmatter import dumped, parsed
-from ..operators import lifecycle, mail, relations, search, similarity, state
+from ..operators import lifecycle, mail, relations, search, similarity, state, syncing
 from ..sources.files import inbox
 from .catalog import _CH, _CONT, _MENT, _NODES, NOW, _bm25_sql, _chunked, _t, query
 
@@ -208,7 +208,7 @@ def concept_by_name(spark: SparkSession, sf: str) -> DataFrame:
 def sync_totals(spark: SparkSession, sf: str) -> DataFrame:
     """Counts of pages summed by source, the breakdown kept."""
     page = _t(spark, sf, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
-    return page.groupBy("source").agg(F.sum("n").alias("n"), F.count("*").alias("pages"))
+    return syncing.accumulate(page, "source")
 
 
 def _notes_of(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "quillstone", **conf: str) -> SparkSession:
@@ -23,3 +24,10 @@ def shared_dir(spark: SparkSession) -> str:
         found = "file://" + tempfile.mkdtemp(prefix="quillstone-")
         spark.sparkContext.setCheckpointDir(found)
     return found
+
+
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder and read back, so that all who read it see the same rows."""
+    path = f"{shared_dir(df.sparkSession)}/{df.sparkSession.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

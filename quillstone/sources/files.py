@@ -37,7 +37,7 @@ def raw(spark: SparkSession, root: str) -> DataFrame:
 def notes(spark: SparkSession, root: str) -> DataFrame:
     """Markdown notes outside of .vault folders: path, text, hash, mtime."""
     rows = _read(spark, root, ("md",)).where(~F.array_contains(F.split("path", "/"), ".vault"))
-    return rows.select("path", F.decode("content", "UTF-8").alias("text"), F.sha2("content", 256).alias("hash"), F.col("modificationTime").alias("mtime"))
+    return rows.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"), F.sha2("content", 256).alias("hash"), F.col("modificationTime").alias("mtime"))
 
 
 def documents(spark: SparkSession, root: str, extensions: tuple[str, ...] = (*TEXT, "docx", "pptx")) -> DataFrame:
@@ -57,8 +57,3 @@ def inbox(documents: DataFrame) -> DataFrame:
     """Notes right in the inbox folder."""
     return documents.where(F.col("path").rlike("^00-inbox/[^/]+$"))
 
-
-def to_markdown(rows: DataFrame) -> DataFrame:
-    """Text files as they are; PDF only where its library is installed, else an error in the row."""
-    text = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)) != "pdf"
-    return rows.withColumn("text", F.when(text, F.decode("content", "UTF-8"))).withColumn("error", F.when(~text, F.lit("no PDF converter is installed")))

@@ -42,7 +42,7 @@ def drain(stream: DataFrame, where: str) -> DataFrame:
 
 def fresh(state: DataFrame, now: str, days: float, at: str = "at") -> DataFrame:
     """State that is not older than its time to live; rows without a time do not age."""
-    return state.where(F.col(at).isNull() | (days_since(now, F.col(at)) <= days))
+    return state.where(F.col(at).isNull() | (days_since(now, F.col(at).cast("timestamp")) <= days))
 
 
 def every(stream: DataFrame, tick: Callable[[DataFrame, int], None], checkpoint: str, seconds: int = 3600) -> StreamingQuery:
