@@ -20,8 +20,9 @@ LINEAR, QUADRATIC = 1.0, 1.0 / 512
 
 _loaded: dict[tuple[str, bool, bool], object] = {}
 _proven: dict[str, bool] = {}
-#: Planes whose code points are compared one by one: those with scripts, marks, numerals and symbols.  The rest are ideographs and private.
-_PLANES = (0, 1, 14)
+#: Code points that are compared one by one: all planes with scripts, marks, numerals and symbols, but for the ranges that Unicode itself
+#: defines as wholes (ideographs, Hangul syllables, surrogates, private use), of which the ends are compared.
+_RANGES = ((0x0, 0x3401), (0x4DBF, 0x4E01), (0x9FFF, 0xAC01), (0xD7A3, 0xD800), (0xE000, 0xE001), (0xF8FF, 0x17001), (0x187F7, 0x1FC00), (0xE0000, 0xE0200))
 
 
 def _unicode_bytes() -> dict[str, int]:
@@ -53,8 +54,8 @@ def _stand_in(path: str):
 def proven(path: str) -> bool:
     """Whether tiktoken may stand in for the file's own library: asked once a driver.
 
-    Merges must go by id.  Then both must give the same ids for each token of the vocabulary and for each code point of the
-    planes that have letters, numbers and spaces, between letters, digits, blanks and marks, so that its class shows.
+    Merges must go by id.  Then both must give the same ids for each token of the vocabulary and for the code points of
+    ``_RANGES``, between letters, digits, blanks and marks, so that each one's class shows.
     """
     if path not in _proven:
         from tokenizers import Tokenizer
@@ -64,7 +65,7 @@ def proven(path: str) -> bool:
             _proven[path] = False
         else:
             tokens = (coder.decode_single_token_bytes(i).decode("utf-8", "ignore") for i in sorted(coder._mergeable_ranks.values()))
-            points = ("".join(f"a{c}a1{c}1 {c} .{c}." for c in map(chr, range(p << 16 | i, p << 16 | i + 64)) if not "\ud800" <= c <= "\udfff") for p in _PLANES for i in range(0, 1 << 16, 64))
+            points = ("".join(f"a{c}a1{c}1 {c} .{c}." for c in map(chr, range(i, min(i + 64, b)))) for a, b in _RANGES for i in range(a, b, 64))
             _proven[path] = all(own.encode(t, add_special_tokens=False).ids == coder.encode_ordinary(t) for t in (*tokens, *points))
             del own, coder
             release()
