@@ -171,7 +171,7 @@ def score(docs: DataFrame, parts: int = 7, held: int = 2, id_col: str = "doc_id"
     rare by comparison, are joined.
 
     Null texts count as empty: their one token is the end.  Repeated rows count and are scored each.  A null id counts
-    as empty text for what is held out.
+    as empty text for what is held out.  An empty table has no rows; further columns play no part.
     """
     spark = docs.sparkSession
     small_batches(spark)

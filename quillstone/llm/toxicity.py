@@ -72,23 +72,7 @@ class Net:
         for _ in range(EPOCHS):
             for b in np.array_split(rng.permutation(rows), -(-len(rows) // BATCH)):
                 step += 1
-                ids, at = np.concatenate([docs[i] for i in b]), np.concatenate(([0], np.cumsum([len(docs[i]) for i in b])))
-                emb = self.embed(ids)
-                pooled, where = self.pool(emb, at)
-                p = 1 / (1 + np.exp(-(pooled @ self.par["out"] + self.par["bias"][0])))
-                g = ((p - y[b]) * weight[b] / len(b)).astype(np.float32)
-                grad = {k: np.zeros_like(v) for k, v in self.par.items()}
-                grad["out"], grad["bias"] = pooled.T @ g, np.array([g.sum()], np.float32)
-                back = np.outer(g, self.par["out"]) * (where >= 0)
-                for i, w in enumerate(WIDTHS):
-                    d, f = np.nonzero(where[:, i * FILTERS : (i + 1) * FILTERS] >= 0)
-                    place, delta = where[d, i * FILTERS + f], back[d, i * FILTERS + f]
-                    grad[f"b{w}"] = np.bincount(f, delta, FILTERS).astype(np.float32)
-                    for j in range(w):
-                        into = delta[:, None] * self.par[f"f{w}"][j][:, f].T
-                        for part in ids[place + j].T:
-                            np.add.at(grad["emb"], part, into)
-                        np.add.at(grad[f"f{w}"][j].T, f, delta[:, None] * emb[place + j])
+                grad = self.gradients([docs[i] for i in b], y[b], weight[b] / len(b))
                 for k, v in self.par.items():
                     m1, m2 = mom[k]
                     m1 += 0.1 * (grad[k] - m1)
@@ -97,6 +81,27 @@ class Net:
         self.calibrate([docs[i] for i in np.flatnonzero(apart)], y[apart])
         return self
 
+    def gradients(self, docs: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the texts' log losses, summed with ``weight``, for each parameter."""
+        ids, at = np.concatenate(docs), np.concatenate(([0], np.cumsum([len(x) for x in docs])))
+        emb = self.embed(ids)
+        pooled, where = self.pool(emb, at)
+        p = 1 / (1 + np.exp(-(pooled @ self.par["out"] + self.par["bias"][0])))
+        g = ((p - y) * weight).astype(np.float32)
+        grad = {k: np.zeros_like(v) for k, v in self.par.items()}
+        grad["out"], grad["bias"] = pooled.T @ g, np.array([g.sum()], np.float32)
+        back = np.outer(g, self.par["out"]) * (where >= 0)
+        for i, w in enumerate(WIDTHS):
+            d, f = np.nonzero(where[:, i * FILTERS : (i + 1) * FILTERS] >= 0)
+            place, delta = where[d, i * FILTERS + f], back[d, i * FILTERS + f]
+            grad[f"b{w}"] = np.bincount(f, delta, FILTERS).astype(np.float32)
+            for j in range(w):
+                into = delta[:, None] * self.par[f"f{w}"][j][:, f].T
+                for part in ids[place + j].T:
+                    np.add.at(grad["emb"], part, into)
+                np.add.at(grad[f"f{w}"][j].T, f, delta[:, None] * emb[place + j])
+        return grad
+
     def logits(self, docs: list[np.ndarray]) -> np.ndarray:
         if not docs:
             return np.zeros(0)
@@ -165,7 +170,7 @@ def score(docs: DataFrame, net: Net, cuts: dict[str, float] | None = None, cut:
 
     The score comes from the whole text alone; the language picks only the threshold behind ``flagged``.
     Null texts count as empty, whose score is that of no word found.  Repeated rows are scored each; an unknown or
-    null language takes ``cut``.
+    null language takes ``cut``.  An empty table has no rows; further columns play no part.
     """
     small_batches(docs.sparkSession)
     cuts = cuts or {}

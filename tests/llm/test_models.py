@@ -5,8 +5,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
-from quillstone.llm import ann, lm, quality, toxicity
+from quillstone.llm import ann, flat, lm, quality, toxicity
 
 GOOD = ["the", "river", "stone", "walks", "under", "quiet", "hills", "before", "morning", "light", "and", "over"]
 EDGE = [None, "", " \n\t", "!", "word " * 20_000, "\x00", "é" * 500]
@@ -75,6 +76,89 @@ def test_trees_match_plain_traversal():
     assert np.allclose(trees.predict(x[:50]), plain)
 
 
+def plain_statistics(text):
+    raw = (text or "").encode()
+    words = [w for w in bytes(x + 32 if 65 <= x <= 90 else x for x in raw).translate(bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")).split(b" ") if w]
+    n, m = max(1, len(raw)), max(1, len(words))
+    share = lambda chars: sum(x in chars for x in raw) / n
+    symbols = b"#$%&*+/<=>@[\\]^_`{|}~"
+    lines = raw.split(b"\n")
+    back = lambda k: sum(words[i] == words[i - k] for i in range(k, len(words))) / m
+    pairs = list(zip(words, words[1:], strict=False))
+    mean = sum(map(len, words)) / m
+    return [
+        math.log1p(len(raw)), math.log1p(len(words)), mean, math.sqrt(max(0, sum(len(w) ** 2 for w in words) / m - mean**2)), share(bytes(range(65, 91))), share(b"0123456789"), share(b".,;:!?'\"-()"), share(bytes(range(128, 256))),
+        share(symbols), share(b" \t\n\x0b\x0c\r"), math.log1p(len(lines)), math.log1p(len(raw) / len(lines)), sum(len(x) < 30 for x in lines) / len(lines), 1 - len(set(lines)) / len(lines),
+        len(set(words)) / m, max(Counter(words).values(), default=0) / m, back(1), back(2), share(b"|"), share(b"."), sum(len(w) > 15 for w in words) / m, sum(len(w) == 1 for w in words) / m, share(b","),
+        sum(any(x in symbols for x in w) for w in words) / m, back(7), (len(pairs) - len(set(pairs))) / len(pairs) if pairs else 0,
+    ]
+
+
+TEXTS = [
+    *EDGE, "The river, the stone. THE river, the stone!", "a\nb\na\n\nlonger line of more than thirty bytes\na", "| x | y |\n| 1 | 22 |", "x1 #tag $5 ünï incomprehensibilities {a}", "go go go go\tgo go go go go stop",
+    "1 2 3 4 5 6 7 1 2 3 4 5 6 7", "\n\n", "vile word, vileness",
+]
+
+
+def test_statistics_match_plain_ones():
+    got = quality.statistics(*flat.texts(pa.array(TEXTS)))
+    for text, row in zip(TEXTS, got, strict=True):
+        assert np.allclose(row, plain_statistics(text), atol=1e-4), (text or "")[:40]
+
+
+def test_first_split_is_the_best_of_all():
+    rng = np.random.default_rng(18)
+    x = np.round(rng.normal(size=(200, 4)), 1).astype(np.float32)
+    y = ((x[:, 2] > 0.3) ^ (rng.random(200) < 0.1)).astype(float)
+    trees = quality.Trees(rounds=1, depth=1).fit(x, y)
+    p = y.mean()
+    best = (0.0, None, None)
+    for j in range(4):
+        for cut in np.unique(np.quantile(x[:, j], np.linspace(0, 1, quality.BINS + 1)[1:-1], method="lower")):
+            left = x[:, j] <= cut
+            if min(left.sum(), (~left).sum()) >= quality.LEAST:
+                part = lambda rows: ((p - y[rows]).sum()) ** 2 / (p * (1 - p) * rows.sum() + quality.RIDGE)
+                best = max(best, (part(left) + part(~left) - part(np.ones(200, bool)), j, float(cut)))
+    assert (trees.feature[0, 0], float(trees.cut[0, 0])) == best[1:]
+    left = x[:, best[1]] <= best[2]
+    for node, rows in ((1, left), (2, ~left)):
+        assert abs(trees.value[0, node] + trees.step * (p - y[rows]).sum() / (p * (1 - p) * rows.sum() + quality.RIDGE)) < 1e-9
+
+
+def test_convolutions_match_plain_loops():
+    net = toxicity.Net(seed=3)
+    ids, at = toxicity.word_ids(*flat.texts(pa.array(TEXTS)))
+    got = net.score(ids, at)
+    for n, text in enumerate(TEXTS):
+        clean = bytes(32 if x in b".,;:!?'\"()[]*#%&$|" else x for x in (text or "").encode()).translate(bytes.maketrans(b"\t\n\x0b\x0c\r", b"     "))
+        words = [w for w in clean.split(b" ") if w]
+        if len(words) > 1000:
+            words = words[:50]  # one word over and over: what lies further on is the same
+        vectors = [sum(net.par["emb"][i].astype(np.float64) for i in toxicity.word_ids(*flat.texts(pa.array([w], pa.binary())))[0][0]) for w in words]
+        z = float(net.par["bias"][0])
+        for k, width in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                seen = [sum(vectors[i + j] @ net.par[f"f{width}"][j][:, f] for j in range(width)) + net.par[f"b{width}"][f] for i in range(len(vectors) - width + 1)]
+                z += max([0.0, *seen]) * net.par["out"][k * toxicity.FILTERS + f]
+        assert abs(got[n] - 1 / (1 + math.exp(-z))) < 1e-4, (text or "")[:40]
+
+
+def test_gradients_match_differences():
+    net, rng = toxicity.Net(seed=4), np.random.default_rng(19)
+    net.par = {k: v.astype(np.float64) for k, v in net.par.items()}
+    docs = [rng.integers(0, toxicity.BUCKETS, (n, 1 + len(toxicity.PREFIXES))) for n in (1, 4, 9, 0, 30)]
+    y, weight = np.array([1, 0, 1, 0, 1]), np.array([1.0, 0.5, 2.0, 1.0, 1.0])
+    loss = lambda: float((weight * (np.logaddexp(0, z := net.logits(docs)) - y * z)).sum())
+    grad = net.gradients(docs, y, weight)
+    for name, at in [("out", (3,)), ("bias", (0,)), *((f"b{w}", (1,)) for w in toxicity.WIDTHS), *((f"f{w}", (w - 1, 2, f)) for w in toxicity.WIDTHS for f in range(3)), *(("emb", (int(docs[4][i, 0]), 1)) for i in range(6))]:
+        was, sides = net.par[name][at], []
+        for step in (1e-3, -1e-3):
+            net.par[name][at] = was + step
+            sides.append(loss())
+        net.par[name][at] = was
+        assert abs((sides[0] - sides[1]) / 2e-3 - grad[name][at]) < 2e-3 * max(1, abs(grad[name][at])), (name, at)
+
+
 def tokens(text):
     out = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     for c in "\t\n\x0b\x0c\r":
@@ -96,6 +180,38 @@ def test_lm_counts_and_score(spark, monkeypatch):
     assert sum(r.score for r in usual) > sum(r.base_score for r in usual) * 1.02
 
 
+def test_lm_scores_match_plain_sums(spark, monkeypatch):
+    """Every text's score from the trained net, context by context, with classes for the words beyond the common ones."""
+    nets, log_z = [], lm.Net.log_z
+    monkeypatch.setattr(lm.Net, "log_z", lambda self: nets.append(self) or log_z(self))
+    rng = np.random.default_rng(9)
+    words = [f"w{i}{'abcdefgh'[i % 8]}" for i in range(1600)]
+    docs = [(i, " ".join(rng.choice(words, 40))) for i in range(150)] + [(200, None), (201, "One"), (202, "never seen words here"), (None, "w1b w2c")]
+    rows = {r.doc_id: r for r in lm.score(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    c = Counter(w for i, t in docs if not held(i) for w in tokens(t))
+    one = {w: lm.Tokens(pa.array(["" if w == "</end>" else w])) for _, t in docs for w in tokens(t)}
+    named = sorted(c, key=lambda w: (-c[w], int(one[w].hash[:1].view(np.int64)[0])))[: lm.WORDS]
+    assert len(c) > lm.WORDS
+    output = {w: k for k, w in enumerate(named)}
+    size, types = Counter(), Counter()
+    for w in set(c) - set(named):
+        size[int(one[w].cls[0])] += c[w]
+        types[int(one[w].cls[0])] += 1
+    (net,) = nets
+    R, C, Q, b = (p.astype(np.float64) for p in net.par)
+    for i, t in docs[::4] + docs[-4:]:
+        total, u, v = 0.0, lm.OUT, lm.OUT
+        for w in tokens(t):
+            k = output.get(w, lm.WORDS + int(one[w].cls[0]))
+            raw = np.array([(R[u] * C[0] + R[v] * C[1]) @ Q[x] + b[x] for x in range(lm.OUT)])
+            total += (raw[k] - raw.max() - math.log(np.exp(raw - raw.max()).sum())) / math.log(10)
+            if w not in output:
+                total += math.log10((c[w] + 1) / (size[k - lm.WORDS] + types[k - lm.WORDS] + 1))
+            u, v = k, u
+        assert abs(rows[i].score - total) < 1e-3 * max(1, abs(total)), i
+
+
 def test_lm_is_normalised():
     net = lm.Net(np.full(lm.OUT, 1 / lm.OUT))
     z = net.log_z()
