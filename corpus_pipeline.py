@@ -98,4 +98,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
         common.drop(spark, since, but=1)
+        common.let_go(spark)
     return docs

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -50,6 +51,12 @@ def drop(spark: SparkSession, since: int, but: int = 0) -> None:
         made.remove(path)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have the shuffle files of finished jobs deleted now: Spark does so when the driver collects what refers to them, which may be long after."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def release() -> None:
     """Give memory that Arrow and the C library hold for later back to the system: workers idle long, beside others."""
     pa.default_memory_pool().release_unused()

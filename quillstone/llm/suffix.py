@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, passes, small_batches, written
+from .common import lean, let_go, passes, small_batches, written
 from .flat import gram_hashes, mix, powers, texts
 
 #: Period of the difference cover: a bucket is sorted by this many bytes, longer ties by the sample's ranks.
@@ -506,11 +506,12 @@ def repeated_bytes(docs: DataFrame, length: int = 100, gram: int = GRAM, hot: in
         F.collect_set(F.when(F.col("n") <= hot, F.col("gram"))).alias("grams"), F.collect_set(F.when(F.col("n") > hot, F.col("gram"))).alias("hot")
     )
     mine = written(mine, "grams")
+    let_go(docs.sparkSession)
     places = rows.join(mine, "row").select("doc_id", "text", "grams", "hot", "row").mapInArrow(_places(length, gram), "key long, d1 long, d2 long, doc_id long, row long, lo long, hi long, at long, bytes binary")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = places.repartition(parts, "key").sortWithinPartitions("key", "d1", "d2", "doc_id", "lo", "row")
     # Rows that are equal in id and text have equal spans, so the first to come of each may stand for all.
-    spans = met.mapInArrow(_match(length, gram), "doc_id long, row long, lo long, hi long").groupBy("row", F.col("doc_id").alias("of")).agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    spans = met.mapInArrow(_match(length, gram), "doc_id long, row long, lo long, hi long").repartition("row").groupBy("row", F.col("doc_id").alias("of")).agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if keep_text else "")
     schema += "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carry)
     # The ids' comparison is not an equality, which would be a key of the join: by row alone, texts are dealt as for step 2, and not once more.
