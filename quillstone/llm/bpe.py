@@ -142,7 +142,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
     """Per row of ``docs``: doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids as binary if ``keep_ids``).
 
     A narrow map: no shuffle, one text at a time in memory.  Null and empty texts have no tokens; repeated rows
-    are encoded each; ``path`` must be readable on the executors, as an installed package's file is.
+    are encoded each; an empty table has no rows, further columns play no part; ``path`` must be readable on the executors, as an installed package's file is.
     """
     small_batches(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary" if keep_ids else "")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -53,8 +54,10 @@ def drop(spark: SparkSession, since: int, but: int = 0) -> None:
 
 def let_go(spark: SparkSession) -> None:
     """Have the shuffle files of finished jobs deleted now: Spark does so when the driver collects what refers to them, which may be long after."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # what the first round frees lets go of the rest
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def release() -> None:
