@@ -18,10 +18,13 @@ from .flat import gram_hashes, mix, powers, texts
 PERIOD = 32
 #: Suffixes that are sorted at a time, and text bytes of which one suffix array is made.
 BUCKET, BLOCK = 1 << 17, 1 << 20
-#: Text bytes that anchors are sought in at a time, whose arrays then fit a processor's cache, and bytes of a longer text's pieces.
-PASS, PIECE = 1 << 18, 1 << 22
+#: Text bytes that anchors are sought in at a time, whose arrays then fit a processor's cache, and bytes of a longer text's pieces,
+#: for each of which a worker holds some hundred bytes of arrays.
+PASS, PIECE = 1 << 18, 1 << 20
 #: Bytes of the grams that tie places of texts together, and rows from which a gram's places are dealt by window.
 GRAM, HOT = 32, 5000
+#: Bytes of contexts and their columns that a task holds to look for equal ones among them.
+HELD = 12 << 20
 #: Low bits of a gram's hash that give way to its place, which is always in one piece or pass.
 _PLACE = np.uint64((1 << 28) - 1)
 
@@ -230,6 +233,21 @@ def _runs(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(first - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
 
 
+def _slices(size: np.ndarray, most: int) -> Iterator[slice]:
+    """Cuts of rows so that each has ``most`` bytes in all, one row at least."""
+    total = np.cumsum(size)
+    a = 0
+    while a < len(size):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + most, "right")))
+        yield slice(a, b)
+        a = b
+
+
+def _gather(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """size[0] bytes of ``data`` from first[0] on, then size[1] from first[1], and so on; the index, eight times as large, is made in parts."""
+    return np.concatenate([data[:0], *(data[_runs(first[s], size[s])] for s in _slices(size, BLOCK))])
+
+
 def _digests(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit hashes of data[first:end]."""
     up, down = powers(len(data) + 1)
@@ -259,15 +277,11 @@ def _same(data: np.ndarray, at: np.ndarray, size: np.ndarray, i: np.ndarray, j:
     """Whether contexts ``i`` and ``j``, of ``size`` bytes from ``at`` on, have the same bytes, pair by pair."""
     out = size[i] == size[j]
     todo = np.flatnonzero(out)
-    done = np.cumsum(size[i[todo]])
-    a = 0
-    while a < len(todo):
-        b = max(a + 1, int(np.searchsorted(done, (done[a - 1] if a else 0) + BLOCK, "right")))
-        part = todo[a:b]
+    for s in _slices(size[i[todo]], BLOCK):
+        part = todo[s]
         n = size[i[part]]
         equal = data[_runs(at[i[part]], n)] == data[_runs(at[j[part]], n)]
         out[part] = np.logical_and.reduceat(equal, np.concatenate(([0], np.cumsum(n)[:-1])))
-        a = b
     return out
 
 
@@ -343,11 +357,13 @@ def _places(length: int, gram: int):
                 size = last - first + length
                 mid = np.concatenate((at[pick] - lo[pick], np.full(len(single), -1)))
                 place = base - starts[who]
-                held.append((key, d1, d2, ids[who + d], own_row[who + d], first + place, last + place, mid, size, data[_runs(first, size)]))
-                weight += int(size.sum()) + 88 * len(who)
-                if weight > 12 << 20:
-                    yield from emit(held)
-                    held, weight = [], 0
+                cols = (key, d1, d2, ids[who + d], own_row[who + d], first + place, last + place, mid, size)
+                for s in _slices(size + 88, HELD):  # windows that go one by one may be a hundred times the text
+                    held.append((*(x[s] for x in cols), _gather(data, first[s], size[s])))
+                    weight += int(size[s].sum()) + 88 * len(size[s])
+                    if weight >= HELD:
+                        yield from emit(held)
+                        held, weight = [], 0
         if held:
             yield from emit(held)
 
@@ -391,7 +407,7 @@ def _match(length: int, gram: int):
         key, doc, row, lo, mid, begin, size = (x[some] for x in (key, doc, row, lo, mid, begin, size))
         if not len(key):
             return
-        data = data[_runs(begin, size)]
+        data = _gather(data, begin, size)
         offsets = np.concatenate(([0], np.cumsum(size)))
         # A shared window holds the gram and as many more bytes to its right, or to its left, as half of what is left: contexts
         # that agree with no other of their gram in either are dropped.
@@ -406,7 +422,7 @@ def _match(length: int, gram: int):
         again[np.flatnonzero(near)] = many(_new(key[near]))
         if not again.any():
             return
-        data, key, doc, row, lo, size = data[_runs(offsets[:-1][again], size[again])], key[again], doc[again], row[again], lo[again], size[again]
+        data, key, doc, row, lo, size = _gather(data, offsets[:-1][again], size[again]), key[again], doc[again], row[again], lo[again], size[again]
         offsets = np.concatenate(([0], np.cumsum(size)))
         edges = np.append(np.flatnonzero(_new(key)), len(key))
         a = 0
