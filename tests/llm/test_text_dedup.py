@@ -287,3 +287,20 @@ def test_short_documents_are_linked_across_blocks(spark):
     sets = spark.range(5000).selectExpr("id doc_id", "transform(sequence(0, 8), x -> 10 * (id % 2500) + x) set")
     got = sorted((min(r.a, r.b), max(r.a, r.b)) for r in minhash.blockwise(entries, sets, 80, 100).collect())
     assert got == [(i, i + 2500) for i in range(2500)]
+
+
+def test_gather_in_parts(monkeypatch):
+    """Bytes gathered in parts are those gathered at once, whatever the parts; no part is over its bound but for a single row."""
+    rng = np.random.default_rng(5)
+    data = rng.integers(0, 256, 5000).astype(np.uint8)
+    size = np.concatenate((rng.integers(0, 40, 300), [900, 0, 0]))
+    first = rng.integers(0, 4000, len(size))
+    plain = b"".join(data[a : a + n].tobytes() for a, n in zip(first, size, strict=True))
+    for most in (1, 37, 500, 1 << 20):
+        monkeypatch.setattr(suffix, "BLOCK", most)
+        assert suffix._gather(data, first, size).tobytes() == plain
+        cuts = list(suffix._slices(size, most))
+        assert [i for s in cuts for i in range(s.start, s.stop)] == list(range(len(size)))
+        assert all(size[s].sum() <= most or s.stop - s.start == 1 for s in cuts)
+    none = np.zeros(0, np.int64)
+    assert suffix._gather(data, none, none).tobytes() == b"" and not list(suffix._slices(none, 5))
