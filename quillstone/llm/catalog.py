@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, chat, exact, lm, minhash, packing, quality, suffix, toxicity
+from . import ann, bpe, chat, collocations, exact, lm, minhash, packing, patterns, quality, suffix, toxicity, vq
 from .common import table
 
 
@@ -51,5 +51,17 @@ def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.preference_pairs(table(spark, sf_dir, "conversations"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_minhash, op3_toxicity, op4_multi_index, op5_bilinear_lm, op6_suffix, op7_byte_bpe, op8_packing, op9_quality, op10_preferences)}
-SQL: dict[str, str] = {"op1_exact_dedup": exact.SQL, "op10_preferences": chat.SQL}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vq.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return patterns.pack_patterns(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_minhash, op3_toxicity, op4_multi_index, op5_bilinear_lm, op6_suffix, op7_byte_bpe, op8_packing, op9_quality, op10_preferences, op11_vector_codes, op12_pattern_packing, op13_collocations)}
+SQL: dict[str, str] = {"op1_exact_dedup": exact.SQL, "op10_preferences": chat.SQL, "op11_vector_codes": vq.SQL, "op13_collocations": collocations.SQL}
