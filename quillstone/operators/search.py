@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import snippet
-from . import lexical, similarity
+from . import lexical, postings, similarity
 
 RRF_K = 60
 MODES = ("hybrid", "vector", "lexical")
@@ -83,6 +83,17 @@ def search(chunks: DataFrame, queries: DataFrame, k: int = HITS, mode: str = "hy
     return kept.join(more, "query_id").select("query_id", "rank", F.round("score", 6).alias("score"), "snippet", *(["text"] if full else []), "used", "has_more", "citation")
 
 
+def stored(words: postings.Lexical, cells: postings.Cells, text: str, k: int = HITS, mode: str = "hybrid", archived: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, score, rank) of one question over stored postings and cells: what does not hold its terms or buckets is not read.
+
+    The result of ``search`` over all that was indexed; statistics are those of the index.
+    """
+    mode = mode if mode in MODES else "hybrid"
+    sides = ([cells] if mode != "lexical" else []) + ([words] if mode != "vector" else [])
+    best = [side.ask(text, pool(k)).withColumn("query_id", F.lit(0).cast("long")) for side in sides]
+    return fuse(best, archived).where(F.col("rank") <= k)
+
+
 def access_log(hits: DataFrame, at: Column) -> DataFrame:
     """(document_id, at, call) of the documents that a search brought up, each once a query."""
     return hits.select(F.col("citation.document_id").alias("document_id"), at.alias("at"), F.col("query_id").cast("string").alias("call")).distinct()

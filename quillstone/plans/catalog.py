@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.time import digest_title, moment, week_key
 from ..session import shared_dir
-from ..operators import chunking, files, knowledge, lexical, lifecycle, mail, relations, search, similarity, state
+from ..operators import chunking, files, knowledge, lexical, lifecycle, mail, nearjoin, relations, search, similarity, state
 from ..streaming import jobs
 
 NOW = "2024-02-01 00:00:00"
@@ -272,7 +272,7 @@ def near_dups(spark: SparkSession, sf: str) -> DataFrame:
     docs = _t(spark, sf, "documents")
     first = docs.groupBy(tx.body_hash(F.col("text")).alias("h")).agg(F.min("doc_id").alias("doc_id"))
     cells = similarity.hash_embedding(docs.join(first, "doc_id", "left_semi"))
-    return similarity.near_pairs(similarity.dense(cells), 0.99).select("a", "b", _r("similarity").alias("similarity"))
+    return nearjoin.near_pairs(similarity.dense(cells), 0.99).select("a", "b", _r("similarity").alias("similarity"))
 
 
 @query("WITH k AS (SELECT regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS key, p_partkey::VARCHAR AS name FROM part) SELECT key, count(*) AS n, string_agg(name, '; ' ORDER BY name) AS names FROM k WHERE length(key) >= 6 GROUP BY key HAVING count(*) > 1")

@@ -13,7 +13,7 @@ from . import schema
 from .functions import frontmatter
 from .functions import text as tx
 from .functions.time import moment, parse_iso
-from .operators import chunking, lifecycle, mail, relations, search, similarity, state
+from .operators import chunking, lifecycle, mail, nearjoin, relations, search, similarity, state
 from .sources import files
 from .sources.tables import Tables
 
@@ -154,7 +154,7 @@ class Vault:
         """(a, b, similarity) of documents whose mean chunk embeddings are that near."""
         of = self.table("chunks").select(F.col("chunk_id").alias("id"), "document_id")
         mean = self.table("cells").join(of, "id").groupBy(F.col("document_id").alias("id"), "bucket").agg(F.sum("w").alias("w"))
-        return similarity.near_pairs(similarity.dense(mean).select(F.col("id").alias("name"), "v"), threshold, id_col="name", id_type="string")
+        return nearjoin.near_pairs(similarity.dense(mean).select("id", "v"), threshold)
 
     def relations_map(self) -> DataFrame:
         return relations.relations_map(self.table("links"), self.documents(scores=False))
