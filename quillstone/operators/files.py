@@ -106,31 +106,33 @@ def rename_plan(catalog: DataFrame) -> DataFrame:
 def scan(state: DataFrame, snapshot: DataFrame, rehash: bool = False) -> DataFrame:
     """(path, action) of every file seen or known.
 
-    ``state`` has path, content_hash, size_bytes, mtime, missing; ``snapshot`` path, content_hash, size_bytes, mtime.  By path:
-    skipped (size and time unchanged), refreshed (same content), updated, duplicate (content of a file that is still
-    there, or of an earlier one that is new or changed), moved (content of a file that is gone), new; missing for what is known, not
-    seen and not missing already.
+    ``state`` has path, content_hash, size_bytes, mtime, missing; ``snapshot`` path, content_hash, size_bytes, mtime.  A known file
+    whose size and time are as they were is skipped, its content taken as known; one of the same content is refreshed.  Content that such a file
+    has is a duplicate anywhere else.  Other content belongs to one path, the others with it are duplicates: to the first known file that
+    changed to it, which is updated, whatever else had it before; else to the first new path, which is moved if a file with that content is gone
+    and new if none is.  What is known, not seen, not moved and not missing already is missing.
     """
     known = state.select("path", F.col("content_hash").alias("old_hash"), F.col("size_bytes").alias("old_size"), F.col("mtime").alias("old_mtime"), "missing")
-    seen = snapshot.join(known, "path", "left")
-    live = snapshot.select("path").withColumn("there", F.lit(True))
-    holders = known.join(live, "path", "left").groupBy(F.col("old_hash").alias("content_hash")).agg(F.max(F.coalesce("there", F.lit(False))).alias("held"), F.lit(True).alias("had"))
-    same = (F.col("old_size") == F.col("size_bytes")) & (F.abs(F.col("old_mtime") - F.col("mtime")) < 1e-6) & ~F.col("missing")
-    fresh = F.col("old_hash").isNull() | (F.col("old_hash") != F.col("content_hash")) & ~(same & F.lit(not rehash))
-    rows = seen.withColumn("fresh", F.coalesce(fresh, F.lit(True)))
-    earliest = rows.where("fresh").groupBy("content_hash").agg(F.min("path").alias("first_path"))
-    rows = rows.join(holders, "content_hash", "left").join(earliest, "content_hash", "left").withColumn("first", F.col("path") == F.col("first_path"))
+    same = (F.col("old_size") == F.col("size_bytes")) & (F.abs(F.col("old_mtime") - F.col("mtime")) < 1e-6) & ~F.col("missing") & F.lit(not rehash)
+    rows = snapshot.join(known, "path", "left").withColumn("skipped", F.col("old_hash").isNotNull() & F.coalesce(same, F.lit(False)))
+    rows = rows.select("path", "old_hash", "skipped", F.when(F.col("skipped"), F.col("old_hash")).otherwise(F.col("content_hash")).alias("hash"))
+    stays, fresh = F.col("old_hash") == F.col("hash"), F.col("old_hash").isNull()
+    owners = rows.groupBy("hash").agg(F.coalesce(F.max(stays), F.lit(False)).alias("stays"), F.min(F.when(~fresh & ~stays, F.col("path"))).alias("taker"), F.min(F.when(fresh, F.col("path"))).alias("first"))
+    gone = known.join(snapshot.select("path"), "path", "left_anti")
+    owners = owners.join(gone.select(F.col("old_hash").alias("hash"), F.lit(True).alias("lost")).distinct(), "hash", "left")
+    rows = rows.join(owners, "hash")
     action = (
-        F.when(F.col("old_hash").isNotNull() & same & F.lit(not rehash), "skipped")
-        .when(F.col("old_hash") == F.col("content_hash"), "refreshed")
-        .when(F.col("old_hash").isNotNull() & (F.coalesce("held", F.lit(False)) | ~F.col("first")), "duplicate")
-        .when(F.col("old_hash").isNotNull(), "updated")
-        .when(F.coalesce("held", F.lit(False)) | ~F.col("first"), "duplicate")
-        .when(F.coalesce("had", F.lit(False)), "moved")
+        F.when(F.col("skipped"), "skipped")
+        .when(F.col("old_hash") == F.col("hash"), "refreshed")
+        .when(F.col("stays"), "duplicate")
+        .when(F.col("path") == F.col("taker"), "updated")
+        .when(F.col("taker").isNotNull() | (F.col("path") != F.col("first")), "duplicate")
+        .when(F.coalesce("lost", F.lit(False)), "moved")
         .otherwise("new")
     )
-    gone = known.where("NOT missing").join(snapshot.select("path"), "path", "left_anti").join(snapshot.select(F.col("content_hash").alias("old_hash")).distinct(), "old_hash", "left_anti")
-    return rows.select("path", action.alias("action")).unionByName(gone.select("path", F.lit("missing").alias("action")))
+    moved = owners.where("lost AND NOT stays AND taker IS NULL").select(F.col("hash").alias("old_hash"))
+    missing = gone.where("NOT missing").join(moved, "old_hash", "left_anti")
+    return rows.select("path", action.alias("action")).unionByName(missing.select("path", F.lit("missing").alias("action")))
 
 
 def find_documents(catalog: DataFrame, query: str, course: str | None = None, limit: int = 20) -> DataFrame:

@@ -20,9 +20,10 @@ def scanned(catalog: DataFrame, snapshot: DataFrame, now: str, rehash: bool = Fa
     ``catalog`` has the columns of ``schema.CATALOG``; ``snapshot`` path, content_hash, size_bytes, mtime, pages, meta_title, first_line.  New files get
     the next ids by path; changed ones are described anew under their id, moved ones keep id and description, missing ones are marked.
     ``duplicates`` (document_id, path, size_bytes, found_at) are the copies this scan found; a file that became a copy leaves the catalog.
+    Of several missing files of one content the first by id moves, the others stay missing.
     """
     known = catalog.select(F.col("current_path").alias("path"), "content_hash", "size_bytes", "mtime", "missing")
-    actions = files.scan(known, snapshot.select("path", "content_hash", "size_bytes", "mtime"), rehash)
+    actions = kept(files.scan(known, snapshot.select("path", "content_hash", "size_bytes", "mtime"), rehash), "actions")
     seen = files.describe(snapshot).join(actions, "path").withColumn("original_filename", F.element_at(F.split("path", "/"), -1)).withColumn("extension", F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)))
     last = catalog.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
     fresh = seen.where("action = 'new'")
@@ -34,9 +35,10 @@ def scanned(catalog: DataFrame, snapshot: DataFrame, now: str, rehash: bool = Fa
     )
     columns = made.columns
     own = seen.where("action IN ('updated', 'refreshed', 'duplicate')").select(F.col("path").alias("current_path"), "action", *(F.col(c).alias(f"_{c}") for c in ("content_hash", "descriptive_name", "doc_type", "title", "size_bytes", "pages", "mtime")))
-    to = seen.where("action = 'moved'").groupBy("content_hash").agg(F.min_by(F.struct("path", "mtime"), "path").alias("_to"))
+    away = catalog.join(snapshot.select(F.col("path").alias("current_path")), "current_path", "left_anti").groupBy("content_hash").agg(F.min_by("current_path", "id").alias("current_path"))
+    to = seen.where("action = 'moved'").select("content_hash", F.struct("path", "mtime").alias("_to")).join(away, "content_hash").select("current_path", "_to")
     gone = actions.where("action = 'missing'").select(F.col("path").alias("current_path"), F.lit(True).alias("_gone"))
-    old = catalog.join(own, "current_path", "left").join(to, "content_hash", "left").join(gone, "current_path", "left")
+    old = catalog.join(own, "current_path", "left").join(to, "current_path", "left").join(gone, "current_path", "left")
     old = old.where(F.coalesce(F.col("action") != "duplicate", F.lit(True)))
     again = (F.col("action") == "updated") | ((F.col("action") == "refreshed") & F.lit(rehash))
     back = F.col("action").isNotNull() | F.col("_to").isNotNull()
@@ -46,7 +48,7 @@ def scanned(catalog: DataFrame, snapshot: DataFrame, now: str, rehash: bool = Fa
     changed["current_path"] = F.coalesce(F.col("_to.path"), F.col("current_path")).alias("current_path")
     changed["missing"] = F.when(back, False).when(F.coalesce("_gone", F.lit(False)), True).otherwise(F.col("missing")).alias("missing")
     after = old.select(*(changed.get(c, F.col(c)) for c in columns)).unionByName(made)
-    holder = after.groupBy("content_hash").agg(F.min("id").alias("document_id"))
+    holder = after.where("NOT missing").groupBy("content_hash").agg(F.min("id").alias("document_id"))
     copies = seen.where("action = 'duplicate'").join(holder, "content_hash").select("document_id", "path", "size_bytes", moment(now).alias("found_at"))
     return after, copies, actions
 

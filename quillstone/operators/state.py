@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import body_hash, or_empty, strip
 
 
+def newest(rows: DataFrame, key: str, *order: Column) -> DataFrame:
+    """One row a key: the last by ``order``, ties by a hash of the whole row, so that repeats of a delivery count once.  Rows without a key all stay.
+
+    A struct of the row is reduced map-side, so a key of many rows is no hot group.
+    """
+    whole = F.struct(*[F.col(c) for c in rows.columns])
+    last = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max_by(whole, F.struct(*(c.alias(f"_{i}") for i, c in enumerate(order)), F.xxhash64(F.to_json(whole)).alias("_h"))).alias("_row"))
+    return last.select("_row.*").unionByName(rows.where(F.col(key).isNull()))
+
+
 def merge(state: DataFrame, incoming: DataFrame, key: str, compare: list[str]) -> DataFrame:
-    """(key, action) of an upsert: created, updated or unchanged; and kept for rows that no new one meets."""
+    """(key, action) of an upsert: created, updated or unchanged; and kept for rows that no new one meets.  Both have one row a key (see ``newest``)."""
     new = incoming.select(F.col(key), F.struct(*[F.col(c) for c in compare]).alias("_new"))
     old = state.select(F.col(key), F.struct(*[F.col(c) for c in compare]).alias("_old"))
     both = old.join(new, key, "full")
@@ -59,7 +69,8 @@ def capture_plan(new: DataFrame, docs: DataFrame, similar: DataFrame, on_similar
     """(id, decision, target) for texts (id, body) to be captured.
 
     Texts that some document (id, body) has are refused; ones with a similar document (new_id, id, score) are created with
-    a warning, skipped or appended to it, as ``on_similar`` says; others are created.
+    a warning, skipped or appended to it, as ``on_similar`` says; others are created.  Of equal texts that would be created the one with the
+    smallest id is, and the others are refused as its duplicates, as if they had come one after the other.
     """
     if on_similar not in ("warn", "skip", "append"):
         raise ValueError("on_similar is warn, skip or append")
@@ -69,7 +80,13 @@ def capture_plan(new: DataFrame, docs: DataFrame, similar: DataFrame, on_similar
     rows = rows.join(best, "id", "left") if not force_new else rows.withColumn("near", F.lit(None).cast("string"))
     empty = strip(or_empty(F.col("body"))) == ""
     decision = F.when(empty, "empty").when(F.col("same").isNotNull(), "duplicate").when(F.col("near").isNotNull(), {"warn": "create_similar", "skip": "skip", "append": "append"}[on_similar]).otherwise("create")
-    return rows.select("id", decision.alias("decision"), F.coalesce("same", "near").alias("target"))
+    rows = rows.withColumn("decision", decision)
+    made = F.startswith("decision", F.lit("create"))
+    first = rows.where(made).groupBy("hash").agg(F.min("id").alias("_first"))
+    rows = rows.join(first, "hash", "left")
+    again = made & (F.col("id") != F.col("_first"))
+    target = F.when(again, F.col("_first").cast("string")).otherwise(F.coalesce("same", "near"))
+    return rows.select("id", F.when(again, "duplicate").otherwise(F.col("decision")).alias("decision"), target.alias("target"))
 
 
 def append_texts(bodies: DataFrame, entries: DataFrame) -> DataFrame:

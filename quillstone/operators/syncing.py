@@ -46,13 +46,18 @@ def advance(cursors: DataFrame, runs: DataFrame, now: str) -> DataFrame:
 
 
 def upsert(notes: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The notes after an upsert by ``source_ref``, and (source_ref, action) of what came in.  Notes that only differ in when they expire are unchanged."""
-    incoming = kept(incoming.select(_COLUMNS), "incoming")
+    """The notes after an upsert by ``source_ref``, and (source_ref, action) of what came in, one row a ``source_ref``.  Notes that only differ in when they expire are unchanged."""
+    incoming = kept(state.newest(incoming.select(_COLUMNS), "source_ref"), "incoming")
     actions = state.merge(notes, incoming, "source_ref", [c for c in _COLUMNS if c not in ("source_ref", "expires")]).where("action <> 'kept'")
     moved = incoming.join(actions.where("action <> 'unchanged'").select("source_ref"), "source_ref", "left_semi")
     return state.apply_merge(notes, moved.select(_COLUMNS), "source_ref"), actions
 
 
+def repeats(items: DataFrame, key: str = "id") -> DataFrame:
+    """One row: how many of ``items`` repeat another's key."""
+    return items.where(F.col(key).isNotNull()).agg((F.count("*") - F.count_distinct(key)).alias("repeated"))
+
+
 def prepared(messages: DataFrame, now: str) -> DataFrame:
     """Raw messages (id, labelIds, snippet, internalDate, payload.headers) with what triage and digests read."""
     heads = F.col("payload.headers")
@@ -73,9 +78,12 @@ def sync_messages(notes: DataFrame, messages: DataFrame, now: str, label: str |
     """Notes after a batch of raw messages, and its summary (what, n).
 
     Kept messages are a note each, bulk mail goes into its week's digest, added to what the digest has; a digest that gains nothing
-    stays as it is.  The summary counts all messages, what was skipped, kept and digested, what became of notes, and classes.
+    stays as it is.  The summary counts all messages, what was skipped, kept, digested and repeated, what became of notes, and classes.
+
+    Deliveries may repeat: of messages of one id the newest by internal date counts, the others are ``repeated`` and looked at no further.
     """
-    rows = kept(mail.triage(prepared(with_label(messages, label), now)), "triaged")  # read by each branch below
+    once = state.newest(with_label(messages, label), "id", F.col("internalDate").try_cast("long"))
+    rows = kept(mail.triage(prepared(once, now)), "triaged")  # read by each branch below
     if not digest:
         rows = rows.withColumn("action", F.when(F.col("action") == "digest", "skip").otherwise(F.col("action")))
     life = lambda days: expires(now, F.lit(ttl_days).cast("double") if ttl_days is not None else days)
@@ -88,21 +96,22 @@ def sync_messages(notes: DataFrame, messages: DataFrame, now: str, label: str |
     old = touched.select("source_ref", "title", F.explode(mail.parse_digest(F.col("body"))).alias("i")).select("source_ref", "title", F.col("i.message_id").alias("message_id"), F.col("i.line").alias("line"))
     weekly = mail.render_digests(mail.merge_digests(old, new)).select(*_empty(F.array(F.lit("mail"), F.lit("digest")), importance=F.lit(1), expires=life(F.lit(mail.POLICY["bulk"][2]))))
     after, actions = upsert(notes, single.unionByName(weekly))
-    seen = messages.agg(F.count("*").alias("count"))
+    seen = messages.agg(F.count("*").alias("count")).join(repeats(with_label(messages, label)), F.lit(True))
     done = rows.agg(F.count_if(F.col("action") == "keep").alias("kept"), F.count_if(F.col("action") == "digest").alias("digested"))
-    totals = seen.join(done, F.lit(True)).select(F.explode(F.create_map(F.lit("count"), "count", F.lit("kept"), "kept", F.lit("digested"), "digested", F.lit("skipped"), F.col("count") - F.col("kept") - F.col("digested"))).alias("what", "n"))
+    totals = seen.join(done, F.lit(True)).select(F.explode(F.create_map(F.lit("count"), "count", F.lit("kept"), "kept", F.lit("digested"), "digested", F.lit("repeated"), "repeated", F.lit("skipped"), F.col("count") - F.col("repeated") - F.col("kept") - F.col("digested"))).alias("what", "n"))
     classes = rows.groupBy(F.concat(F.lit("class:"), F.col("klass")).alias("what")).agg(F.count("*").alias("n"))
     return after, totals.unionByName(actions.groupBy(F.col("action").alias("what")).agg(F.count("*").alias("n"))).unionByName(classes)
 
 
 def sync_events(notes: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Notes after a batch of raw calendar events, and its summary (what, n); events without id or start and cancelled ones are skipped."""
-    made = mail.event_notes(events)
+    """Notes after a batch of raw calendar events, and its summary (what, n); events without id or start and cancelled ones are skipped, repeats of an id counted and left out."""
+    once = state.newest(events, "id", *([F.col("updated")] if "updated" in events.columns else []))
+    made = mail.event_notes(once)
     tags = F.when(F.col("group").isNotNull(), F.array(F.lit("calendar"), F.lower("group"))).otherwise(F.array(F.lit("calendar")))
     incoming = made.select(*_empty(tags, start=F.col("start"), end=F.col("end")))
     after, actions = upsert(notes, incoming)
-    skipped = events.agg(F.count("*").alias("count")).join(made.agg(F.count("*").alias("made")), F.lit(True))
-    totals = skipped.select(F.explode(F.create_map(F.lit("count"), "count", F.lit("skipped"), F.col("count") - F.col("made"))).alias("what", "n"))
+    skipped = events.agg(F.count("*").alias("count")).join(made.agg(F.count("*").alias("made")), F.lit(True)).join(repeats(events), F.lit(True))
+    totals = skipped.select(F.explode(F.create_map(F.lit("count"), "count", F.lit("repeated"), "repeated", F.lit("skipped"), F.col("count") - F.col("repeated") - F.col("made"))).alias("what", "n"))
     return after, totals.unionByName(actions.groupBy(F.col("action").alias("what")).agg(F.count("*").alias("n")))
 
 

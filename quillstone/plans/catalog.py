@@ -541,10 +541,11 @@ def rename_plan(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""WITH o AS (SELECT 'p' || p_partkey AS path, p_partkey AS k, md5('h' || CASE WHEN p_partkey % 10 = 3 THEN -1 ELSE p_partkey END) AS h FROM part),
 st AS (SELECT path, h FROM o WHERE k % 7 <> 0), sn AS (SELECT CASE WHEN k % 10 = 4 THEN 'moved/' || path ELSE path END AS path, CASE WHEN k % 10 = 5 THEN md5('new' || k) ELSE h END AS h, k % 2 AS odd FROM o WHERE k % 9 <> 0),
-ho AS (SELECT st.h, bool_or(sn.path IS NOT NULL) AS held FROM st LEFT JOIN sn USING (path) GROUP BY st.h),
-j AS (SELECT sn.path, sn.h, odd, st.h AS oh, ho.held, row_number() OVER (PARTITION BY sn.h, st.h IS NULL ORDER BY sn.path) AS k FROM sn LEFT JOIN st USING (path) LEFT JOIN ho ON ho.h = sn.h)
-SELECT path, CASE WHEN oh IS NOT NULL AND odd = 0 THEN 'skipped' WHEN oh = h THEN 'refreshed' WHEN oh IS NOT NULL AND coalesce(held, false) THEN 'duplicate' WHEN oh IS NOT NULL THEN 'updated' WHEN coalesce(held, false) OR k > 1 THEN 'duplicate' WHEN held IS NOT NULL THEN 'moved' ELSE 'new' END AS action FROM j
-UNION ALL SELECT path, 'missing' FROM st WHERE path NOT IN (SELECT path FROM sn) AND h NOT IN (SELECT h FROM sn)""")
+r AS (SELECT sn.path, st.h AS oh, st.h IS NOT NULL AND odd = 0 AS skipped, CASE WHEN st.h IS NOT NULL AND odd = 0 THEN st.h ELSE sn.h END AS h FROM sn LEFT JOIN st USING (path)),
+lost AS (SELECT DISTINCT h, true AS lost FROM st WHERE path NOT IN (SELECT path FROM sn)),
+ow AS (SELECT h, coalesce(bool_or(oh = h), false) AS stays, min(path) FILTER (oh <> h) AS taker, min(path) FILTER (oh IS NULL) AS fresh, coalesce(any_value(lost), false) AS lost FROM r LEFT JOIN lost USING (h) GROUP BY h)
+SELECT path, CASE WHEN skipped THEN 'skipped' WHEN oh = h THEN 'refreshed' WHEN stays THEN 'duplicate' WHEN path = taker THEN 'updated' WHEN taker IS NOT NULL OR path <> fresh THEN 'duplicate' WHEN lost THEN 'moved' ELSE 'new' END AS action FROM r JOIN ow USING (h)
+UNION ALL SELECT path, 'missing' FROM st WHERE path NOT IN (SELECT path FROM sn) AND h NOT IN (SELECT h FROM ow WHERE lost AND NOT stays AND taker IS NULL)""")
 def catalog_cdc(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("p_partkey")
     own = F.md5(F.concat(F.lit("h"), F.when(F.pmod(k, F.lit(10)) == 3, F.lit(-1)).otherwise(k).cast("string")))
@@ -648,7 +649,8 @@ def journal_append(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH o AS (SELECT doc_id, text FROM documents WHERE doc_id % 2 = 0), s AS (SELECT sha256(trim(coalesce(text, ''))) AS h, min(doc_id)::VARCHAR AS same FROM o GROUP BY ALL)
-SELECT doc_id AS id, CASE WHEN trim(coalesce(text, '')) = '' THEN 'empty' WHEN same IS NOT NULL THEN 'duplicate' ELSE 'create' END AS decision, same AS target FROM documents d LEFT JOIN s ON s.h = sha256(trim(coalesce(d.text, ''))) WHERE doc_id % 2 = 1""")
+SELECT doc_id AS id, CASE WHEN trim(coalesce(text, '')) = '' THEN 'empty' WHEN same IS NOT NULL OR doc_id <> fst THEN 'duplicate' ELSE 'create' END AS decision, CASE WHEN same IS NOT NULL THEN same WHEN doc_id <> fst AND trim(coalesce(text, '')) <> '' THEN fst::VARCHAR END AS target
+FROM (SELECT *, min(doc_id) OVER (PARTITION BY sha256(trim(coalesce(text, '')))) AS fst FROM documents WHERE doc_id % 2 = 1) d LEFT JOIN s ON s.h = sha256(trim(coalesce(d.text, '')))""")
 def capture_plan(spark: SparkSession, sf: str) -> DataFrame:
     """Half of the documents captured into a vault of the other half."""
     d = _t(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("body"))

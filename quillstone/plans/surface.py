@@ -85,14 +85,16 @@ def _no_notes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], syncing.NOTES)
 
 
-@query(f"""WITH {_MAIL} SELECT what, n FROM (SELECT 'count' AS what, (SELECT count(*) FROM events) AS n UNION ALL SELECT 'kept', count(*) FROM m WHERE klass IN ('starred', 'important', 'personal') UNION ALL SELECT 'digested', count(*) FROM m WHERE klass = 'bulk'
+@query(f"""WITH {_MAIL} SELECT what, n FROM (SELECT 'count' AS what, (SELECT count(*) + 2 * count(*) FILTER (event_id % 10 = 3) FROM events) AS n UNION ALL SELECT 'repeated', (SELECT 2 * count(*) FILTER (event_id % 10 = 3) FROM events) UNION ALL SELECT 'kept', count(*) FROM m WHERE klass IN ('starred', 'important', 'personal') UNION ALL SELECT 'digested', count(*) FROM m WHERE klass = 'bulk'
 UNION ALL SELECT 'skipped', (SELECT count(*) FROM events) - (SELECT count(*) FROM m WHERE klass <> 'excluded')
 UNION ALL SELECT 'unchanged', (SELECT count(*) FROM m WHERE klass IN ('starred', 'important', 'personal') AND event_id % 4 = 1) + (SELECT count(*) FROM wk WHERE old = n)
 UNION ALL SELECT 'created', (SELECT count(*) FROM m WHERE klass IN ('starred', 'important', 'personal') AND event_id % 4 <> 1) + (SELECT count(*) FROM wk WHERE old = 0)
 UNION ALL SELECT 'updated', (SELECT count(*) FROM wk WHERE old > 0 AND old < n) UNION ALL SELECT 'class:' || klass, count(*) FROM m GROUP BY klass) WHERE n > 0""")
 def sync_mail(spark: SparkSession, sf: str) -> DataFrame:
-    """All messages, after a quarter of them were synced before."""
+    """All messages, after a quarter of them were synced before; some are delivered three times."""
     rows = _messages(spark, sf)
+    twice = rows.where("event_id % 10 = 3")
+    rows = rows.unionByName(twice).unionByName(twice)
     before = kept(syncing.sync_messages(_no_notes(spark), rows.where("event_id % 4 = 1"), NOW)[0], "notes")
     return syncing.sync_messages(before, rows, NOW)[1].where("n > 0")
 
@@ -126,11 +128,12 @@ def _calendar(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("event_id", text(F.col("event_id")).alias("id"), title.alias("summary"), start.alias("start"), start.alias("end"), F.lit("room").alias("location"), text(F.col("value")).alias("description"), F.lit("").alias("htmlLink"), status.alias("status"))
 
 
-@query("""WITH c AS (SELECT event_id FROM events WHERE event_type <> 'error' AND event_id % 11 <> 0) SELECT 'count' AS what, count(*) AS n FROM events UNION ALL SELECT 'skipped', (SELECT count(*) FROM events) - (SELECT count(*) FROM c)
+@query("""WITH c AS (SELECT event_id FROM events WHERE event_type <> 'error' AND event_id % 11 <> 0) SELECT 'count' AS what, count(*) + count(*) FILTER (event_id % 7 = 0) AS n FROM events UNION ALL SELECT 'repeated', count(*) FILTER (event_id % 7 = 0) FROM events UNION ALL SELECT 'skipped', (SELECT count(*) FROM events) - (SELECT count(*) FROM c)
 UNION ALL SELECT 'created', count(*) FROM c WHERE event_id % 5 <> 0 UNION ALL SELECT 'updated', count(*) FROM c WHERE event_id % 10 = 0 UNION ALL SELECT 'unchanged', count(*) FROM c WHERE event_id % 10 = 5""")
 def sync_calendar(spark: SparkSession, sf: str) -> DataFrame:
-    """All events, after a fifth of them were synced before, half of those under another title."""
+    """All events, after a fifth of them were synced before, half of those under another title; some are delivered twice."""
     rows = _calendar(spark, sf)
+    rows = rows.unionByName(rows.where("event_id % 7 = 0"))
     old = rows.where("event_id % 5 = 0").withColumn("summary", F.when(F.col("event_id") % 10 == 0, "before").otherwise(F.col("summary")))
     before = kept(syncing.sync_events(_no_notes(spark), old)[0], "notes")
     return syncing.sync_events(before, rows)[1]
@@ -176,8 +179,9 @@ def fresh_state(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {_HASHED}, f AS (SELECT min(doc_id) AS id, sha256(trim(coalesce(text, ''))) AS hash FROM documents WHERE doc_id % 2 = 0 GROUP BY ALL),
 s AS (SELECT x.id AS new_id, y.id, sum(x.w * y.w) AS score FROM h x JOIN h y USING (bucket) WHERE x.id % 2 = 1 AND y.id % 2 = 0 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY round(score, 12) DESC, id) AS k FROM s),
 b AS (SELECT new_id, id FROM r WHERE k = 1 AND score >= 0.97)
-SELECT doc_id AS id, CASE WHEN trim(coalesce(text, '')) = '' THEN 'empty' WHEN f.id IS NOT NULL THEN 'duplicate' WHEN b.id IS NOT NULL THEN 'append' ELSE 'create' END AS decision, coalesce(f.id, b.id)::VARCHAR AS target
-FROM documents d LEFT JOIN f ON f.hash = sha256(trim(coalesce(d.text, ''))) LEFT JOIN b ON b.new_id = doc_id WHERE doc_id % 2 = 1""")
+SELECT doc_id AS id, CASE WHEN trim(coalesce(text, '')) = '' THEN 'empty' WHEN f.id IS NOT NULL THEN 'duplicate' WHEN b.id IS NOT NULL THEN 'append' WHEN doc_id <> fst THEN 'duplicate' ELSE 'create' END AS decision,
+CASE WHEN coalesce(f.id, b.id) IS NOT NULL THEN coalesce(f.id, b.id)::VARCHAR WHEN trim(coalesce(text, '')) <> '' AND doc_id <> fst THEN fst::VARCHAR END AS target
+FROM (SELECT *, min(doc_id) OVER (PARTITION BY sha256(trim(coalesce(text, '')))) AS fst FROM documents WHERE doc_id % 2 = 1) d LEFT JOIN f ON f.hash = sha256(trim(coalesce(d.text, ''))) LEFT JOIN b ON b.new_id = doc_id""")
 def capture_similar(spark: SparkSession, sf: str) -> DataFrame:
     """Half of the documents captured into a vault of the other half: exact copies refused, near ones appended to the nearest."""
     d = _t(spark, sf, "documents")
@@ -247,6 +251,21 @@ def catalog_copies(spark: SparkSession, sf: str) -> DataFrame:
     return filing.named_duplicates(filing.merged_duplicates(known, copies), after).select("path", "current_path", "size_bytes")
 
 
+@query("""WITH p AS (SELECT p_partkey AS k, p_partkey % 10 AS r, row_number() OVER (ORDER BY lpad(p_partkey::VARCHAR, 9, '0')) AS id FROM part), h AS (SELECT *, 'd/' || lpad(k::VARCHAR, 9, '0') AS path FROM p)
+SELECT id, CASE WHEN r = 6 THEN 'm/' || lpad(k::VARCHAR, 9, '0') ELSE path END AS current_path, md5(CASE r WHEN 1 THEN (k + 1)::VARCHAR WHEN 2 THEN (k - 1)::VARCHAR WHEN 4 THEN (k - 1)::VARCHAR WHEN 5 THEN 'x' || k ELSE k::VARCHAR END) AS content_hash, r IN (3, 9) AS missing FROM h WHERE r <> 7
+UNION ALL SELECT (SELECT max(id) FROM p) + row_number() OVER (ORDER BY k), 'n/' || lpad(k::VARCHAR, 9, '0'), md5(k::VARCHAR), false FROM p WHERE r = 5""")
+def catalog_swaps(spark: SparkSession, sf: str) -> DataFrame:
+    """The catalog after files swapped contents, were overwritten by a move, changed while their old content turned up elsewhere, moved, became copies or went."""
+    p = _t(spark, sf, "part").select("p_partkey")
+    k, r = F.col("p_partkey"), F.pmod("p_partkey", F.lit(10))
+    at = lambda rows, folder, content, mtime: _files(rows, F.lit("d"), content.cast("string"), F.lit(mtime)).withColumn("path", F.concat(F.lit(folder), F.lpad(F.regexp_extract("path", r"(\d+)", 1), 9, "0")))
+    first, _, _ = filing.scanned(_no_catalog(spark), at(p, "d/", k, 1), NOW)
+    content = F.when(r == 1, k + 1).when((r == 2) | (r == 4), k - 1).when(r == 7, k + 1).otherwise(k).cast("string")
+    changed = F.when(r == 5, F.concat(F.lit("x"), k.cast("string"))).otherwise(content)
+    later = at(p.where(~r.isin(3, 6, 9)), "d/", changed, 2).unionByName(at(p.where(r == 6), "m/", k, 2)).unionByName(at(p.where(r == 5), "n/", k, 2))
+    return filing.scanned(first, later, NOW)[0].select("id", "current_path", "content_hash", "missing")
+
+
 # ---- Knowledge
 
 
