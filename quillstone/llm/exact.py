@@ -24,16 +24,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are broadcast, so rows of a frequent digest are decided where they are read.  The other digests are counted with map-side
     sums and met by their rows through an ordinary shuffle, where a digest of many rows can be split.
 
-    Null texts count as empty, empty texts equal each other.  A null id loses every tie.  Rows that repeat an id
-    and its text share their fate.  An empty table gives no rows; further columns of ``docs`` play no part.
+    Null texts count as empty, empty texts equal each other.  A null id loses every tie.  An id that repeats with texts that are equal but for
+    white space keeps the longest, of equally long ones that with the smaller hash.  Rows that repeat an id and its very text
+    share their fate.  An empty table gives no rows; further columns of ``docs`` play no part.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = written(
-        docs.select(F.col(id_col).alias("doc_id"), digest(F.col(text_col)).alias("text_sha256"), F.length(text).alias("_len"), *carry),
+        docs.select(F.col(id_col).alias("doc_id"), digest(F.col(text_col)).alias("text_sha256"), F.length(text).alias("_len"), F.xxhash64(text).alias("_own"), *carry),
         "digests",
     )
-    best = F.min(F.struct(-F.col("_len"), F.col("doc_id").isNull(), F.col("doc_id")))
-    found = lambda df: df.groupBy("text_sha256").agg(best.getField("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    best = F.min(F.struct((-F.col("_len")).alias("len"), F.col("doc_id").isNull(), F.col("doc_id"), F.col("_own")))
+    found = lambda df: df.groupBy("text_sha256").agg(best.alias("_best"), F.count("*").alias("group_size"))
     maybe = rows.freqItems(["text_sha256"], support).select(F.explode("text_sha256_freqItems").alias("text_sha256"))
     least = max(2, int(rows.count() * support))
     winners = found(rows.join(F.broadcast(maybe), "text_sha256", "left_semi")).where(F.col("group_size") >= least)
@@ -41,7 +42,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest = rows.join(winners, "text_sha256", "left_anti")
     rest = rest.join(found(rest), "text_sha256")
     out = rows.join(winners, "text_sha256").unionByName(rest)
-    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", *carry)
+    stays = F.col("doc_id").eqNullSafe(F.col("_best.doc_id")) & (-F.col("_len") == F.col("_best.len")) & (F.col("_own") == F.col("_best._own"))
+    return out.select("doc_id", F.col("_best.doc_id").alias("keep_id"), "group_size", stays.alias("kept"), "text_sha256", *carry)
 
 
 SQL = r"""

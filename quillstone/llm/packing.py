@@ -8,10 +8,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, lean_group, release, small_batches
+from .common import lean, lean_group, release, small_batches, written
 
 #: Documents that one packing group gets on average; a group is packed in one task's memory.
 GROUP_DOCS = 8192
@@ -139,7 +140,7 @@ def pack(docs: DataFrame, path: str, size: int = 1024, end_id: int = 0, id_col:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Documents are tokenised where they are read, ``end_id`` closes each.  Whole blocks of ``size`` tokens
-    are sequences of their own; what is left of each document is dealt by id, tokens and input partition to groups of about
+    are sequences of their own; what is left of each document is written, and dealt by input partition and place there to groups of about
     ``group_docs`` documents, so that neither null ids nor rows that repeat meet in one group.  A group stays within one task's memory however
     large the table is, and costs at most one padded sequence.  ``sequence_id`` is the group's number times 2**32 plus the sequence's number there.
 
@@ -153,7 +154,7 @@ def pack(docs: DataFrame, path: str, size: int = 1024, end_id: int = 0, id_col:
     groups, fast = max(1, -(-docs.count() // group_docs)), proven(path)
 
     def tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = id_encoder(path, added, fast)
+        encode, part, seen = id_encoder(path, added, fast), TaskContext.get().partitionId(), 0
         for batch in batches:
             n, whole, tail = [], [], []
             for ids in encode([t or "" for t in batch.column(1).to_pylist()]):
@@ -162,7 +163,8 @@ def pack(docs: DataFrame, path: str, size: int = 1024, end_id: int = 0, id_col:
                 n.append(len(ids))
                 whole.append([zlib.crc32(ids[i : i + size]) for i in range(0, cut, size)])
                 tail.append(ids[cut:].tobytes())
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).cast(pa.int64()), "doc_tokens": pa.array(n, pa.int64()), "whole": pa.array(whole, pa.list_(pa.int64())), "tail": pa.array(tail, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).cast(pa.int64()), "doc_tokens": pa.array(n, pa.int64()), "whole": pa.array(whole, pa.list_(pa.int64())), "tail": pa.array(tail, pa.binary()), "part": pa.array(np.full(len(n), part), pa.int32()), "place": pa.array(np.arange(seen, seen + len(n)))})
+            seen += batch.num_rows
 
     def packed(table: pa.Table) -> pa.Table:
         group = table.column("grp")[0].as_py()
@@ -181,8 +183,8 @@ def pack(docs: DataFrame, path: str, size: int = 1024, end_id: int = 0, id_col:
                 start += length
         return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"), zip(*rows, strict=True) if rows else [[]] * 7, strict=True)})
 
-    schema = "doc_id long, doc_tokens long, whole array<long>, tail binary"
-    dealt = docs.select(id_col, text_col).mapInArrow(lean(tokens), schema)
-    # The partition is part of the hash, not the row's place in it: a task that runs again deals its rows as before.
-    dealt = dealt.withColumn("grp", F.pmod(F.xxhash64("doc_id", "tail", F.spark_partition_id()), F.lit(groups)))
+    schema = "doc_id long, doc_tokens long, whole array<long>, tail binary, part int, place long"
+    # Written before they are dealt: a task that runs again may read its rows in another order.
+    dealt = written(docs.select(id_col, text_col).mapInArrow(lean(tokens), schema), "tails")
+    dealt = dealt.select("doc_id", "doc_tokens", "whole", "tail", F.pmod(F.xxhash64("place", "part"), F.lit(groups)).alias("grp"))
     return dealt.groupBy("grp").applyInArrow(lean_group(packed), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -33,6 +33,21 @@ def test_exact_dedup_empty_and_hot(spark):
     assert got.where("kept").count() == 2001 and got.where("keep_id = 0").count() == 1000
 
 
+def test_exact_dedup_keeps_one_text_of_an_id(spark):
+    rows = [(5, "a b c"), (5, "abc"), (6, "ab c"), (6, "a bc"), (5, "a b c"), (8, " x"), (8, "x ")]
+    kept = {(r.doc_id, r.len) for r in exact.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "length(text) len"), carry=("len",)).where("kept").collect()}
+    assert kept == {(5, 5), (8, 2)}
+    got = exact.exact_dedup(spark.createDataFrame(rows[5:], "doc_id long, text string"))
+    assert got.where("kept").count() == 1
+
+
+def test_packing_deals_equal_rows_of_one_partition_to_many_groups(spark):
+    docs = spark.range(20_000).selectExpr("cast(null as long) doc_id", "'' text").coalesce(1)
+    got = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), group_docs=1000)
+    groups = got.groupBy((got.sequence_id / 2**32).cast("long").alias("g")).count().collect()
+    assert len(groups) == 20 and max(r["count"] for r in groups) < 2000 and sum(r["count"] for r in groups) == 20_000
+
+
 def test_preferences(spark):
     rows = [(0, 0, "user", "hi"), (0, 1, "assistant", "yes"), (1, 0, "user", "hi"), (1, 1, "assistant", "no"), (1, 1, "assistant", "no"), (2, 0, None, None), (None, 0, "user", "x"), (4, 0, "user", "q"), (5, 0, "user", "q")]
     got = {r.pair_id: r for r in chat.preference_pairs(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
