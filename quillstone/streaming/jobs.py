@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.time import days_since, week_key
-from ..operators.state import apply_merge
+from ..operators.state import apply_merge, newest
+from ..operators.syncing import advance
+from ..session import kept
 from ..sources.tables import Tables
 
 
@@ -70,3 +72,24 @@ def sync(stream: DataFrame, tables: Tables, name: str, schema: str, key: str, tr
         tables.write(name, apply_merge(tables.read(name, schema), newest.select("_row.*"), key))
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+CURSORS = "source string, cursor string, last_sync timestamp, items int"
+
+
+def sync_listed(stream: DataFrame, tables: Tables, name: str, schema: str, key: str, transform: Callable[[DataFrame], DataFrame], source: str, checkpoint: str) -> StreamingQuery:
+    """Upsert each batch of a ``listed`` stream (id, item, token) by key, then note the source's cursor in the table ``cursors``.
+
+    The cursor is written after the rows it stands for: a run that is stopped between the two reads them again and changes nothing.
+    """
+
+    def batch(rows: DataFrame, number: int) -> None:
+        rows = kept(rows, "listed")
+        ran = rows.agg(F.max("token").alias("token"), F.count("*").cast("int").alias("items")).where("items > 0")
+        new = newest(transform(rows), key)
+        tables.write(name, apply_merge(tables.read(name, schema), new, key))
+        runs = ran.select(F.lit(source).alias("source"), F.col("token").alias("cursor"), "items")
+        now = rows.sparkSession.sql("SELECT cast(current_timestamp() AS string) AS t").first().t
+        tables.write("cursors", kept(advance(tables.read("cursors", CURSORS), runs, now), "cursors"))
+
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
