@@ -10,7 +10,7 @@ import re
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The order in which known fields are written, and characters that make a string need quotes.
@@ -105,14 +105,11 @@ def dumped(frontmatter: Column, body: Column) -> Column:
     return run(frontmatter, body)
 
 
-def with_defaults(notes: DataFrame, now: str) -> DataFrame:
-    """Fills fields that a note must have; ids that are missing come from the path, so a second run gives the same."""
-    return notes.select(
-        *[F.col(c) for c in notes.columns if c not in ("id", "created", "updated", "status", "importance", "pinned")],
-        F.coalesce("id", F.upper(F.left(F.sha2("path", 256), F.lit(26)))).alias("id"),
-        F.coalesce("created", F.lit(now)).alias("created"),
-        F.coalesce("updated", F.lit(now)).alias("updated"),
-        F.coalesce("status", F.lit("active")).alias("status"),
-        F.coalesce("importance", F.lit(2)).alias("importance"),
-        F.coalesce("pinned", F.lit(False)).alias("pinned"),
-    )
+def bumped(frontmatter: Column, now: str) -> Column:
+    """The JSON fields with ``updated`` set to ``now``, in place or at the end."""
+
+    @F.pandas_udf("string")
+    def run(fields: pd.Series) -> pd.Series:
+        return pd.Series([json.dumps(json.loads(f or "{}") | {"updated": now}, ensure_ascii=False) for f in fields])
+
+    return run(frontmatter)

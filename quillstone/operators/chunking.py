@@ -7,7 +7,10 @@ from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from ..ship import ship
 
@@ -19,6 +22,11 @@ _PAGE = re.compile(r"^\s*<!--\s*page:\s*(\d+)\s*-->\s*$", re.IGNORECASE)
 _FENCE = re.compile(r"^\s*(```|~~~)")
 _MATH = re.compile(r"\\begin\{(equation\*?|align\*?|gather\*?|multline\*?|eqnarray\*?|cases|array|matrix|bmatrix|pmatrix)\}")
 
+_CHUNK = [
+    StructField("ordinal", IntegerType()), StructField("heading_path", StringType()), StructField("headings", ArrayType(StringType())),
+    StructField("page", IntegerType()), StructField("text", StringType()), StructField("token_count", IntegerType()),
+]
+
 
 class Block(NamedTuple):
     kind: str
@@ -130,3 +138,27 @@ def chunk(docs: DataFrame, source: str = "source", text: str = "text", target: i
             yield pd.DataFrame(rows, columns=["chunk_id", "source", "ordinal", "heading_path", "headings", "page", "text", "token_count"]).astype({"page": "Int32"})
 
     return docs.selectExpr(f"CAST(`{source}` AS STRING) AS s", f"`{text}` AS t").mapInPandas(run, SCHEMA)
+
+
+class ChunkTable:
+    """``chunks(source => ..., text => ...[, target => 650, overlap => 0.1])`` as a table function of SQL."""
+
+    @staticmethod
+    def analyze(source: AnalyzeArgument, text: AnalyzeArgument, target: AnalyzeArgument | None = None, overlap: AnalyzeArgument | None = None) -> AnalyzeResult:
+        for name, given in (("target", target), ("overlap", overlap)):
+            if given is not None and not given.isConstantExpression:
+                raise ValueError(f"{name} must be a constant")
+        if target is not None and target.value is not None and int(target.value) < 1:
+            raise ValueError("target must be 1 or more")
+        kind = StructType([StructField("chunk_id", StringType()), StructField("source", source.dataType), *_CHUNK])
+        return AnalyzeResult(schema=kind)
+
+    def eval(self, source, text: str | None, target: int | None = None, overlap: float | None = None) -> Iterator[tuple]:
+        for c in chunks(text or "", 650 if target is None else int(target), 0.1 if overlap is None else float(overlap)):
+            yield (f"{source}#{c[0]}", source, *c)
+
+
+def register(spark: SparkSession, name: str = "chunks") -> None:
+    """Offer ``ChunkTable`` to SQL: ``SELECT c.* FROM documents, LATERAL chunks(doc_id, text) AS c``."""
+    ship(spark)
+    spark.udtf.register(name, F.udtf(ChunkTable))

@@ -7,9 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import nearjoin, postings, search, vectortable
-from ..session import shared_dir
-from .catalog import _ASKS, _FLAT, _FUSED, _SNIP, _TOP, _VEC, ASK, _bm25_sql, _r, _t, _vectors, query
+from ..operators import chunking, mail, nearjoin, postings, search, vectortable
+from ..session import kept, shared_dir
+from ..sources.tables import Buckets
+from ..streaming import jobs, stateful
+from .catalog import _ASKS, _FLAT, _FUSED, _SNIP, _TOP, _VEC, ASK, SQL, _bm25_sql, _messages, _r, _t, _vectors, query
 
 _opened: dict[tuple[str, str, str], object] = {}
 
@@ -77,3 +79,49 @@ SELECT a, b, round(s, 6) AS similarity FROM c WHERE s >= 0.8""")
 def near_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """All pairs of embeddings that are near each other."""
     return nearjoin.near_pairs(_vectors(spark, sf).select("id", "v"), 0.8).select("a", "b", _r("similarity").alias("similarity"))
+
+
+# ---- Streams, tables by bucket, the chunker in SQL
+
+
+@query(SQL["weekly_digest"])
+def stream_digests(spark: SparkSession, sf: str) -> DataFrame:
+    """Weekly digests as a stream of lines in several batches, late and repeated ones among them; the last of each is there at the end."""
+    where = f"{shared_dir(spark)}/digests-{uuid.uuid4().hex}"
+    items = kept(mail.digest_items(mail.triage(_messages(spark, sf))), "items").select("source_ref", "title", F.col("message_id").cast("string").alias("message_id"), "line")
+    for part in range(3):
+        items.where(F.pmod(F.xxhash64("message_id"), F.lit(4)).isin(part, 3)).coalesce(1).write.mode("append").parquet(f"{where}/in")
+    stream = spark.readStream.schema(items.schema).option("maxFilesPerTrigger", 1).parquet(f"{where}/in")
+    tables = Buckets(spark, f"{where}/out", 8)
+    jobs.sync(stateful.digests(stream), tables, "digests", stateful.DIGEST, "source_ref", lambda df: df, f"{where}/ck", "n", mode="update").awaitTermination()
+    return tables.read("digests", stateful.DIGEST)
+
+
+@query("""WITH e AS (SELECT user_id::VARCHAR AS key, ts FROM events), g AS (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY key ORDER BY ts) > INTERVAL 6 HOUR, true) AS fresh FROM e), r AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY key ORDER BY ts, fresh) AS run FROM g)
+SELECT key, count(*) AS n, min(ts) AS first, max(ts) AS last FROM r GROUP BY key, run""")
+def expiring_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs of each user's events that no gap of six hours parts, in the stream's batch form."""
+    events = _t(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("ts").alias("at"))
+    runs = stateful.counts_until(events, 6 * 3600)
+    return runs.select("key", "n", F.col("first").cast("timestamp_ntz").alias("first"), F.col("last").cast("timestamp_ntz").alias("last"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 10 = 1 THEN 'new' ELSE lang END AS lang, CASE WHEN doc_id % 10 = 1 THEN 0 ELSE length(coalesce(text, '')) END::BIGINT AS size FROM documents WHERE doc_id % 10 NOT IN (2, 3)")
+def bucket_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """A table by buckets after an upsert and a removal of a tenth of its keys each; another tenth was never there."""
+    d = _t(spark, sf, "documents").select("doc_id", "lang", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("size"))
+    schema = "doc_id long, lang string, size long"
+    tables = Buckets(spark, f"{shared_dir(spark)}/buckets-{uuid.uuid4().hex}", 16)
+    tables.upsert("notes", schema, d.where("doc_id % 10 <> 3"), "doc_id")
+    tables.upsert("notes", schema, d.where("doc_id % 10 = 1").select("doc_id", F.lit("new").alias("lang"), F.lit(0).cast("long").alias("size")), "doc_id")
+    tables.remove("notes", schema, d.where("doc_id % 10 = 2"), "doc_id")
+    return tables.read("notes", schema)
+
+
+@query(SQL["chunk_sections"])
+def chunk_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The sections again, by the chunker as a table function of SQL."""
+    chunking.register(spark)
+    _t(spark, sf, "documents").where(F.trim("text") != "").createOrReplaceTempView("chunk_table_documents")
+    text = "concat('# T', doc_id, '\n\nintro\n\n<!-- page: 7 -->\n\n## Body\n\n', text, '\n\n### Deep\n\n```\n# no heading\n\nx\n```\n\n# Z\n\nend')"
+    return spark.sql(f"SELECT c.chunk_id, c.ordinal, c.heading_path, c.page, c.text FROM chunk_table_documents, LATERAL chunks(source => doc_id, text => {text}, target => 1000000000) AS c")

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.time import days_since, week_key
-from ..operators.state import apply_merge, newest
+from ..operators.state import newest
 from ..operators.syncing import advance
 from ..session import kept
-from ..sources.tables import Tables
+from ..sources.tables import Buckets, Tables
 
 
 def access_counts(events: DataFrame) -> DataFrame:
@@ -59,7 +59,7 @@ def every(stream: DataFrame, tick: Callable[[DataFrame, int], None], checkpoint:
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
 
 
-def sync(stream: DataFrame, tables: Tables, name: str, schema: str, key: str, transform: Callable[[DataFrame], DataFrame], checkpoint: str, order: str | None = None) -> StreamingQuery:
+def sync(stream: DataFrame, tables: Tables | Buckets, name: str, schema: str, key: str, transform: Callable[[DataFrame], DataFrame], checkpoint: str, order: str | None = None, mode: str = "append") -> StreamingQuery:
     """Upsert each micro-batch into a table by key; of rows that share a key in a batch the last by ``order``, a column of ``transform``'s result, wins.
 
     Without ``order`` it is the greatest row.  A batch that is replayed finds its rows there and changes nothing.
@@ -68,16 +68,16 @@ def sync(stream: DataFrame, tables: Tables, name: str, schema: str, key: str, tr
     def batch(rows: DataFrame, number: int) -> None:
         new = transform(rows)
         whole = F.struct(*new.columns)
-        newest = new.groupBy(key).agg(F.max_by(whole, F.struct(order, whole) if order else whole).alias("_row"))
-        tables.write(name, apply_merge(tables.read(name, schema), newest.select("_row.*"), key))
+        last = new.groupBy(key).agg(F.max_by(whole, F.struct(order, whole) if order else whole).alias("_row"))
+        tables.upsert(name, schema, kept(last.select("_row.*"), "newest"), key)
 
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(batch).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 CURSORS = "source string, cursor string, last_sync timestamp, items int"
 
 
-def sync_listed(stream: DataFrame, tables: Tables, name: str, schema: str, key: str, transform: Callable[[DataFrame], DataFrame], source: str, checkpoint: str) -> StreamingQuery:
+def sync_listed(stream: DataFrame, tables: Tables | Buckets, name: str, schema: str, key: str, transform: Callable[[DataFrame], DataFrame], source: str, checkpoint: str) -> StreamingQuery:
     """Upsert each batch of a ``listed`` stream (id, item, token) by key, then note the source's cursor in the table ``cursors``.
 
     The cursor is written after the rows it stands for: a run that is stopped between the two reads them again and changes nothing.
@@ -86,10 +86,9 @@ def sync_listed(stream: DataFrame, tables: Tables, name: str, schema: str, key:
     def batch(rows: DataFrame, number: int) -> None:
         rows = kept(rows, "listed")
         ran = rows.agg(F.max("token").alias("token"), F.count("*").cast("int").alias("items")).where("items > 0")
-        new = newest(transform(rows), key)
-        tables.write(name, apply_merge(tables.read(name, schema), new, key))
+        tables.upsert(name, schema, kept(newest(transform(rows), key), "newest"), key)
         runs = ran.select(F.lit(source).alias("source"), F.col("token").alias("cursor"), "items")
         now = rows.sparkSession.sql("SELECT cast(current_timestamp() AS string) AS t").first().t
-        tables.write("cursors", kept(advance(tables.read("cursors", CURSORS), runs, now), "cursors"))
+        tables.upsert("cursors", CURSORS, kept(advance(tables.read("cursors", CURSORS), runs, now), "cursors"), "source")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -22,12 +22,12 @@ def _ready(spark: SparkSession) -> None:
     ship(spark)
 
 
-def _ms(seconds: float) -> int:
-    return int(seconds * 1000)
+def _micros(seconds: float) -> int:
+    return int(seconds * 1_000_000)
 
 
 class _Runs(StatefulProcessor):
-    """Per key the open runs (first, last, n) in milliseconds, joined as rows come in, emitted when the watermark has passed them."""
+    """Per key the open runs (first, last, n) in microseconds, joined as rows come in, emitted when the watermark has passed them."""
 
     def __init__(self, gap: int):
         self.gap = gap
@@ -36,10 +36,14 @@ class _Runs(StatefulProcessor):
         self.handle = handle
         self.open = handle.getListState("open", "first long, last long, n long")
 
+    def _due(self, last: int) -> int:
+        """The millisecond, as timers have them, after a run's time to live."""
+        return (last + self.gap) // 1000 + 1
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         runs = [tuple(r) for r in self.open.get()] if self.open.exists() else []
         for frame in rows:
-            at = frame["at"].astype("datetime64[ms]").astype("int64")
+            at = frame["at"].astype("datetime64[us]").astype("int64")
             runs += [(t, t, 1) for t in at]
         merged: list[list[int]] = []
         for first, last, n in sorted(runs):
@@ -52,19 +56,19 @@ class _Runs(StatefulProcessor):
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
         for _, last, _ in merged:
-            self.handle.registerTimer(last + self.gap + 1)
+            self.handle.registerTimer(self._due(last))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         due = expiredTimerInfo.getExpiryTimeInMs()
         runs = [tuple(r) for r in self.open.get()] if self.open.exists() else []
-        done = [r for r in runs if r[1] + self.gap + 1 <= due]
-        left = [r for r in runs if r[1] + self.gap + 1 > due]
+        done = [r for r in runs if self._due(r[1]) <= due]
+        left = [r for r in runs if self._due(r[1]) > due]
         if left:
             self.open.put(left)
         else:
             self.open.clear()
-        stamp = lambda i: pd.to_datetime([r[i] for r in done], unit="ms")
+        stamp = lambda i: pd.to_datetime([r[i] for r in done], unit="us")
         if done:
             yield pd.DataFrame({"key": [key[0]] * len(done), "first": stamp(0), "last": stamp(1), "n": [r[2] for r in done]})
 
@@ -80,21 +84,21 @@ def expiring_counts(events: DataFrame, ttl_seconds: float, late: str = "0 second
     """
     _ready(events.sparkSession)
     rows = events.select(F.col("key").cast("string").alias("key"), F.col("at").cast("timestamp").alias("at")).withWatermark("at", late)
-    return rows.groupBy("key").transformWithStateInPandas(_Runs(_ms(ttl_seconds)), outputStructType=RUN, outputMode="Append", timeMode="EventTime")
+    return rows.groupBy("key").transformWithStateInPandas(_Runs(_micros(ttl_seconds)), outputStructType=RUN, outputMode="Append", timeMode="EventTime")
 
 
 def counts_until(events: DataFrame, ttl_seconds: float) -> DataFrame:
     """The batch form: all runs of ``events``, open or not."""
-    rows = events.select(F.col("key").cast("string").alias("key"), F.unix_millis(F.col("at").cast("timestamp")).alias("t"))
+    rows = events.select(F.col("key").cast("string").alias("key"), F.unix_micros(F.col("at").cast("timestamp")).alias("t"))
     order = Window.partitionBy("key").orderBy("t")
-    begins = F.coalesce(F.col("t") - F.lag("t").over(order) > _ms(ttl_seconds), F.lit(True)).cast("int")
+    begins = F.coalesce(F.col("t") - F.lag("t").over(order) > _micros(ttl_seconds), F.lit(True)).cast("int")
     runs = rows.withColumn("_new", begins).withColumn("_run", F.sum("_new").over(order))
-    return runs.groupBy("key", "_run").agg(F.timestamp_millis(F.min("t")).alias("first"), F.timestamp_millis(F.max("t")).alias("last"), F.count("*").alias("n")).drop("_run")
+    return runs.groupBy("key", "_run").agg(F.timestamp_micros(F.min("t")).alias("first"), F.timestamp_micros(F.max("t")).alias("last"), F.count("*").alias("n")).drop("_run")
 
 
 class _Seen(StatefulProcessor):
-    def __init__(self, schema: str, ttl: int):
-        self.schema, self.ttl = schema, ttl
+    def __init__(self, ttl: int):
+        self.ttl = ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.seen = handle.getValueState("seen", "yes boolean", self.ttl)
@@ -114,7 +118,7 @@ class _Seen(StatefulProcessor):
 def delivered_once(items: DataFrame, key: str, ttl_seconds: float) -> DataFrame:
     """The first row of each key of a stream; a key that has not come for ``ttl_seconds`` of the cluster's clock is forgotten by the state itself."""
     _ready(items.sparkSession)
-    return items.groupBy(key).transformWithStateInPandas(_Seen(items.schema.simpleString(), _ms(ttl_seconds)), outputStructType=items.schema, outputMode="Append", timeMode="ProcessingTime")
+    return items.groupBy(key).transformWithStateInPandas(_Seen(int(1000 * ttl_seconds)), outputStructType=items.schema, outputMode="Append", timeMode="ProcessingTime")
 
 
 class _Digests(StatefulProcessor):
