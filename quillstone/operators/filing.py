@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import json
+import contextlib
 import os
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.time import moment
 from ..session import kept
+from ..sources.tables import Tables
 from . import files
 
 
@@ -80,48 +81,74 @@ def list_documents(catalog: DataFrame, course: str | None = None) -> DataFrame:
     return rows.orderBy("course", "doc_type", "descriptive_name", "id")
 
 
-# ---- Effects on a local folder, in the driver, one file after the other.  A plan has as many rows as files to rename.
+# ---- Effects on a local folder.  Tables say what is to be done and what was; the driver only carries the moves out.
 
+#: What renames were done: the batches' log.
+RENAMES = "batch int, id long, from_path string, to_path string"
 
-def apply_renames(plan: DataFrame, root: str, log: str) -> list[dict]:
-    """Renames the files of a plan (id, old_path, new_path) below ``root`` and notes the batch in the log; a name that is taken gets a number."""
+
+def present(spark: SparkSession, root: str) -> DataFrame:
+    """(path) of all files below a local folder; none is opened."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    return rows.select(F.substring_index("path", f"{root.rstrip('/')}/", -1).alias("path"))
+
+
+def free_names(plan: DataFrame, taken: DataFrame) -> DataFrame:
+    """(id, old_path, new_path) of a plan whose old paths are there (``taken``, path), each with a name that is free: the one planned, or that with a number.
+
+    Of a target's candidates, as many as could be taken and are asked for, those that no file has go to the rows by id.
+    """
+    stem, end = r"^(.*?)(?:-\d+)?(\.[^./]*)?$", r"(\.[^./]*)$"
+    rows = plan.join(taken.select(F.col("path").alias("old_path")), "old_path", "left_semi").where("old_path <> new_path")
+    rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy("new_path").orderBy("id")))
+    like = taken.groupBy(F.regexp_replace("path", stem, "$1$2").alias("_like")).agg(F.count("*").alias("_taken"))
+    asked = rows.groupBy("new_path").agg(F.count("*").alias("_asked")).withColumn("_like", F.regexp_replace("new_path", stem, "$1$2")).join(like, "_like", "left")
+    asked = asked.withColumn("_n", F.explode(F.sequence(F.lit(0), (F.col("_asked") + F.coalesce("_taken", F.lit(0))).cast("int"))))
+    ending = F.regexp_extract("new_path", end, 1)
+    name = F.when(F.col("_n") == 0, F.col("new_path")).otherwise(F.concat(F.expr("left(new_path, length(new_path) - length(_end))"), F.lit("-"), F.col("_n").cast("string"), "_end"))
+    free = asked.withColumn("_end", ending).select("new_path", "_n", name.alias("path")).join(taken, "path", "left_anti")
+    free = free.withColumn("_place", F.row_number().over(Window.partitionBy("new_path").orderBy("_n")))
+    return rows.join(free, ["new_path", "_place"]).select("id", "old_path", F.col("path").alias("new_path"))
+
+
+def _move(moves: DataFrame, root: str) -> DataFrame:
+    """Carries out (id, from_path, to_path); what fails is left out of the rows that come back."""
     done = []
-    for row in plan.orderBy("id").toLocalIterator():
-        src, dst = Path(root, row.old_path), Path(root, row.new_path)
-        if not src.exists():
-            continue
-        final, n = dst, 1
-        while final.exists() and final != src:
-            final, n = dst.with_stem(f"{dst.stem}-{n}"), n + 1
-        os.rename(src, final)
-        done.append({"id": row.id, "from": str(src.relative_to(root)), "to": str(final.relative_to(root))})
-    if done:
-        batches = json.loads(Path(log).read_text()) if Path(log).exists() else []
-        Path(log).write_text(json.dumps([*batches, done]))
+    for r in moves.toLocalIterator():
+        Path(root, r.to_path).parent.mkdir(parents=True, exist_ok=True)
+        with contextlib.suppress(FileNotFoundError):
+            os.rename(Path(root, r.from_path), Path(root, r.to_path))
+            done.append((r.id, r.from_path, r.to_path))
+    return moves.sparkSession.createDataFrame(done, "id long, from_path string, to_path string")
+
+
+def apply_renames(plan: DataFrame, root: str, tables: Tables) -> DataFrame:
+    """Renames the files of a plan (id, old_path, new_path) below ``root`` and adds them to the table ``renames`` as a batch; (id, from_path, to_path)."""
+    moves = kept(free_names(plan, present(plan.sparkSession, root)).withColumnsRenamed({"old_path": "from_path", "new_path": "to_path"}), "moves")
+    done = _move(moves, root)
+    log = tables.read("renames", RENAMES)
+    batch = log.agg((F.coalesce(F.max("batch"), F.lit(0)) + 1).cast("int").alias("batch"))
+    if done.limit(1).count():
+        tables.write("renames", log.unionByName(done.join(batch, F.lit(True)).select(log.columns)))
+    return done
+
+
+def undo_renames(root: str, tables: Tables) -> DataFrame:
+    """Takes the last batch back; files that are gone, or whose old name is taken by now, stay.  The batch leaves the log."""
+    log = tables.read("renames", RENAMES)
+    last = kept(log.join(log.agg(F.max("batch").alias("batch")), "batch", "left_semi"), "last")
+    there = kept(present(log.sparkSession, root), "present")
+    back = last.select("id", F.col("to_path").alias("from_path"), F.col("from_path").alias("to_path"))
+    back = back.join(there.select(F.col("path").alias("from_path")), "from_path", "left_semi").join(there.select(F.col("path").alias("to_path")), "to_path", "left_anti").select("id", "from_path", "to_path")
+    done = _move(back, root)
+    if last.limit(1).count():
+        tables.write("renames", kept(log.join(last.select("batch"), "batch", "left_anti").select(log.columns), "log"))
     return done
 
 
-def undo_renames(root: str, log: str) -> list[dict]:
-    """Takes the last batch back; what is no longer there, or whose old name is taken, stays."""
-    batches = json.loads(Path(log).read_text()) if Path(log).exists() else []
-    if not batches:
-        return []
-    back = []
-    for item in reversed(batches.pop()):
-        now, before = Path(root, item["to"]), Path(root, item["from"])
-        if now.exists() and not before.exists():
-            os.rename(now, before)
-            back.append({"id": item["id"], "from": item["to"], "to": item["from"]})
-    Path(log).write_text(json.dumps(batches))
-    return back
-
-
-def renamed(catalog: DataFrame, done: list[dict], flag: bool = True) -> DataFrame:
-    """The catalog after renames were applied (or, with ``flag`` false, undone)."""
-    if not done:
-        return catalog
-    to = catalog.sparkSession.createDataFrame([(d["id"], d["to"]) for d in done], "id long, _to string")
-    both = catalog.join(to, "id", "left")
+def renamed(catalog: DataFrame, done: DataFrame, flag: bool = True) -> DataFrame:
+    """The catalog after renames (id, from_path, to_path) were applied (or, with ``flag`` false, undone)."""
+    both = catalog.join(done.select("id", F.col("to_path").alias("_to")), "id", "left")
     moved = F.col("_to").isNotNull()
     return both.withColumn("current_path", F.coalesce("_to", "current_path")).withColumn("renamed", F.when(moved, F.lit(flag)).otherwise(F.col("renamed"))).select(catalog.columns)
 

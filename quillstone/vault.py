@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 from . import schema
 from .functions import frontmatter
 from .functions import text as tx
+from .functions.identity import journal_path
 from .functions.time import moment, parse_iso
-from .operators import chunking, lifecycle, mail, nearjoin, relations, search, similarity, state
+from .operators import capturing, chunking, lifecycle, mail, nearjoin, relations, search, similarity, state
+from .session import kept
 from .sources import files
+from .sources.notes import save as write_notes
 from .sources.tables import Tables
 
 NOTES = (
@@ -22,6 +25,7 @@ NOTES = (
     "created timestamp, updated timestamp, status string, importance int, pinned boolean, expires timestamp, body string, error string"
 )
 CHUNKS = "chunk_id string, document_id string, ordinal int, heading_path string, headings array<string>, page int, text string, token_count int, body_hash string"
+BACKUPS = "at timestamp, name string, version string"
 CELLS = "id string, bucket int, w double"
 SCHEMAS = {
     "notes": NOTES, "chunks": CHUNKS, "cells": CELLS, "links": schema.LINKS, "events": schema.EVENTS, "duplicates": schema.DUPLICATES,
@@ -84,15 +88,17 @@ class Vault:
         old = self.table("notes")
         before = old if incremental else old.limit(0)
         seen = before.select("path", F.col("content_hash").alias("hash"))
-        kept = before.join(scanned.select("path", F.col("hash").alias("content_hash")), ["path", "content_hash"], "left_semi")
-        notes = self._put("notes", kept.unionByName(note_rows(scanned.join(seen, ["path", "hash"], "left_anti"), self.now)))
+        stay = before.join(scanned.select("path", F.col("hash").alias("content_hash")), ["path", "content_hash"], "left_semi")
+        notes = self._put("notes", stay.unionByName(note_rows(scanned.join(seen, ["path", "hash"], "left_anti"), self.now)))
         docs = self.documents(scores=False)
         had = self.table("chunks") if incremental else self.table("chunks").limit(0)
         same = had.join(docs.select(F.col("id").alias("document_id"), "body_hash"), ["document_id", "body_hash"], "left_semi")
         fresh = docs.join(had.select(F.col("document_id").alias("id"), "body_hash").distinct(), ["id", "body_hash"], "left_anti")
         cut = chunking.chunk(fresh, "id", "body").withColumnRenamed("source", "document_id").join(fresh.select(F.col("id").alias("document_id"), "body_hash"), "document_id")
-        chunks = self._put("chunks", same.unionByName(cut.select(*columns(CHUNKS))))
-        self._put("cells", similarity.hash_embedding(chunks, "chunk_id"))
+        cut = kept(cut.select(*columns(CHUNKS)), "cut")  # the chunker runs once
+        self._put("chunks", same.unionByName(cut))
+        cells = self.table("cells").join(same.select(F.col("chunk_id").alias("id")), "id", "left_semi")
+        self._put("cells", cells.unionByName(similarity.hash_embedding(cut, "chunk_id")))
         self._put("duplicates", relations.exact_duplicates(notes.where("error IS NULL")))
         self._put("links", relations.resolve_links(relations.extract_links(docs), docs))
         start, end = (F.get_json_object("frontmatter", f"$.{x}") for x in ("start", "end"))
@@ -204,9 +210,42 @@ class Vault:
 
     # ---- Writing: what is to be written comes back as (path, text)
 
-    def capture(self, new: DataFrame, similar: DataFrame, on_similar: str = "warn", force_new: bool = False) -> DataFrame:
+    def capture(self, new: DataFrame, similar: DataFrame | None = None, on_similar: str = "warn", force_new: bool = False) -> DataFrame:
+        """(id, decision, target) for texts (id, body); similar documents are looked for where none are given."""
+        similar = self.similar(new) if similar is None else similar
         return state.capture_plan(new, self.documents(scores=False).select("id", "body"), similar, on_similar, force_new)
 
+    def similar(self, new: DataFrame, threshold: float = 0.9) -> DataFrame:
+        """(new_id, id, score): for each text (id, body) the document whose mean chunk embedding is nearest, where that reaches ``threshold``."""
+        of = self.table("chunks").select(F.col("chunk_id").alias("id"), "document_id")
+        mean = self.table("cells").join(of, "id").groupBy("document_id", "bucket").agg(F.sum("w").alias("w"))
+        length = mean.groupBy("document_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
+        asked = similarity.hash_embedding(new, "id", "body").select(F.col("id").alias("new_id"), "bucket", F.col("w").alias("qw"))
+        score = mean.join(asked, "bucket").groupBy("new_id", "document_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot")).join(length, "document_id")
+        best = score.groupBy("new_id").agg(F.min(F.struct((-F.round(F.col("dot") / F.col("len"), 12)).alias("s"), F.col("document_id").alias("id"))).alias("b"))
+        return best.select("new_id", "b.id", (-F.col("b.s")).alias("score")).where(F.col("score") >= threshold)
+
+    def save(self, notes: DataFrame) -> None:
+        """Writes notes (path, frontmatter, body) into the folder, all or none, and indexes them."""
+        write_notes(notes, self.folder, self.now)
+        self.index()
+
+    def tick(self, apply: bool = False) -> DataFrame:
+        """One round of upkeep: notes the tables' versions as a backup, indexes, plans or does what has expired or decayed, and writes a line
+        for it into the day's journal page; the tombstones of what is or would be archived.  The versions are in the table ``backups``."""
+        before = [(self.now, name, v[-1]) for name, v in self.versions().items() if v]
+        had = self.tables.read("backups", BACKUPS)
+        self.tables.write("backups", had.unionByName(self.spark.createDataFrame(before, "at string, name string, version string").select(F.col("at").cast("timestamp").alias("at"), "name", "version")))
+        self.index()
+        plan = kept(lifecycle.maintenance(self.documents(scores=False), self.documents(), self.now, self.weights), "tick")
+        self._archive(plan, not apply)
+        said = plan.agg(F.count("*").alias("n")).select(moment(self.now).alias("at"), F.concat(F.lit("tick: "), F.col("n").cast("string"), F.lit(" archived" if apply else " to archive")).alias("text"))
+        notes = self.table("notes").where("error IS NULL")
+        pages = capturing.journal(notes.select("path", "title", "body"), said).join(said.select(journal_path(F.col("at")).alias("path")), "path", "left_semi")
+        pages = pages.join(notes.select("path", "frontmatter"), "path", "left").select("path", F.coalesce("frontmatter", F.to_json(F.struct("title"))).alias("frontmatter"), "body")
+        self.save(kept(pages, "pages"))
+        return plan
+
     def append(self, entries: DataFrame) -> DataFrame:
         """Notes to write, (path, text), after entries (id, at, text) for notes that are there."""
         docs = self.documents(scores=False).join(entries.select("id").distinct(), "id", "left_semi")

@@ -84,18 +84,20 @@ def test_converters(spark):
     assert convert.pdf_pages(rows.where("path = 'b.pdf'")).first().error in ("no PDF converter is installed", "not a PDF") or convert.installed()
 
 
-def test_renames_are_undone(spark, tmp_path):
+def test_renames_are_undone(spark, tmp_path, tmp_path_factory):
     (tmp_path / "c").mkdir()
     for name in ("a.pdf", "b.pdf", "copy.pdf", "C_x_notes.pdf"):
         (tmp_path / "c" / name).write_text(name)
     plan = spark.createDataFrame([(1, "c/a.pdf", "c/C_x_notes.pdf"), (2, "c/gone.pdf", "c/y.pdf"), (3, "c/b.pdf", "c/z.pdf")], "id long, old_path string, new_path string")
-    log = str(tmp_path / "log.json")
+    log = Tables(spark, f"file://{tmp_path_factory.mktemp('log')}")
     done = filing.apply_renames(plan, str(tmp_path), log)
-    assert [(d["id"], d["to"]) for d in done] == [(1, "c/C_x_notes-1.pdf"), (3, "c/z.pdf")] and (tmp_path / "c" / "C_x_notes-1.pdf").read_text() == "a.pdf"
+    assert sorted((d.id, d.to_path) for d in done.collect()) == [(1, "c/C_x_notes-1.pdf"), (3, "c/z.pdf")] and (tmp_path / "c" / "C_x_notes-1.pdf").read_text() == "a.pdf"
     catalog = spark.createDataFrame([(1, "c/a.pdf", False), (2, "c/gone.pdf", False)], "id long, current_path string, renamed boolean")
     assert [tuple(r) for r in filing.renamed(catalog, done).orderBy("id").collect()] == [(1, "c/C_x_notes-1.pdf", True), (2, "c/gone.pdf", False)]
     back = filing.undo_renames(str(tmp_path), log)
-    assert {d["to"] for d in back} == {"c/a.pdf", "c/b.pdf"} and json.loads(open(log).read()) == [] and filing.undo_renames(str(tmp_path), log) == []
+    assert {d.to_path for d in back.collect()} == {"c/a.pdf", "c/b.pdf"} and log.read("renames", filing.RENAMES).count() == 0 and filing.undo_renames(str(tmp_path), log).count() == 0
+    many = spark.createDataFrame([(i, f"c/{n}.pdf", "c/C_x_notes.pdf") for i, n in enumerate(("a", "b", "copy"))], "id long, old_path string, new_path string")
+    assert sorted(r.new_path for r in filing.free_names(many, filing.present(spark, str(tmp_path))).collect()) == ["c/C_x_notes-1.pdf", "c/C_x_notes-2.pdf", "c/C_x_notes-3.pdf"]
     copies = spark.createDataFrame([("c/copy.pdf",)], "path string")
     assert filing.delete_duplicate_files(copies, str(tmp_path)) == ["c/copy.pdf"] and (tmp_path / "c" / "copy.pdf").exists()
     filing.delete_duplicate_files(copies, str(tmp_path), sure=True)

@@ -84,3 +84,18 @@ def test_change_prune_restore(vault):
     more = v.spark.createDataFrame([("TRP", "2", "b"), ("TRP", "1", "a")], "id string, at string, text string")
     assert v.append(more).first().text.endswith("A trip to the sea.\n\na\nb\n")
     assert len(v.versions()["notes"]) >= 3
+
+
+def test_tick_and_capture(spark, tmp_path):
+    write(tmp_path, "10-a/one.md", "---\nid: ONE\nexpires: 2026-01-01\n---\n# One\nSome words about engines and budgets.")
+    v = Vault(spark, str(tmp_path), f"file://{tmp_path}/.tables", NOW)
+    v.index()
+    new = spark.createDataFrame([("a", "# One\nSome words about engines and budgets!"), ("b", "nothing like it"), ("c", "nothing like it")], "id string, body string")
+    assert {r.id: (r.decision, r.target) for r in v.capture(new, on_similar="append").collect()} == {"a": ("append", "ONE"), "b": ("create", None), "c": ("duplicate", "b")}
+    assert [r.document_id for r in v.tick().collect()] == ["ONE"] and v.tombstones().count() == 0
+    assert [r.document_id for r in v.tick(apply=True).collect()] == ["ONE"] and v.tombstones().count() == 1
+    page = [p for p in tmp_path.rglob("*.md") if p.name != "one.md"]
+    assert len(page) == 1 and page[0].read_text().count("tick: 1") == 2 and "tick: 1 to archive" in page[0].read_text()
+    backups = v.tables.read("backups", "at timestamp, name string, version string").collect()
+    assert {r.name for r in backups} >= {"notes", "chunks", "cells"}
+    assert v.get_note("ONE").count() == 1 and v.table("cells").select("id").distinct().count() == v.table("chunks").count()
