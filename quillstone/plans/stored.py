@@ -75,10 +75,10 @@ def vector_table_archived(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), c AS (SELECT a.id AS a, b.id AS b, list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) AS s FROM e a JOIN e b ON a.id < b.id)
-SELECT a, b, round(s, 6) AS similarity FROM c WHERE s >= 0.8""")
+SELECT a, b, round(s, 6) AS similarity FROM c WHERE s >= 0.4""")
 def near_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """All pairs of embeddings that are near each other."""
-    return nearjoin.near_pairs(_vectors(spark, sf).select("id", "v"), 0.8).select("a", "b", _r("similarity").alias("similarity"))
+    return nearjoin.near_pairs(_vectors(spark, sf).select("id", "v"), 0.4).select("a", "b", _r("similarity").alias("similarity"))
 
 
 # ---- Streams, tables by bucket, the chunker in SQL
