@@ -175,7 +175,7 @@ def test_a_digest_that_gains_nothing_stays(spark):
     rows = [("m1", ["CATEGORY_UPDATES"], "s", "1706745600000", ([("From", "x"), ("Subject", "y")],)), ("m2", ["INBOX"], "s", "1706745600000", ([("From", "x")],)), (None, None, None, None, None)]
     messages = spark.createDataFrame(rows, kind)
     first, summary = syncing.sync_messages(spark.createDataFrame([], syncing.NOTES), messages, NOW)
-    assert {r.what: r.n for r in summary.collect()} == {"count": 3, "kept": 1, "digested": 1, "skipped": 1, "created": 2, "class:bulk": 1, "class:personal": 1}
+    assert {r.what: r.n for r in summary.collect()} == {"count": 3, "kept": 1, "digested": 1, "repeated": 0, "skipped": 1, "created": 2, "class:bulk": 1, "class:personal": 1}
     first = spark.createDataFrame(first.collect(), syncing.NOTES)
     again, summary = syncing.sync_messages(first, messages, "2024-03-01 00:00:00")
     assert {r.what: r.n for r in summary.where("what IN ('created', 'updated', 'unchanged')").collect()} == {"unchanged": 2}
