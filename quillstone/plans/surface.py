@@ -203,7 +203,7 @@ def capture_paths(spark: SparkSession, sf: str) -> DataFrame:
     docs = d.where("doc_id % 3 = 0").select(F.lit("d").alias("id"), F.lit("other").alias("body"), F.concat(F.lit("00-inbox/note-"), F.pmod("doc_id", F.lit(40)).cast("string"), F.lit(".md")).alias("path"))
     none = spark.createDataFrame([], "new_id long, id string, score double")
     notes = capturing.capture(new, docs, none, NOW)[1]
-    stem = F.regexp_replace("path", r"^(.*/note-\d+)(-[0-9a-z]{6})?\.md$", "$1")
+    stem = F.regexp_replace("path", r"^(.*/note-\d+)(-[0-9a-z]{6}|-[0-9a-z]{26})?\.md$", "$1")
     return notes.groupBy(stem.alias("stem")).agg(F.count("*").alias("n"), F.count_if(F.col("path").rlike(r"/note-\d+\.md$")).alias("plain"), F.count_distinct("path").alias("paths"))
 
 

@@ -182,3 +182,18 @@ def test_a_digest_that_gains_nothing_stays(spark):
     assert sorted(map(str, again.collect())) == sorted(map(str, first.collect()))
     assert syncing.sync_messages(first.limit(0), messages, NOW, digest=False)[0].count() == 1
     assert syncing.sync_messages(first.limit(0), messages, NOW, label="INBOX")[0].count() == 1
+
+
+def test_captured_paths_are_never_shared(spark):
+    """Two of these ids end in the same six digits; a document holds the short path of a third."""
+    same = (40226, 68679)
+    new = [(i, "T", "", f"b{i}") for i in (3, *same)]
+    rows = spark.createDataFrame(new, "id long, title string, category string, body string")
+    none = spark.createDataFrame([], "new_id long, id string, score double")
+    docs = lambda *paths: spark.createDataFrame([("d", "other", p) for p in paths], "id string, body string, path string")
+    paths = lambda d: {r.body: r.path for r in capturing.capture(rows, d, none, NOW)[1].collect()}
+    first = paths(docs("00-inbox/t.md"))
+    assert len(first) == 3 and len(set(first.values())) == 3 and sorted(len(p) for p in first.values()) == [len("00-inbox/t-123456.md")] * 2 + [len("00-inbox/t-.md") + 26]
+    other = first["# T\n\nb3"]
+    again = paths(docs("00-inbox/t.md", other))
+    assert other not in again.values() and len(set(again.values())) == 3
