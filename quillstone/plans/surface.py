@@ -47,7 +47,7 @@ def journal_pages(spark: SparkSession, sf: str) -> DataFrame:
     e = _t(spark, sf, "events")
     day = F.date_format("ts", "yyyy-MM-dd")
     pages = e.where("ts < '2024-01-10'").select(identity.journal_path(F.col("ts")).alias("path"), day.alias("title"), F.concat(F.lit("# "), day, F.lit("\nkept\n\n\n")).alias("body")).distinct()
-    return capturing.journal(pages, e.select(F.col("ts").alias("at"), F.concat(F.lit(" "), "event_type", F.lit(" "), F.col("event_id").cast("string"), F.lit(" ")).alias("text")))
+    return capturing.journal(pages, e.select(F.col("ts").alias("at"), F.col("event_id").alias("seq"), F.concat(F.lit(" "), "event_type", F.lit(" "), F.col("event_id").cast("string"), F.lit(" ")).alias("text")))
 
 
 @query("SELECT '2024-01-02T00:00:00Z' AS since, '2025-01-31T00:00:00Z' AS until")

@@ -197,3 +197,11 @@ def test_captured_paths_are_never_shared(spark):
     other = first["# T\n\nb3"]
     again = paths(docs("00-inbox/t.md", other))
     assert other not in again.values() and len(set(again.values())) == 3
+
+
+def test_journal_keeps_the_order_of_one_moment(spark):
+    at = "TIMESTAMP '2024-01-05 10:00:00'"
+    entries = spark.sql(f"SELECT * FROM VALUES ({at}, 'b', 2L), ({at}, 'a', 10L), ({at}, 'c', 1L) AS t(at, text, seq)")
+    pages = spark.createDataFrame([], "path string, title string, body string")
+    body = capturing.journal(pages, entries).first().body
+    assert [line for line in body.split("\n") if line in "abc" and line] == ["c", "b", "a"]
