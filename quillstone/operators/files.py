@@ -136,14 +136,14 @@ def scan(state: DataFrame, snapshot: DataFrame, rehash: bool = False) -> DataFra
 
 
 def find_documents(catalog: DataFrame, query: str, course: str | None = None, limit: int = 20) -> DataFrame:
-    """Files of which a name, title or course holds ``query``; % and _ in it are wildcards."""
+    """Files of which a name, title or course holds ``query``; % and _ in it are wildcards.  Equal names and paths come by id."""
     like = F.lit(f"%{query}%")
     hit = F.lit(False)
     for c in ("descriptive_name", "title", "original_filename", "course"):
         hit = hit | F.coalesce(F.ilike(F.col(c), like), F.lit(False))
     rows = catalog.where(~F.col("missing") & hit)
     rows = rows if course is None else rows.where(F.col("course") == course)
-    return rows.orderBy("course", "doc_type", "descriptive_name", "current_path").limit(limit)
+    return rows.orderBy("course", "doc_type", "descriptive_name", "current_path", "id").limit(limit)
 
 
 def list_courses(catalog: DataFrame) -> DataFrame:

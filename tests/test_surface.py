@@ -210,3 +210,9 @@ def test_journal_keeps_the_order_of_one_moment(spark):
 def test_fresh_state_counts_whole_seconds(spark):
     rows = spark.sql("SELECT 1 AS id, TIMESTAMP '2024-01-22 00:00:00' AS at UNION ALL SELECT 2, TIMESTAMP '2024-01-22 00:00:00.5' UNION ALL SELECT 3, TIMESTAMP '2024-01-22 00:00:01' UNION ALL SELECT 4, NULL")
     assert sorted(r.id for r in jobs.fresh(rows, NOW, 10).collect()) == [3, 4]
+
+
+def test_found_documents_of_equal_names_come_by_id(spark):
+    rows = [(i, "C/x.pdf", "C", "exam", "x", "x", "x.pdf", False) for i in range(60, 0, -1)]
+    catalog = spark.createDataFrame(rows, "id long, current_path string, course string, doc_type string, descriptive_name string, title string, original_filename string, missing boolean").repartition(4)
+    assert [r.id for r in files.find_documents(catalog, "x").collect()] == list(range(1, 21))
