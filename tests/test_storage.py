@@ -146,3 +146,18 @@ def test_vector_table_equals_a_scan(spark, tmp_path):
             want = np.lexsort((np.arange(600), -order))[:6]
             assert [got[q][i + 1][0] for i in range(6)] == want.tolist()
     assert table.search(asks.limit(0), 6).count() == 0
+
+
+def test_rows_are_copied_a_bounded_number_of_times(spark):
+    """A threshold that hardly rules anything out, and cells of few rows."""
+    x = np.random.default_rng(3).normal(size=(1500, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    assert nearjoin.dealt(df, 0.1, cell=8).count() <= len(x) * (nearjoin.CELLS // 2 + 1)
+
+
+def test_bucket_counts_shuffle_no_words(spark):
+    rows = spark.createDataFrame([(1, "a b a"), (1, "B"), (2, " "), (3, None), (4, "c")], "doc_id long, text string")
+    got = {(r.id, r.bucket): r.w for r in similarity.hash_embedding(rows).collect()}
+    assert sorted(got.values()) == pytest.approx([0.5**0.5, 0.5**0.5, 1.0]) and {i for i, _ in got} == {1, 4}
+    plan = similarity.hash_embedding(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
