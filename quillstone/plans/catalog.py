@@ -271,8 +271,8 @@ p AS (SELECT x.id AS a, y.id AS b, sum(x.w * y.w) AS s FROM k x JOIN k y ON x.bu
 def near_dups(spark: SparkSession, sf: str) -> DataFrame:
     docs = _t(spark, sf, "documents")
     first = docs.groupBy(tx.body_hash(F.col("text")).alias("h")).agg(F.min("doc_id").alias("doc_id"))
-    cells = similarity.hash_embedding(docs.join(first, "doc_id", "left_semi"))
-    return nearjoin.near_pairs(similarity.dense(cells), 0.99).select("a", "b", _r("similarity").alias("similarity"))
+    counts = similarity.bucket_counts(docs.join(first, "doc_id", "left_semi"))
+    return nearjoin.near_pairs(counts, 0.99).select("a", "b", _r("similarity").alias("similarity"))
 
 
 @query("WITH k AS (SELECT regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS key, p_partkey::VARCHAR AS name FROM part) SELECT key, count(*) AS n, string_agg(name, '; ' ORDER BY name) AS names FROM k WHERE length(key) >= 6 GROUP BY key HAVING count(*) > 1")
