@@ -185,7 +185,7 @@ FROM (SELECT *, min(doc_id) OVER (PARTITION BY sha256(trim(coalesce(text, ''))))
 def capture_similar(spark: SparkSession, sf: str) -> DataFrame:
     """Half of the documents captured into a vault of the other half: exact copies refused, near ones appended to the nearest."""
     d = _t(spark, sf, "documents")
-    v = similarity.dense(similarity.hash_embedding(d))
+    v = kept(similarity.bucket_counts(d), "counts")
     near = capturing.best_similar(v.where("id % 2 = 1"), v.where("id % 2 = 0"), 0.97)
     docs = d.where("doc_id % 2 = 0").groupBy(tx.body_hash(F.col("text")).alias("h")).agg(F.min("doc_id").alias("doc_id")).join(d.select("doc_id", "text"), "doc_id")
     docs = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("body"), F.lit("x").alias("path"))

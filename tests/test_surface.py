@@ -216,3 +216,16 @@ def test_found_documents_of_equal_names_come_by_id(spark):
     rows = [(i, "C/x.pdf", "C", "exam", "x", "x", "x.pdf", False) for i in range(60, 0, -1)]
     catalog = spark.createDataFrame(rows, "id long, current_path string, course string, doc_type string, descriptive_name string, title string, original_filename string, missing boolean").repartition(4)
     assert [r.id for r in files.find_documents(catalog, "x").collect()] == list(range(1, 21))
+
+
+def test_best_similar_brings_no_vector_to_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "vector_search", None)
+    x = np.random.default_rng(4).normal(size=(400, 4))
+    x[3] = 0
+    x[7] = x[9]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    u = x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)
+    score = np.round(u[1::2] @ u[::2].T, 12)
+    want = {(2 * i + 1, 2 * int(s.argmax())) for i, s in enumerate(score) if s.max() >= 0.9}
+    got = capturing.best_similar(df.where("id % 2 = 1"), df.where("id % 2 = 0"), 0.9).collect()
+    assert len(want) > 50 and {(r.new_id, r.id) for r in got} == want and len(got) == len(want)
