@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from math import log
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokenize
+from ..functions.text import or_empty, tokenize
 from ..session import kept
+from ..ship import ship
 from . import similarity
 from .lexical import B, K1, ranked
 
@@ -39,7 +46,8 @@ class Postings:
         """From ``entries`` (id, term, size, count) and ``sizes`` (id, size) of all rows, ``weight`` an expression over entries and ``mean``.
 
         Blocks are a class of size and a hash of the id: two rows of a task's count decide how many a class gets.  What is gathered is one
-        term's rows of one block, about ``block`` of them, so a term of every row is as many rows of the table as there are blocks.
+        term's rows of one block, about ``block`` of them, so a term of every row is as many rows of the table as there are blocks.  Entries are shuffled once, into the
+        order that the table is written in, and gathered as they pass by.  ``id`` and ``term`` occur together once.
         """
         kind = F.floor(2 * F.log2(F.lit(1.0) + F.col("size"))).cast("int").alias("kind")
         classes = sizes.groupBy(kind).agg(F.count("*").alias("n"), F.sum("size").alias("total"))
@@ -50,9 +58,8 @@ class Postings:
         many = classes.select("kind", F.ceil(F.col("n") / block).alias("parts"))
         rows = entries.withColumn("mean", mean).select("id", "term", weight.alias("w"), kind).join(F.broadcast(many), "kind")
         number = F.col("kind").cast("long") * F.lit(1 << 40) + F.pmod(F.xxhash64("id"), F.col("parts"))
-        packed = rows.groupBy("term", number.alias("block")).agg(F.array_sort(F.collect_list(F.struct("id", "w"))).alias("e"))
-        packed = packed.select("term", "block", F.size("e").cast("long").alias("n"), F.array_max("e.w").alias("most"), F.col("e.id").alias("ids"), F.col("e.w").alias("weights"))
-        ordered = packed.repartitionByRange(F.col("term"), F.col("block")).sortWithinPartitions("term", "block")
+        order = ("term", "block", "id", "w")
+        ordered = _packed(rows.select("term", number.alias("block"), "id", "w").repartitionByRange(F.col("term"), F.col("block")).sortWithinPartitions(*order))
         ordered.write.mode("overwrite").option("parquet.block.size", 8 << 20).option("parquet.page.size", 64 << 10).parquet(f"{self.root}/blocks")
         return self
 
@@ -102,13 +109,69 @@ class Postings:
         return cells.groupBy("query_id", "id").agg(F.sum("part").alias("score")).where("score > 0")
 
 
+def _packed(rows: DataFrame) -> DataFrame:
+    """(term, block, n, most, ids, weights) from (term, block, id, w) in order of term and block, which no partition shares with another."""
+    ship(rows.sparkSession)
+    term, ident = (rows.schema[c].dataType.simpleString() for c in ("term", "id"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pack(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+            w = table.column("w").combine_chunks().to_numpy(zero_copy_only=False)
+            offsets = pa.array(np.append(starts, table.num_rows).astype(np.int32))
+            at = pa.array(starts)
+            names = table.column("term").combine_chunks().take(at), table.column("block").combine_chunks().take(at)
+            columns = [*names, pa.array(np.diff(offsets.to_numpy()).astype(np.int64)), pa.array(np.maximum.reduceat(w, starts)), pa.ListArray.from_arrays(offsets, table.column("id").combine_chunks()), pa.ListArray.from_arrays(offsets, pa.array(w))]
+            return pa.RecordBatch.from_arrays(columns, ["term", "block", "n", "most", "ids", "weights"])
+
+        waiting: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = np.ones(batch.num_rows, bool)
+            before, after = batch.slice(0, batch.num_rows - 1), batch.slice(1)
+            new[1:] = np.logical_or(*(pc.not_equal(before.column(c), after.column(c)).to_numpy(zero_copy_only=False) for c in (0, 1)))
+            new[0] = not waiting or any(waiting[-1].column(c)[-1] != batch.column(c)[0] for c in (0, 1))
+            starts = np.flatnonzero(new)
+            if waiting and len(starts):
+                # the group that was open ends in this batch
+                done = pa.Table.from_batches([*waiting, batch.slice(0, starts[0])])
+                yield pack(done, np.zeros(1, np.int64))
+                waiting = []
+            if len(starts) > 1:
+                yield pack(pa.Table.from_batches([batch.slice(starts[0], starts[-1] - starts[0])]), starts[:-1] - starts[0])
+            waiting.append(batch.slice(starts[-1]) if len(starts) else batch)
+        if waiting:
+            yield pack(pa.Table.from_batches(waiting), np.zeros(1, np.int64))
+
+    return rows.mapInArrow(run, f"term {term}, block long, n long, most double, ids array<{ident}>, weights array<double>")
+
+
+def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, size, term, count) of the tokens of each text, counted where it is read; ids are unique."""
+    ship(docs.sparkSession)
+    ident = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = re.compile("[a-z0-9]+")
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                piece = batch.slice(at, 512)
+                found = [words.findall(t) for t in piece.column(1).to_pylist()]
+                counts = [Counter(f) for f in found]
+                row = pa.array(np.repeat(np.arange(len(counts)), [len(c) for c in counts]))
+                columns = [piece.column(0).take(row), pa.array([len(f) for f in found], pa.int64()).take(row), pa.array([t for c in counts for t in c], pa.string()), pa.array([n for c in counts for n in c.values()], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "size", "term", "count"])
+
+    return docs.select(F.col(id_col).alias("id"), F.lower(or_empty(F.col(text_col))).alias("text")).mapInArrow(run, f"id {ident}, size long, term string, count long")
+
+
 class Lexical(Postings):
     """BM25 over stored postings: a weight is the part of the score that does not depend on the question."""
 
     def index(self, docs: DataFrame, id_col: str = "chunk_id", text_col: str = "text", block: int = BLOCK) -> Lexical:
         rows = docs.select(F.col(id_col).alias("id"), tokenize(F.col(text_col)).alias("tokens"))
         sizes = rows.select("id", F.size("tokens").cast("long").alias("size"))
-        entries = rows.select("id", F.size("tokens").cast("long").alias("size"), F.explode("tokens").alias("term")).groupBy("id", "size", "term").agg(F.count("*").alias("count"))
+        entries = term_counts(docs, id_col, text_col)
         weight = F.col("count") * (K1 + 1) / (F.col("count") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
         self.build(entries, sizes, weight, block)
         return self

@@ -175,3 +175,21 @@ def test_vector_search_holds_few_scores_at_a_time(spark):
     for i, row in enumerate(order):
         best = np.lexsort((np.arange(len(x)), -row))[:5]
         assert [np.round(row[got[(100 * i, n)]], 9) for n in range(1, 6)] == np.round(row[best], 9).tolist()
+
+
+def test_postings_shuffle_entries_once(spark):
+    """Words are counted without a shuffle, and groups that span batches are gathered whole."""
+    docs = spark.createDataFrame([(i, "a b " + "a " * (i % 3)) for i in range(50)] + [(50, None)], "id long, text string")
+    counts = postings.term_counts(docs, "id", "text")
+    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+    assert {(r.id, r.size, r.term): r["count"] for r in counts.where("id = 2").collect()} == {(2, 4, "a"): 3, (2, 4, "b"): 1}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        rows = counts.select("term", F.pmod("id", F.lit(3)).alias("block"), "id", F.col("count").cast("double").alias("w"))
+        got = {(r.term, r.block): r for r in postings._packed(rows.repartitionByRange(2, "term", "block").sortWithinPartitions("term", "block", "id", "w")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 6
+    for (term, block), r in got.items():
+        assert r.ids == list(range(block, 50, 3)) and r.n == len(r.ids)
+        assert r.weights == [1.0 + (i % 3 if term == "a" else 0) for i in r.ids] and r.most == max(r.weights)
