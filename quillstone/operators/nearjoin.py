@@ -261,7 +261,7 @@ def near_pairs(vectors: DataFrame, threshold: float, cell: int = CELL, block: in
 
     Rows meet in the cells of ``dealt``.  A cell of more than ``block`` rows is cut into parts by a hash, each a task's; other rows pass by
     in batches, held against leaves that may reach them.  Zero vectors are near nothing; ids are unique; an empty table gives no pairs.
-    What is shuffled grows as the rows; products grow as the pairs that the bound leaves, a square of the rows in the end.
+    What is shuffled grows as the rows while cells are of one part; products grow as the pairs that the bound leaves, a square of the rows in the end.
     """
     if threshold <= 0:
         raise ValueError("a threshold of 0 or less rules nothing out")
