@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.time import digest_title, moment, week_key
-from ..session import shared_dir
+from ..session import kept, shared_dir
 from ..operators import chunking, files, knowledge, lexical, lifecycle, mail, nearjoin, relations, search, similarity, state
 from ..streaming import jobs
 
@@ -75,7 +75,7 @@ def _top(scores: DataFrame, k: int) -> DataFrame:
 
 @query(f"WITH {_bm25_sql('documents', _ASKS)} {_TOP.format(k=20)}")
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return _top(lexical.bm25(_t(spark, sf, "documents"), _ask(spark), "doc_id"), 20)
+    return _top(lexical.bm25_top(_t(spark, sf, "documents"), _ask(spark), 20, "doc_id"), 20)
 
 
 _EN = "(SELECT * FROM documents WHERE lang = 'en')"
@@ -83,13 +83,13 @@ _EN = "(SELECT * FROM documents WHERE lang = 'en')"
 
 @query(f"WITH {_bm25_sql(_EN, _ASKS)} {_TOP.format(k=20)}")
 def bm25_filtered(spark: SparkSession, sf: str) -> DataFrame:
-    return _top(lexical.bm25(_t(spark, sf, "documents").where("lang = 'en'"), _ask(spark), "doc_id"), 20)
+    return _top(lexical.bm25_top(_t(spark, sf, "documents").where("lang = 'en'"), _ask(spark), 20, "doc_id"), 20)
 
 
 @query(f"WITH {_bm25_sql('documents', '(SELECT item_id AS query_id, text FROM benchmark)')} {_TOP.format(k=10)}")
 def bm25_batch(spark: SparkSession, sf: str) -> DataFrame:
     asks = _t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return _top(lexical.bm25(_t(spark, sf, "documents"), asks, "doc_id"), 10)
+    return _top(lexical.bm25_top(_t(spark, sf, "documents"), asks, 10, "doc_id"), 10)
 
 
 def _vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -153,15 +153,14 @@ g AS (SELECT f.*, doc.text, doc.lang, row_number() OVER (ORDER BY {{late}} round
 
 
 def _hybrid(spark: SparkSession, sf: str, late: Column | None = None, k: int = 20) -> DataFrame:
-    """Both rankings of one question over documents, fused; the vector side is sparse, so it is a join, not a scan of arrays."""
+    """Both rankings of one question over documents, each by the best of every task, fused; texts are read for the hits."""
     docs, ask = _t(spark, sf, "documents"), _ask(spark)
-    asked = similarity.hash_embedding(ask, "query_id").select(F.col("id").alias("query_id"), "bucket", F.col("w").alias("qw"))
-    near = similarity.hash_embedding(docs).join(F.broadcast(asked), "bucket").groupBy("query_id", "id").agg(F.sum(F.col("w") * F.col("qw")).alias("score"))
-    words = lexical.bm25(docs, ask, "doc_id")
-    best = [lexical.ranked(x.withColumn("score", F.round("score", 9)), search.pool(k)) for x in (near, words)]
+    n = search.pool(k)
+    near, words = similarity.hash_top(docs, ask, n), lexical.bm25_top(docs, ask, n, "doc_id")
+    best = [lexical.ranked(x.withColumn("score", F.round("score", 9)), n) for x in (near, words)]
     archived = None if late is None else docs.where(late).select(F.col("doc_id").alias("id"))
-    hits = search.fuse(best, archived)
-    return hits.join(docs.select(F.col("doc_id").alias("id"), "text", "lang"), "id")
+    hits = kept(search.fuse(best, archived), "hits")
+    return docs.select(F.col("doc_id").alias("id"), "text", "lang").join(F.broadcast(hits), "id")  # twice ``n`` rows at most
 
 
 def _hits(rows: DataFrame) -> DataFrame:
