@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import snippet
+from ..session import kept
 from . import lexical, postings, similarity
 
 RRF_K = 60
 MODES = ("hybrid", "vector", "lexical")
 #: Characters that an answer may have, and hits it has, if nothing else is asked for.
 BUDGET, HITS = 6000, 8
+#: Most hits that are sent to the tasks, to be joined to their texts there.
+SENT = 100_000
 
 
 def pool(k: int) -> int:
@@ -58,29 +61,34 @@ def search(chunks: DataFrame, queries: DataFrame, k: int = HITS, mode: str = "hy
     ``chunks`` has chunk_id and text, and what a citation names, with status; filter it first (``scope``).  Either ranking brings
     ``pool(k)`` rows; ``cells``, the chunks' embeddings in long form, saves making them anew.  An unknown mode is hybrid, an
     unknown detail compact.  A query without tokens finds nothing, nor does the vector side find chunks that share no
-    bucket with it.  That side makes a row of each bucket that a chunk and a query share, summed before the shuffle;
-    for thousands of queries ``vector_search`` is the cheaper way.  ``has_more`` says that the budget left hits out.
+    bucket with it.  Without ``cells`` both sides send the queries to the texts, block by block, and each task keeps its best; with
+    them the vector side makes a row of each bucket that a chunk and a query share.  ``has_more`` says that the budget left hits out.
     """
     if k < 1:
         raise ValueError(f"k must be 1 or more, not {k}")
     mode = mode if mode in MODES else "hybrid"
-    rankings = []
-    if mode != "lexical":
+    n, rankings = pool(k), []
+    late = F.col("status") == "archived"
+    if mode != "lexical" and cells is None:
+        rankings.append(similarity.hash_top(chunks, queries, n, "chunk_id", late=late))
+    elif mode != "lexical":
         asked = similarity.hash_embedding(queries, "query_id").select(F.col("id").alias("query_id"), "bucket", F.col("w").alias("qw"))
-        cells = similarity.hash_embedding(chunks, "chunk_id") if cells is None else cells.join(chunks.select(F.col("chunk_id").alias("id")), "id", "left_semi")
-        rankings.append(cells.join(asked, "bucket").groupBy("query_id", "id").agg(F.sum(F.col("w") * F.col("qw")).alias("score")))
-        late = chunks.select(F.col("chunk_id").alias("id"), (F.col("status") == "archived").alias("late"))
-        rankings[0] = rankings[0].join(late, "id").withColumn("score", F.col("score") - F.when(F.col("late"), F.lit(2.0)).otherwise(F.lit(0.0)))
+        cells = cells.join(chunks.select(F.col("chunk_id").alias("id")), "id", "left_semi")
+        near = cells.join(asked, "bucket").groupBy("query_id", "id").agg(F.sum(F.col("w") * F.col("qw")).alias("score"))
+        near = near.join(chunks.select(F.col("chunk_id").alias("id"), late.alias("late")), "id")
+        rankings.append(near.withColumn("score", F.col("score") - F.when(F.col("late"), F.lit(2.0)).otherwise(F.lit(0.0))))
     if mode != "vector":
-        rankings.append(lexical.bm25(chunks, queries))
-    best = [lexical.ranked(r, pool(k)) for r in rankings]
-    hits = fuse(best, chunks.where("status = 'archived'").select(F.col("chunk_id").alias("id"))).where(F.col("rank") <= k)
-    hits = hits.join(chunks.withColumn("citation", citation()).select(F.col("chunk_id").alias("id"), "text", "citation"), "id")
+        rankings.append(lexical.bm25_top(chunks, queries, n))
+    best = [lexical.ranked(r, n) for r in rankings]
+    hits = kept(fuse(best, chunks.where(late).select(F.col("chunk_id").alias("id"))).where(F.col("rank") <= k), "hits")
+    few = hits.count() <= SENT
+    hits = chunks.withColumn("citation", citation()).select(F.col("chunk_id").alias("id"), "text", "citation").join(F.broadcast(hits) if few else hits, "id")
+    hits = kept(hits, "texts")
     full = detail == "full"
     found = hits.groupBy("query_id").agg(F.count("*").alias("_all"))
-    kept = within_budget(hits, max_chars, full)
-    more = kept.groupBy("query_id").agg(F.count("*").alias("_kept")).join(found, "query_id").select("query_id", (F.col("_kept") < F.col("_all")).alias("has_more"))
-    return kept.join(more, "query_id").select("query_id", "rank", F.round("score", 6).alias("score"), "snippet", *(["text"] if full else []), "used", "has_more", "citation")
+    within = within_budget(hits, max_chars, full)
+    more = within.groupBy("query_id").agg(F.count("*").alias("_kept")).join(found, "query_id").select("query_id", (F.col("_kept") < F.col("_all")).alias("has_more"))
+    return within.join(more, "query_id").select("query_id", "rank", F.round("score", 6).alias("score"), "snippet", *(["text"] if full else []), "used", "has_more", "citation")
 
 
 def stored(words: postings.Lexical, cells: postings.Cells, text: str, k: int = HITS, mode: str = "hybrid", archived: DataFrame | None = None) -> DataFrame:
