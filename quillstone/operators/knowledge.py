@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions.text import corpus_path
+from ..session import kept
 from ..sources.convert import Converter, to_markdown
 from ..sources.tables import Tables
 from . import chunking, lexical, relations, similarity, state
@@ -48,10 +49,13 @@ def search(chunks: DataFrame, query: str, k: int = HITS, cells: DataFrame | None
     """(rank, score, text, citation): vector search alone, scores to four places.  ``cells``, the stored embeddings, saves making them anew."""
     checked(query, k)
     spark = chunks.sparkSession
-    asked = similarity.hash_embedding(spark.range(1).select(F.lit(0).alias("query_id"), F.lit(query).alias("text")), "query_id").withColumnRenamed("id", "query_id")
-    cells = similarity.hash_embedding(chunks, "chunk_id") if cells is None else cells
-    hits = nearest(cells, asked, k).withColumnRenamed("id", "chunk_id")
-    return hits.join(chunks, "chunk_id").select("rank", F.round("score", 4).alias("score"), "text", citation().alias("citation")).orderBy("rank")
+    asks = spark.range(1).select(F.lit(0).alias("query_id"), F.lit(query).alias("text"))
+    if cells is None:
+        hits = lexical.ranked(similarity.hash_top(chunks, asks, k, "chunk_id"), k)
+    else:
+        hits = nearest(cells, similarity.hash_embedding(asks, "query_id").withColumnRenamed("id", "query_id"), k)
+    hits = kept(hits.withColumnRenamed("id", "chunk_id"), "hits")
+    return chunks.join(F.broadcast(hits), "chunk_id").select("rank", F.round("score", 4).alias("score"), "text", citation().alias("citation")).orderBy("rank")  # ``k`` hits
 
 
 def synthesize(query: str, chunks: DataFrame, contains: DataFrame, mentions: DataFrame, nodes: DataFrame, k: int = HITS, limit: int = 12, cells: DataFrame | None = None) -> DataFrame:
