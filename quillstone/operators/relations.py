@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import body_hash, link_keys, normal_title, segments, wikilinks
+from ..session import kept
 
 
 def extract_links(docs: DataFrame) -> DataFrame:
@@ -81,27 +82,43 @@ def graph_contains(chunks: DataFrame) -> DataFrame:
 
 #: Words of a title that texts are looked through for; longer titles are then matched in full.
 GRAM = 3
+#: First words of titles that are named in the scan of the texts, and titles and concepts that are sent to it.
+NAMED, SENT = 2_000, 20_000
 
 
 def _words(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(r"(?U)\w+"), F.lit(0))
 
 
+def _quoted(title: Column) -> Column:
+    """The pattern of a title as whole words."""
+    return F.concat(F.lit(r"(?U)\b"), F.regexp_replace(title, r"([^\p{L}\p{N}\s])", r"\\$1"), F.lit(r"\b"))
+
+
 def _mentioned(chunks: DataFrame, titles: DataFrame) -> DataFrame:
-    """(chunk_id, title) where a text holds a title of ``titles`` (title, lower-cased) as whole words.
+    """(chunk_id, title) where a text holds a title of ``titles`` (title, lower-cased) as whole words, but not under it.
 
-    A title's first ``GRAM`` words stand in a text that holds it, so hashes of the runs of so many words meet hashes of
-    titles in an equi-join; texts are not part of it, and titles are sent around only if Spark finds them small.  Texts
-    are then joined to the hits of titles that are more than one word, and matched in full.
+    A text that holds a title holds its first word.  Few titles go to the texts, which are looked through for their first words where they
+    are read; only texts that hold one meet the titles, and nothing but hits is shuffled.  Of many titles the first ``GRAM`` words
+    stand in a text that holds it, so hashes of the runs of so many words meet hashes of titles in an equi-join; texts are
+    then joined to the hits of titles that are more than one word, and matched in full.
     """
-    named = titles.withColumn("w", _words(F.col("title"))).where(F.size("w") > 0).select("title", F.xxhash64(F.slice("w", 1, GRAM)).alias("key"))
+    own = F.transform(segments(F.col("heading_path")), F.lower)
+    one = F.col("title").rlike(r"^(?U)\w+$")
+    named = kept(titles.withColumn("w", _words(F.col("title"))).where(F.size("w") > 0), "titles")
+    first = [r.first for r in named.select(F.col("w")[0].alias("first")).distinct().limit(NAMED + 1).collect()]
+    if len(first) <= NAMED and named.count() <= SENT:
+        rows = chunks.select("chunk_id", F.lower("text").alias("text"), own.alias("own"))
+        held = F.array_distinct(F.filter(F.regexp_extract_all("text", F.lit(r"(?U)\w+"), F.lit(0)), lambda w: w.isin(first)))
+        held = rows.withColumn("_first", F.explode(held))
+        met = held.join(F.broadcast(named.select(F.col("w")[0].alias("_first"), "title")), "_first").where(~F.array_contains("own", F.col("title")))
+        return met.where(one | F.contains("text", "title") & F.regexp("text", _quoted(F.col("title")))).select("chunk_id", "title")
+    keys = named.select("title", F.xxhash64(F.slice("w", 1, GRAM)).alias("key"))
     run = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.xxhash64(F.slice("w", i, n)))).otherwise(F.array().cast("array<bigint>"))
     runs = chunks.select("chunk_id", _words(F.col("text")).alias("w")).select("chunk_id", F.explode(F.array_distinct(F.concat(*(run(n + 1) for n in range(GRAM))))).alias("key"))
-    met = runs.join(named, "key").select("chunk_id", "title")
-    one = F.col("title").rlike(r"^(?U)\w+$")
-    quoted = F.concat(F.lit(r"(?U)\b"), F.regexp_replace("title", r"([^\p{L}\p{N}\s])", r"\\$1"), F.lit(r"\b"))
-    checked = met.where(~one).join(chunks.select("chunk_id", F.lower("text").alias("text")), "chunk_id").where(F.regexp("text", quoted)).select("chunk_id", "title")
-    return met.where(one).unionByName(checked)
+    met = runs.join(keys, "key").select("chunk_id", "title")
+    checked = met.where(~one).join(chunks.select("chunk_id", F.lower("text").alias("text")), "chunk_id").where(F.regexp("text", _quoted(F.col("title")))).select("chunk_id", "title")
+    return met.where(one).unionByName(checked).join(chunks.select("chunk_id", F.explode(own).alias("title")), ["chunk_id", "title"], "left_anti")
 
 
 def graph_mentions(chunks: DataFrame, least: int = 4) -> DataFrame:
@@ -110,9 +127,9 @@ def graph_mentions(chunks: DataFrame, least: int = 4) -> DataFrame:
     A word is what Unicode takes for one; a title without any is mentioned nowhere.
     """
     nodes = graph_nodes(chunks).where("kind = 'concept'").select(F.col("id").alias("dst"), F.lower("title").alias("title")).where(F.length("title") >= least)
-    own = chunks.select("chunk_id", F.explode(F.transform(segments(F.col("heading_path")), F.lower)).alias("title"))
-    hits = _mentioned(chunks, nodes.select("title").distinct()).join(own, ["chunk_id", "title"], "left_anti")
-    return hits.join(nodes, "title").select(F.col("chunk_id").alias("src"), "dst", F.lit("mentions").alias("kind")).distinct()
+    nodes = kept(nodes, "concepts")
+    hits = _mentioned(chunks, nodes.select("title").distinct())
+    return hits.join(F.broadcast(nodes) if nodes.count() <= SENT else nodes, "title").select(F.col("chunk_id").alias("src"), "dst", F.lit("mentions").alias("kind")).distinct()
 
 
 def related_concepts(contains: DataFrame, mentions: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.operators import lexical, search, similarity, topk
+from quillstone.operators import chunking, lexical, relations, search, similarity, topk
 
 WORDS = ["apple", "pear", "plum", "fig", "kiwi", "the", "of", "zx9"]
 
@@ -56,3 +57,30 @@ def test_search_shuffles_no_texts(spark):
     got = search.search(chunks, asks, k=4, max_chars=10**6)
     assert {(r.query_id, r["rank"], r.has_more) for r in got.collect()} == {(1, i, False) for i in range(1, 5)}
     assert "apple" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("many", [False, True])
+def test_titles_are_looked_for_where_texts_are_read(spark, monkeypatch, many):
+    """Titles of one word and more, with signs, under their own heading, in longer words; few titles shuffle nothing, many find the same."""
+    if many:
+        monkeypatch.setattr(relations, "NAMED", 0)
+    heads = ["Heat > Cold fusion", "Heat > C++ (draft)", "Übersicht: eins > Heat", "Deep > Heat pump", "!!!!"]
+    said = ["cold fusion, heat", "COLD-FUSION and heat pumps; heat", "c++ (draft)x deep", "ÜBERSICHT: eins, heat pump!", None, "xx c++ (draft) deep-heat"]
+    rows = [(f"c{i}", "s", heads[i % 5], said[i % 6]) for i in range(30)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, source string, heading_path string, text string")
+    got = relations.graph_mentions(chunks)
+    # as \b has it, a sign at the end of a title is followed by a word
+    titles = {"c++ (draft)": ["Heat > C++ (draft)"], "heat": ["Heat", "Übersicht: eins > Heat"], "cold fusion": ["Heat > Cold fusion"], "übersicht: eins": ["Übersicht: eins"], "deep": ["Deep"], "heat pump": ["Deep > Heat pump"]}
+    held = [{"cold fusion", "heat"}, {"heat"}, {"c++ (draft)", "deep"}, {"übersicht: eins", "heat", "heat pump"}, set(), {"deep", "heat"}]
+    want = {(f"c{i}", n) for i in range(30) for t in held[i % 6] - {x.lower() for x in heads[i % 5].split(" > ")} for n in titles[t]}
+    assert sorted((r.src, r.dst) for r in got.collect()) == sorted(want)
+    if not many:
+        names = spark.createDataFrame([("heat",), ("cold fusion",)], "title string")
+        assert "Exchange hashpartitioning" not in relations._mentioned(chunks, names)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_chunks_are_handed_on_in_bounded_pieces():
+    text = pa.array(["# A\n" + "x" * (chunking.HELD // 4)] * 9 + ["y"] * 20 + [None])
+    out = list(chunking._cut([pa.RecordBatch.from_arrays([pa.array(map(str, range(30))), text], ["s", "t"])] * 2, 650, 0.1))
+    assert sum(b.num_rows for b in out) == 2 * sum(len(list(chunking.chunks(t or ""))) for t in text.to_pylist())
+    assert len(out) > 3 and max(b.nbytes for b in out) < 2 * chunking.HELD
