@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -121,28 +122,39 @@ def delivered_once(items: DataFrame, key: str, ttl_seconds: float) -> DataFrame:
     return items.groupBy(key).transformWithStateInPandas(_Seen(int(1000 * ttl_seconds)), outputStructType=items.schema, outputMode="Append", timeMode="ProcessingTime")
 
 
+#: Parts of a digest's lines, by a hash of the message.
+PARTS = 1024
+
+
 class _Digests(StatefulProcessor):
-    """Per week a map from message to line; a digest is rendered anew when a line was added or changed."""
+    """Per week the lines of its messages, in parts; a digest is rendered anew when a line was added or changed.
+
+    A batch reads and writes each part that it touches once, however many messages it has.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.lines = handle.getMapState("lines", "message_id string", "line string")
+        self.lines = handle.getMapState("lines", "part int", "ids array<string>, lines array<string>")
         self.title = handle.getValueState("title", "title string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        changed = False
+        held = self.title.get()
+        title, new = held and held[0], {}
         for frame in rows:
-            for message, title, line in zip(frame["message_id"].astype(str), frame["title"], frame["line"], strict=True):
-                old = self.lines.getValue((message,)) if self.lines.containsKey((message,)) else None
-                if old is None or old[0] != line:
-                    self.lines.updateValue((message,), (line,))
-                    changed = True
-                held = self.title.get()
-                if held is None or title > held[0]:
-                    self.title.update((title,))
-                    changed = True
+            for message, name, line in zip(frame["message_id"].astype(str), frame["title"], frame["line"], strict=True):
+                new.setdefault(crc32(message.encode()) % PARTS, {})[message] = line
+                title = name if title is None or name > title else title
+        changed = held is None or title != held[0]
+        if changed:
+            self.title.update((title,))
+        for part, lines in new.items():
+            old = self.lines.getValue((part,)) if held is not None and self.lines.containsKey((part,)) else None
+            had = {} if old is None else dict(zip(old[0], old[1], strict=True))
+            now = had | lines
+            if now != had:
+                self.lines.updateValue((part,), (list(now), list(now.values())))
+                changed = True
         if changed:
-            lines = sorted((v[0] for _, v in self.lines.iterator()), reverse=True)
-            title = self.title.get()[0]
+            lines = sorted((line for _, v in self.lines.iterator() for line in v[1]), reverse=True)
             body = f"# {title}\n\n{len(lines)} message(s) rolled up from bulk/list mail.\n\n" + "\n".join(lines) + f"\n\n<!-- source_ref: {key[0]} -->\n"
             yield pd.DataFrame({"source_ref": [key[0]], "title": [title], "n": [len(lines)], "body": [body]})
 

@@ -2,11 +2,13 @@
 
 import random
 
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quillstone.operators import chunking, lexical, relations, search, similarity, topk
+from quillstone.streaming import stateful
 
 WORDS = ["apple", "pear", "plum", "fig", "kiwi", "the", "of", "zx9"]
 
@@ -84,3 +86,26 @@ def test_chunks_are_handed_on_in_bounded_pieces():
     out = list(chunking._cut([pa.RecordBatch.from_arrays([pa.array(map(str, range(30))), text], ["s", "t"])] * 2, 650, 0.1))
     assert sum(b.num_rows for b in out) == 2 * sum(len(list(chunking.chunks(t or ""))) for t in text.to_pylist())
     assert len(out) > 3 and max(b.nbytes for b in out) < 2 * chunking.HELD
+
+
+def test_a_digest_reads_and_writes_its_state_by_parts():
+    """A batch of many messages touches the state as often as there are parts, not as there are messages."""
+    calls = []
+
+    class State(dict):
+        exists = lambda self: bool(self)
+        get = lambda self: dict.get(self, "v")
+        update = lambda self, v: self.__setitem__("v", v)
+        iterator = lambda self: iter(self.items())
+        containsKey = lambda self, k: calls.append(k) or k in self
+        getValue = lambda self, k: calls.append(k) or self[k]
+        updateValue = lambda self, k, v: calls.append(k) or self.__setitem__(k, v)
+
+    week = stateful._Digests()
+    week.lines, week.title = State(), State()
+    batch = lambda a, b: [pd.DataFrame({"message_id": [str(i) for i in range(a, b)], "title": "T", "line": [f"- {i:06d}" for i in range(a, b)]})]
+    assert [r.n[0] for r in week.handleInputRows(("w",), iter(batch(0, 9000)), None)] == [9000]
+    got = list(week.handleInputRows(("w",), iter(batch(5000, 12000)), None))
+    assert got[0].n[0] == 12000 and got[0].body[0].split("\n")[4] == "- 011999"
+    assert list(week.handleInputRows(("w",), iter(batch(0, 12000)), None)) == []
+    assert len(calls) <= 6 * stateful.PARTS
