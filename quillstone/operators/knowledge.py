@@ -144,7 +144,7 @@ def ingest(store: Store, raw: DataFrame, incremental: bool = True, rebuild_graph
     corpus = tables.read("corpus", _CORPUS)
     keyed = corpus.select(F.concat(F.lit("corpus:"), "source").alias("key"), "hash", "source", "text")
     fresh = keyed.join(before.select("key", "hash"), ["key", "hash"], "left_anti")
-    cut = chunking.chunk(fresh, **({} if target is None else {"target": target}))
+    cut = kept(chunking.chunk(fresh, **({} if target is None else {"target": target})), "cut")  # the chunker runs once
     had = store.sources()
     removed = had.join(corpus.select("source"), "source", "left_anti")
     tables.write("removed", removed)
