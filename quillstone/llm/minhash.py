@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .common import lean, lean_group, passes, small_batches, written
 from .flat import Words, arrays, mix, shingle_sets, texts
 from .graph import components
+from .sieve import Sieve, sieve
 
 #: Bins of the one permutation and bins of a band; a pair at similarity 0.8 meets in no band with odds of 5e-8.
 BINS, BAND = 128, 4
@@ -76,9 +77,14 @@ def _sign(k: int):
     return lean(run)
 
 
-def _sets(k: int):
+def _sets(k: int, tied: Sieve):
+    def some(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(batch.column(0).is_valid())
+            yield batch.filter(pa.array(tied.passes(batch.column(0).to_numpy())))
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in passes(batches, "text"):
+        for batch in passes(some(batches), "text"):
             sets, bounds = shingle_sets(Words(*texts(batch.column(1))), k)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *_equal(sets, bounds), arrays(sets.view(np.int64), bounds)], ["doc_id", "k1", "k2", "set"])
 
@@ -195,7 +201,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
        buckets each is compared with another pivot, and last blocks are compared with blocks.  So no link within a bucket that
        would join components is lost and no row is made for a pair.
 
-    Rows of hot buckets are dealt to salts, those of hot keys meet broadcast rows.
+    Rows of hot buckets are dealt to salts, those of hot keys meet broadcast rows.  Texts, sets and bands that meet nothing are kept from
+    shuffles by sieves of bounded size.
 
     Null texts count as empty; documents without words have no shingles and no links.  A null id is linked with nothing and
     has a null component_id.  Rows that repeat an id are documents of their own, each linked by its own text; with equal sets they are one.
@@ -212,15 +219,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     entries = nodes.select(F.col("node").alias("doc_id"), "n", F.explode("bands").alias("band"))
     shared = entries.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
     shared = written(shared, "shared")
+    entries = entries.where(sieve(shared.select("band")).column("band"))
     entries = _meet(entries, shared.withColumn("rows", F.col("size")), "band", nodes.count() * (BINS // BAND))
     entries = written(_salted(entries, F.col("rows")).select("band", "salt", "cuts", "doc_id", "n").distinct(), "entries")
     tied = entries.select(F.col("doc_id").alias("node")).distinct()
     if clash:
         tied = tied.join(nodes, "node").select("node", "k1", "k2", F.col("rep").alias("doc_id"))
-        sets = rows.join(tied.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc_id long, k1 long, k2 long, set array<long>")
+    else:
+        tied = tied.withColumnRenamed("node", "doc_id")
+    tied = written(tied, "tied")
+    # Texts are not shuffled to find those of tied documents; what else passes the sieve goes as sets are joined.
+    sets = rows.mapInArrow(_sets(shingle, sieve(tied.select("doc_id").distinct())), "doc_id long, k1 long, k2 long, set array<long>")
+    if clash:
         sets = sets.join(tied, ["doc_id", "k1", "k2"]).select(F.col("node").alias("doc_id"), "set")
     else:
-        sets = rows.join(tied.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc_id long, k1 long, k2 long, set array<long>").select("doc_id", "set")
+        sets = sets.select("doc_id", "set").join(tied, "doc_id", "left_semi")
     sets = written(sets.dropDuplicates(["doc_id"]), "sets")
 
     def possible(na: Column, ka: Column, nb: Column, kb: Column) -> Column:
@@ -249,8 +262,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
         return _with_bucket(entries, least=F.min("comp"), most=F.max("comp")).where("least < most").drop("least", "most")
 
     def shared_shingles(entries: DataFrame) -> DataFrame:
-        """(doc_id, s, df): the shingles of the documents of ``entries`` that more than one of them has, and how many have it."""
-        own = written(sets.join(entries.select("doc_id").distinct(), "doc_id", "left_semi"), "own")
+        """(doc_id, s, df): the shingles of the documents of ``entries`` that more than one of them has, and how many have it.
+
+        A few other documents may pass the sieve and count too: shingles are then held for shared that are not, and no bound gets too tight.
+        """
+        own = written(sets.where(sieve(entries.select("doc_id").distinct()).column("doc_id")), "own")
         total = own.agg(F.sum(F.size("set"))).first()[0] or 0
         own = own.select("doc_id", F.explode("set").alias("s"))
         common = written(own.groupBy("s").agg(F.count("*").alias("size")).where("size > 1"), "common")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import lean, let_go, passes, small_batches, written
 from .flat import gram_hashes, mix, powers, texts
+from .sieve import Sieve, sieve
 
 #: Period of the difference cover: a bucket is sorted by this many bytes, longer ties by the sample's ranks.
 PERIOD = 32
@@ -214,14 +215,9 @@ def pieces(data: np.ndarray, starts: np.ndarray, length: int, most: int | None =
 def _grams(length: int, gram: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in passes(batches, "text", PASS):
-            rows = batch.column(0).to_numpy()
-            for d, data, starts, _ in pieces(*texts(batch.column(1)), length):
-                doc, h, *_ = anchors(data, starts, length, gram)
-                order = np.lexsort((h, doc))
-                doc, h = doc[order], h[order]
-                start = np.flatnonzero(_new(h, doc))
-                times = np.diff(np.append(start, len(h)))
-                yield pa.RecordBatch.from_pydict({"gram": pa.array(h[start].view(np.int64)), "row": pa.array(rows[doc[start] + d]), "times": pa.array(times.astype(np.int32))})
+            for _, data, starts, _ in pieces(*texts(batch.column(0)), length):
+                h, times = np.unique(anchors(data, starts, length, gram)[1], return_counts=True)
+                yield pa.RecordBatch.from_pydict({"gram": pa.array(h.view(np.int64)), "times": pa.array(times.astype(np.int32))})
 
     return lean(run)
 
@@ -300,8 +296,8 @@ def _again(key: np.ndarray, d1: np.ndarray, d2: np.ndarray, doc: np.ndarray, row
     return again, new
 
 
-def _places(length: int, gram: int):
-    """From documents with their shared grams to (key, d1, d2, doc_id, row, lo, hi, at, bytes), ``at`` the gram's place in bytes: of equal contexts in a task the earliest has
+def _places(length: int, gram: int, shared: Sieve, hot: Sieve):
+    """From documents and sieves of the shared and the hot grams to (key, d1, d2, doc_id, row, lo, hi, at, bytes), ``at`` the gram's place in bytes: of equal contexts in a task the earliest has
     its bytes, as has each other row with the same doc_id and place; the others are repeats already, have none, and get a key of their own."""
 
     def emit(held: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -333,19 +329,14 @@ def _places(length: int, gram: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, weight = [], 0
         for batch in passes(batches, "text", PASS):
-            ids, own_row = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 4))
-            shared = []
-            for col in (2, 3):
-                lists = batch.column(col)
-                values, offs = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), lists.offsets.to_numpy()
-                of = np.repeat(np.arange(len(offs) - 1, dtype=np.uint64), np.diff(offs))
-                shared.append(mix(values ^ mix(of)))
+            ids, own_row = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
             for d, data, starts, base in pieces(*texts(batch.column(1)), length):
                 doc, h, at, lo, hi = anchors(data, starts, length, gram)
                 if not len(h):
                     continue
-                own = mix(h ^ mix((doc + d).astype(np.uint64)))
-                pick, spread = (np.flatnonzero(np.isin(own, x)) for x in shared)
+                some = np.flatnonzero(shared.passes(h))
+                often = hot.passes(h[some])
+                pick, spread = some[~often], some[often]
                 reps = hi[spread] - lo[spread] + 1
                 single = _runs(lo[spread], reps)
                 who = np.concatenate((doc[pick], np.repeat(doc[spread], reps)))
@@ -496,7 +487,7 @@ def repeated_bytes(docs: DataFrame, length: int = 100, gram: int = GRAM, hot: in
 
     1. Each window of ``length`` bytes is tied to its least-hashed gram; grams seen once cannot lie in a repeated window
        and are dropped after a count with map-side sums.
-    2. Rows get back the grams they share.  Of runs of windows around such grams (contexts) that are equal as a whole, byte by byte, each
+    2. Texts are read again with a sieve of the grams that are shared, of bounded size; the few others that pass meet nothing in step 3.  Of runs of windows around such grams (contexts) that are equal as a whole, byte by byte, each
        task keeps one, the earliest; the others are repeats already.  Windows of grams with over ``hot`` places go one by one, by
        their digest, so no key holds more than tasks have distinct contents.
     3. Contexts of one gram meet in a task and are read in order.  Equal ones again leave but one.  Blocks of the rest go through the
@@ -516,21 +507,18 @@ def repeated_bytes(docs: DataFrame, length: int = 100, gram: int = GRAM, hot: in
     more = [F.col(c).alias(f"_carry{i}") for i, c in enumerate(carry)]
     texts_of = docs.select(own_id.alias("doc_id"), text.alias("text"), F.xxhash64(own_id, text).alias("row"), *more)
     rows = texts_of.select("doc_id", "text", "row")
-    grams = rows.select("row", "text").mapInArrow(_grams(length, gram), "gram long, row long, times int")
-    shared = grams.groupBy("gram").agg(F.sum("times").alias("n")).where("n > 1")
-    mine = grams.select("gram", "row").join(shared, "gram").groupBy("row").agg(
-        F.collect_set(F.when(F.col("n") <= hot, F.col("gram"))).alias("grams"), F.collect_set(F.when(F.col("n") > hot, F.col("gram"))).alias("hot")
-    )
-    mine = written(mine, "grams")
+    grams = rows.select("text").mapInArrow(_grams(length, gram), "gram long, times int")
+    shared = written(grams.groupBy("gram").agg(F.sum("times").alias("n")).where("n > 1"), "grams")
     let_go(docs.sparkSession)
-    places = rows.join(mine, "row").select("doc_id", "text", "grams", "hot", "row").mapInArrow(_places(length, gram), "key long, d1 long, d2 long, doc_id long, row long, lo long, hi long, at long, bytes binary")
+    of = [sieve(x.select("gram")) for x in (shared, shared.where(F.col("n") > hot))]
+    places = rows.mapInArrow(_places(length, gram, *of), "key long, d1 long, d2 long, doc_id long, row long, lo long, hi long, at long, bytes binary")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = places.repartition(parts, "key").sortWithinPartitions("key", "d1", "d2", "doc_id", "lo", "row")
     # Rows that are equal in id and text have equal spans, so the first to come of each may stand for all.
     spans = met.mapInArrow(_match(length, gram), "doc_id long, row long, lo long, hi long").repartition("row").groupBy("row", F.col("doc_id").alias("of")).agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if keep_text else "")
     schema += "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carry)
-    # The ids' comparison is not an equality, which would be a key of the join: by row alone, texts are dealt as for step 2, and not once more.
+    # The ids' comparison is not an equality, which would be a key of the join: spans are dealt by row alone already.
     same = F.col("doc_id").bitwiseXOR(F.col("of")) == 0
     out = texts_of.join(spans.withColumnRenamed("row", "_row"), (F.col("row") == F.col("_row")) & same, "left").select("doc_id", "text", "spans", *(f"_carry{i}" for i in range(len(carry))))
     out = out.mapInArrow(_cut(length, keep_text, list(carry)), schema)

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from quillstone.llm import minhash, suffix
+from quillstone.llm import common, minhash, suffix
 
 DOC = "doc_id long, text string, n_shingles string, bands string"
 
@@ -304,3 +304,43 @@ def test_gather_in_parts(monkeypatch):
         assert all(size[s].sum() <= most or s.stop - s.start == 1 for s in cuts)
     none = np.zeros(0, np.int64)
     assert suffix._gather(data, none, none).tobytes() == b"" and not list(suffix._slices(none, 5))
+
+
+def test_a_sieve_lets_all_its_keys_pass_and_few_others(spark):
+    from quillstone.llm.sieve import sieve
+
+    keys = np.random.default_rng(6).integers(-(1 << 63), (1 << 63) - 1, 300_000)
+    made = sieve(spark.createDataFrame(pa.table({"k": keys[:100_000]})))
+    assert made.passes(keys[:100_000]).all() and made.passes(keys[100_000:]).mean() < 0.01
+    rows = spark.createDataFrame(pa.table({"k": pa.array([None, *keys[:5].tolist()], pa.int64())}))
+    assert rows.where(made.column("k")).count() == 5
+    none = sieve(spark.createDataFrame([], "k long"))
+    assert not none.passes(keys).any() and rows.where(none.column("k")).count() == 0
+
+
+def test_texts_alone_of_their_kind_are_not_shuffled(spark, monkeypatch):
+    """Where nothing is broadcast, near duplicates shuffle no texts, and repeated bytes none but for the last join."""
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join("w" + str(x) for x in rng.integers(0, 10**6, 60))) for i in range(300)]
+    rows += [(300 + i, rows[i][1] + " more") for i in range(20)]
+    plans = []
+
+    def noted(df, label, real=common.written):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return real(df, label)
+
+    monkeypatch.setattr(minhash, "written", noted)
+    monkeypatch.setattr(suffix, "written", noted)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = common.written(spark.createDataFrame(rows, "doc_id long, text string"), "docs")
+        got = minhash.near_duplicates(docs)
+        assert got.where("NOT kept").count() == 20
+        for plan in plans:  # what is joined below the function that reads the texts
+            assert "MapInArrow" not in plan or "Join" not in plan[plan.rindex("MapInArrow") :]
+        cut = suffix.repeated_bytes(docs)
+        plan = cut._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join") == 1 and cut.where("n_removed > 0").count() == 20
+        assert "Join" not in plans[-1]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
