@@ -43,6 +43,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` for a join in which no side is broadcast: what Spark takes for small by its bytes in files is many times that as the driver builds it."""
+    return df.hint("merge")
+
+
 def drop(spark: SparkSession, since: int, but: int = 0) -> None:
     """Delete the tables ``made`` from number ``since`` on, but for the last ``but`` ones, which is for callers that read them no more."""
     jvm = spark._jvm

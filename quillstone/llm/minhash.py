@@ -11,7 +11,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, lean_group, passes, small_batches, written
+from .common import dealt, lean, lean_group, passes, small_batches, written
 from .flat import Words, arrays, mix, shingle_sets, texts
 from .graph import components
 from .sieve import Sieve, sieve
@@ -99,13 +99,13 @@ def _meet(rows: DataFrame, keyed: DataFrame, key: str, total: int) -> DataFrame:
     least = max(2, -(-total // HOT))
     hot = F.broadcast(keyed.where(F.col("size") >= least))
     cold = keyed.where(F.col("size") < least)
-    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key)).drop("size")
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(dealt(cold), key)).drop("size")
 
 
 def _with_bucket(entries: DataFrame, **of: Column) -> DataFrame:
     """``entries`` (band, salt, cuts, ...) with aggregates ``of`` each its whole bucket, which comes once for each salt."""
     buckets = entries.groupBy("band").agg(F.max("cuts").alias("_cuts"), *(c.alias(n) for n, c in of.items()))
-    return entries.join(buckets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("_cuts") - 1))).drop("_cuts"), ["band", "salt"])
+    return entries.join(dealt(buckets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("_cuts") - 1))).drop("_cuts")), ["band", "salt"])
 
 
 def _salted(entries: DataFrame, size: Column) -> DataFrame:
@@ -176,13 +176,14 @@ def blockwise(entries: DataFrame, sets: DataFrame, num: int, den: int, block: in
     bytes and work grow with the square of the tie.
     """
     ties = components(_with_bucket(entries, a=F.min("doc_id")).select("a", F.col("doc_id").alias("b")))
-    own = entries.select("doc_id", "n", "comp").distinct().join(ties.select(F.col("node").alias("doc_id"), F.col("comp").alias("tie")), "doc_id")
+    own = entries.select("doc_id", "n", "comp").distinct().join(dealt(ties.select(F.col("node").alias("doc_id"), F.col("comp").alias("tie"))), "doc_id")
     own = written(own, "own")
     blocks = own.groupBy("tie").agg(F.ceil(F.greatest(F.sum("n") / F.lit(block), F.count("*") / F.lit(BLOCK_DOCS))).cast("int").alias("blocks"))
-    dealt = own.join(blocks, "tie").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("doc_id", "comp", "tie", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    return dealt.join(sets, "doc_id").groupBy("tie", "i", "j").applyInArrow(_linked(num, den), "a long, b long")
+    held = own.join(dealt(blocks), "tie").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("blocks")).cast("int"))
+    held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    held = held.select("doc_id", "comp", "tie", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    sets = sets.where(sieve(own.select("doc_id")).column("doc_id"))
+    return held.join(dealt(sets), "doc_id").groupBy("tie", "i", "j").applyInArrow(_linked(num, den), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -202,7 +203,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
        would join components is lost and no row is made for a pair.
 
     Rows of hot buckets are dealt to salts, those of hot keys meet broadcast rows.  Texts, sets and bands that meet nothing are kept from
-    shuffles by sieves of bounded size.
+    shuffles by sieves of bounded size.  Nothing else is broadcast, whatever the session's threshold.
 
     Null texts count as empty; documents without words have no shingles and no links.  A null id is linked with nothing and
     has a null component_id.  Rows that repeat an id are documents of their own, each linked by its own text; with equal sets they are one.
@@ -224,16 +225,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     entries = written(_salted(entries, F.col("rows")).select("band", "salt", "cuts", "doc_id", "n").distinct(), "entries")
     tied = entries.select(F.col("doc_id").alias("node")).distinct()
     if clash:
-        tied = tied.join(nodes, "node").select("node", "k1", "k2", F.col("rep").alias("doc_id"))
+        tied = tied.join(dealt(nodes), "node").select("node", "k1", "k2", F.col("rep").alias("doc_id"))
     else:
         tied = tied.withColumnRenamed("node", "doc_id")
     tied = written(tied, "tied")
     # Texts are not shuffled to find those of tied documents; what else passes the sieve goes as sets are joined.
     sets = rows.mapInArrow(_sets(shingle, sieve(tied.select("doc_id").distinct())), "doc_id long, k1 long, k2 long, set array<long>")
     if clash:
-        sets = sets.join(tied, ["doc_id", "k1", "k2"]).select(F.col("node").alias("doc_id"), "set")
+        sets = sets.join(dealt(tied), ["doc_id", "k1", "k2"]).select(F.col("node").alias("doc_id"), "set")
     else:
-        sets = sets.select("doc_id", "set").join(tied, "doc_id", "left_semi")
+        sets = sets.select("doc_id", "set").join(dealt(tied), "doc_id", "left_semi")
     sets = written(sets.dropDuplicates(["doc_id"]), "sets")
 
     def possible(na: Column, ka: Column, nb: Column, kb: Column) -> Column:
@@ -243,12 +244,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are similar enough on full sets; a centre with many pairs comes once for each of its salts."""
-        pairs = pairs.distinct()
+        pairs = written(pairs.distinct(), "pairs")
+        own = sets.where(sieve(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()).column("doc_id"))
         cuts = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(SALTED)).cast("int").alias("cuts"))
-        centres = cuts.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-        salted = pairs.join(cuts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("cuts")).cast("int")).drop("cuts")
-        right = salted.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b")
-        full = right.join(centres, ["a", "salt"])
+        centres = cuts.join(dealt(own.select(F.col("doc_id").alias("a"), F.col("set").alias("sa"))), "a").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+        salted = pairs.join(dealt(cuts), "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("cuts")).cast("int")).drop("cuts")
+        right = salted.join(dealt(own.select(F.col("doc_id").alias("b"), F.col("set").alias("sb"))), "b")
+        full = right.join(dealt(centres), ["a", "salt"])
         both = F.size(F.array_intersect("sa", "sb"))
         return full.where(both * F.lit(den) >= (F.size("sa") + F.size("sb") - both) * F.lit(num)).select("a", "b").distinct()
 
@@ -278,20 +280,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
         No intersection is larger, so a document of which that is too small a part can have no link left and goes.
         """
         core = shared_shingles(entries).groupBy("doc_id").agg(F.count("*").alias("core"))
-        return entries.drop("core").join(core, "doc_id").where(F.col("core") * F.lit(den) >= F.col("n") * F.lit(num))
+        return entries.drop("core").join(dealt(core), "doc_id").where(F.col("core") * F.lit(den) >= F.col("n") * F.lit(num))
 
     def rarest(entries: DataFrame) -> DataFrame:
         """The documents of ``entries`` once more, in buckets of their rarest shingles: those that a similar set cannot lack all of."""
         found = shared_shingles(entries)
         in_order = found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("s"))
-        of = entries.select("doc_id", "n", "comp").distinct().join(in_order, "doc_id").withColumn("core", F.size("s").cast("long"))
+        of = entries.select("doc_id", "n", "comp").distinct().join(dealt(in_order), "doc_id").withColumn("core", F.size("s").cast("long"))
         # Shingles of one document alone come first of all and meet nothing.
         first = F.col("n") - F.ceil(F.col("n") * F.lit(num) / F.lit(den)) + 1 - (F.col("n") - F.col("core"))
         of = of.where(first > 0).withColumn("s", F.explode(F.slice("s", F.lit(1), first.cast("int"))))
         return _salted(of.withColumn("band", F.col("s.s")), F.col("s.df")).drop("s")
 
     def settled(entries: DataFrame) -> DataFrame:
-        own = entries.drop("comp").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+        own = entries.drop("comp").join(dealt(comp.withColumnRenamed("node", "doc_id")), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
         return written(mixed(own), "left")
 
     own_share = F.round(1 - F.col("core") / F.col("n"), 3)  # least for the document most others are nearest to
@@ -313,8 +315,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
         rest = written(blockwise(left, sets, num, den), "confirmed")
         if rest.limit(1).count():
             comp = components(links.unionByName(rest))
-    comp = nodes.join(comp, "node", "left").select("k1", "k2", "rep", F.coalesce("comp", "node").alias("comp"))
-    comp = comp.join(nodes.select(F.col("node").alias("comp"), F.col("rep").alias("component_id")), "comp") if clash else comp.withColumnRenamed("comp", "component_id")
-    linked = signed.join(comp.select("k1", "k2", "component_id"), ["k1", "k2"], "left")
+    comp = nodes.join(dealt(comp), "node", "left").select("k1", "k2", "rep", F.coalesce("comp", "node").alias("comp"))
+    comp = comp.join(dealt(nodes.select(F.col("node").alias("comp"), F.col("rep").alias("component_id"))), "comp") if clash else comp.withColumnRenamed("comp", "component_id")
+    linked = signed.join(dealt(comp.select("k1", "k2", "component_id")), ["k1", "k2"], "left")
     own = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     return linked.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from quillstone.llm import common, minhash, suffix
+from quillstone.llm import common, graph, minhash, suffix
 
 DOC = "doc_id long, text string, n_shingles string, bands string"
 
@@ -344,3 +344,32 @@ def test_texts_alone_of_their_kind_are_not_shuffled(spark, monkeypatch):
         assert "Join" not in plans[-1]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_what_grows_with_the_texts_is_not_broadcast(spark, monkeypatch):
+    """Of near duplicates only hot keys are, however small the other tables seem by their files."""
+    rng = np.random.default_rng(32)
+    rows = []
+    for i in range(200):
+        own = [f"h{x}" for x in range(20)] + [f"v{x}" for x in rng.integers(0, 4, 3)]
+        own[int(rng.integers(0, 3))] = f"u{rng.integers(0, 3)}"
+        rows.append((i, " ".join(own)))
+    plans, labels = [], set()
+
+    def noted(df, label, real=common.written):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        labels.add(label)
+        return real(df, label)
+
+    def met(rows, keyed, key, total, real=minhash._meet):
+        plan = real(rows, keyed, key, total)._jdf.queryExecution().sparkPlan().toString()
+        assert (plan.count("BroadcastHashJoin"), plan.count("SortMergeJoin")) == (2, 1)  # hot keys, twice, and all others
+        return rows.join(common.dealt(keyed), key).drop("size")
+
+    monkeypatch.setattr(minhash, "written", noted)
+    monkeypatch.setattr(graph, "written", noted)
+    monkeypatch.setattr(minhash, "_meet", met)
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4)
+    plans.append(out._jdf.queryExecution().sparkPlan().toString())
+    assert {"cored", "rarest", "confirmed", "labels"} <= labels and sum("SortMergeJoin" in p for p in plans) > 10
+    assert not [p for p in plans if "Broadcast" in p]
